@@ -56,18 +56,27 @@ def load(model: str):
     return tok
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where visible, else the next free one from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Merger(dict):
-    """pre-token -> value made from its ids, filled on first sight."""
+    """pre-token -> value made from its ids, merged by the tokenizer's model on first sight."""
 
     def __init__(self, tok, value, known=None):
         super().__init__(known or {})
-        self.tok, self.value, self.known = tok, value, known or {}
+        self.merge, self.value, self.known = tok.model.tokenize, value, known or {}
+        self.letters = byte_letters()
 
     def __missing__(self, piece):
         if len(self) > REMEMBER + len(self.known):
             self.clear()
             self.update(self.known)
-        out = self[piece] = self.value(self.tok.encode(piece, add_special_tokens=False).ids)
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        out = self[piece] = self.value([t.id for t in self.merge(written)])
         return out
 
 

@@ -81,3 +81,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
     return nodes.unionByName(roots.join(nodes, "node", "left_anti"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of results that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, secrets, simhash, token_counts, toxicity
+from . import chat, decontaminate, hnsw, packing, quality, secrets, simhash, substrings, token_counts, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,18 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.co_train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_nearest_neighbours(spark, sf_dir):
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op5_repeated_substrings(spark, sf_dir):
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -51,7 +63,7 @@ def op10_chat_format(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_decontamination, op6_toxicity, op7_simhash,
+        op1_best_fit_packing, op2_decontamination, op3_quality, op4_nearest_neighbours, op5_repeated_substrings, op6_toxicity, op7_simhash,
         op8_token_counts, op9_secret_scan, op10_chat_format,
     )
 }
