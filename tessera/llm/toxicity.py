@@ -46,10 +46,11 @@ def fold(text: str, table: Folding) -> str:
 
 
 def terms_of(folded: str) -> set[str]:
-    """Word prefixes of SHORTEST to LONGEST letters (' pre'), and short words whole (' ab ')."""
+    """Word prefixes of SHORTEST to LONGEST letters (' pre'), and words of up to twice LONGEST whole (' word ')."""
     out = set()
     for w in set(folded.split()):
-        out.add(f" {w} ") if len(w) <= SHORTEST else None
+        if len(w) <= 2 * LONGEST:
+            out.add(f" {w} ")
         out.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
     return out
 
@@ -96,12 +97,13 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_docs: int = 5, max_terms: int = 5_000, log_odds: float = 2.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_docs: int = 3, max_terms: int = 5_000, log_odds: float = 2.0, false_terms: float = 0.05) -> Lexicon:
     """Terms, weights, exception phrases and calibration from about fit_rows labelled rows.
 
     Held-out rows (crc32 of doc_id mod 5 = 0) are never read. A term needs min_docs toxic
-    documents and a log-odds whose lower bound is at least log_odds; of prefixes with the same
-    documents the longest stands. A two-word phrase around a term found in min_docs clean
+    documents, a log-odds whose lower bound is at least log_odds, and a binomial tail so thin
+    that of all terms tested only false_terms would pass by chance; shorter forms must earn
+    their place by what longer ones miss. A two-word phrase around a term found in min_docs clean
     documents and no toxic one becomes an exception. Without both classes the lexicon is empty.
     """
     import numpy as np
@@ -138,17 +140,30 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, mi
     toxic_docs = {r["term"]: r["n"] for r in frequent.orderBy(F.desc("n"), "term").limit(40 * max_terms).collect()}
     clean_docs = {r["term"]: r["n"] for r in counted(lambda toxic, t: () if toxic else (x for x in terms_of(t) if x in toxic_docs)).collect()}
 
-    def bound(t):
-        a, b = toxic_docs[t] + 0.5, clean_docs.get(t, 0) + 0.5
+    def bound(toxic, clean):
+        a, b = toxic + 0.5, clean + 0.5
         return math.log(a / (pos + 1)) - math.log(b / (neg + 1)) - 1.64 * math.sqrt(1 / a + (1 / b if b > 1 else 0))
 
-    good = {t: bound(t) for t in toxic_docs if bound(t) >= log_odds}
+    def by_chance(toxic, clean):
+        """How likely so many of a term's documents are toxic if it says nothing."""
+        n, p = toxic + clean, pos / (pos + neg)
+        log_choose = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+        return sum(math.exp(log_choose(k) + k * math.log(p) + (n - k) * math.log1p(-p)) for k in range(toxic, n + 1))
+
+    good = {t: x for t in toxic_docs if (x := bound(toxic_docs[t], clean_docs.get(t, 0))) >= log_odds}
+    good = {t: x for t, x in good.items() if by_chance(toxic_docs[t], clean_docs.get(t, 0)) * len(toxic_docs) <= false_terms}
     chosen: dict[str, float] = {}
-    for t in sorted(good, key=lambda t: (len(t), t)):
-        longer = [x for x in (t + c for c in "abcdefghijklmnopqrstuvwxyz0123456789") if x in good]
-        same = any(toxic_docs[x] == toxic_docs[t] and clean_docs.get(x, 0) == clean_docs.get(t, 0) for x in longer)
-        if not same and not any(t[:k] in chosen for k in range(2, len(t))):
-            chosen[t] = good[t]
+    covered: dict[str, tuple[int, int]] = {}
+    # the surest first; of equals the longest prefix, whole words last
+    for t in sorted(good, key=lambda t: (-good[t], t[-1] == " ", -len(t), t)):
+        if any(t[:k] in chosen for k in range(2, len(t))):
+            continue
+        a, b = covered.get(t, (0, 0))
+        if a and (toxic_docs[t] - a < min_docs or bound(toxic_docs[t] - a, clean_docs.get(t, 0) - b) < log_odds):
+            continue  # what it adds to its longer forms does not carry it
+        chosen[t] = good[t]
+        for k in range(2, len(t)):
+            covered[t[:k]] = max(covered.get(t[:k], (0, 0)), (toxic_docs[t], clean_docs.get(t, 0)))
     chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1] * math.log(toxic_docs[x[0]]), x[0]))[:max_terms])
     plain = Lexicon(chosen).automaton()
 
