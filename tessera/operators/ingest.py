@@ -17,7 +17,6 @@ def infer_doc_type(name: Column, table=rules.DOC_TYPES, default: str = rules.DOC
 def upsert_registry(registry: DataFrame, incoming: DataFrame, key: str = "doc_id", cut: int = 10_000) -> DataFrame:
     """S3: new keys are inserted with raw_text cut; on a known key only version changes."""
     new = incoming.select(key, *[F.col(c).alias(f"new_{c}") for c in incoming.columns if c != key])
-    joined = registry.join(new, key, "full_outer")
     known = F.col("known").isNotNull()
     out = [key]
     joined = registry.withColumn("known", F.lit(1)).join(new, key, "full_outer")
@@ -121,11 +120,16 @@ def chunk_rows(children: DataFrame, ratio: int = 4) -> DataFrame:
     )
 
 
-def boundary_density(tokens: DataFrame, sents: DataFrame) -> DataFrame:
-    """Share of a sentence's tokens (fully inside it) predicted as boundary, 0 without tokens."""
-    t = tokens.select("doc", F.col("start").alias("t0"), F.col("end").alias("t1"), "pred")
+def boundary_density(tokens: DataFrame, sents: DataFrame, width: int = 256) -> DataFrame:
+    """Share of a sentence's tokens (fully inside it) predicted as boundary, 0 without tokens.
+
+    A range join by buckets of `width` places: a token is in the bucket of its start, a sentence
+    in each bucket it touches, so both sides meet on equal keys.
+    """
+    t = tokens.select("doc", F.col("start").alias("t0"), F.col("end").alias("t1"), "pred", F.floor(F.col("start") / width).alias("bucket"))
+    s = sents.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
     inside = (F.col("t0") >= F.col("start")) & (F.col("t1") <= F.col("end"))
-    hit = sents.join(t, "doc", "left").withColumn("b", F.when(inside, (F.col("pred") == 0).cast("double")))
+    hit = s.join(t, ["doc", "bucket"], "left").withColumn("b", F.when(inside, (F.col("pred") == 0).cast("double")))
     return hit.groupBy("doc", "sent").agg(F.coalesce(F.avg("b"), F.lit(0.0)).alias("ratio"))
 
 

@@ -159,10 +159,10 @@ def sentence_rows(spark, d):
 SENT_SQL = "s AS (SELECT doc_id AS doc, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS text, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: x <> ''), 1) - 1 AS sent FROM documents)"
 
 
-@query(f"""WITH {SENT_SQL}, t AS (SELECT doc, sent * 100 + k * 10 AS t0, sent * 100 + k * 10 + 9 AS t1, (sent + k) % 3 AS pred FROM s, range(10) r(k) WHERE sent < 20)
-SELECT s.doc, s.sent, round(coalesce(avg(CASE WHEN t.t0 >= s.sent * 100 AND t.t1 <= s.sent * 100 + 95 THEN CAST(pred = 0 AS INT) END), 0), 6) AS ratio FROM s LEFT JOIN t ON s.doc = t.doc AND t.t0 >= s.sent * 100 AND t.t1 <= s.sent * 100 + 95 WHERE s.sent < 20 GROUP BY ALL""")
+@query(f"""WITH {SENT_SQL}, t AS (SELECT doc, sent * 100 + k * 10 AS t0, sent * 100 + k * 10 + 9 AS t1, (sent + k) % 3 AS pred FROM s, range(10) r(k))
+SELECT s.doc, s.sent, round(coalesce(avg(CASE WHEN t.t0 >= s.sent * 100 AND t.t1 <= s.sent * 100 + 95 THEN CAST(pred = 0 AS INT) END), 0), 6) AS ratio FROM s LEFT JOIN t ON s.doc = t.doc AND t.t0 >= s.sent * 100 AND t.t1 <= s.sent * 100 + 95 GROUP BY ALL""")
 def i14_boundary_density(spark, d):
-    s = sentence_rows(spark, d).where("sent < 20").select("doc", "sent", (F.col("sent") * 100).alias("start"), (F.col("sent") * 100 + 95).alias("end"))
+    s = sentence_rows(spark, d).select("doc", "sent", (F.col("sent") * 100).alias("start"), (F.col("sent") * 100 + 95).alias("end"))
     t = s.select("doc", "sent", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("doc", (F.col("sent") * 100 + F.col("k") * 10).alias("start"), (F.col("sent") * 100 + F.col("k") * 10 + 9).alias("end"), ((F.col("sent") + F.col("k")) % 3).alias("pred"))
     return I.boundary_density(t, s).withColumn("ratio", F.round("ratio", 6))
 
