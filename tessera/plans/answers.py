@@ -22,17 +22,16 @@ CIT = r"((regexp_matches(t,'\d+') OR contains(t,'mill')) AND NOT regexp_matches(
 BROKEN = f"list_filter([CASE WHEN {MED} THEN 'medical_advice' END, CASE WHEN {REG} <> '' THEN 'regulatory_word:' || {REG} END, CASE WHEN {DEN} THEN 'denigration' END, CASE WHEN role IN ('user') AND {CIT} THEN 'amount_no_citation' END], lambda x: x IS NOT NULL)"
 ANSWERS = f"a AS (SELECT conv_id, turn, role, t, {BROKEN} AS b, CASE WHEN conv_id % 2 = 0 THEN 'customer' ELSE 'agent' END AS r FROM (SELECT conv_id, turn, role, text AS t FROM conversations))"
 PASSED = "(CASE WHEN len(b) = 0 THEN true WHEN r = 'customer' THEN false WHEN list_contains(b, 'medical_advice') OR len(list_filter(b, lambda x: starts_with(x, 'regulatory_word:'))) > 0 THEN false ELSE len(b) <= 1 END)"
-t = F.col("text")
 
 
 def answers(spark, d):
-    x = read_table(spark, d, "conversations").withColumn("b", K.violations(t, F.col("role"), ("user",), **LISTS))
+    x = read_table(spark, d, "conversations").withColumn("b", K.violations(F.col("text"), F.col("role"), ("user",), **LISTS))
     return x.withColumn("r", F.when(F.col("conv_id") % 2 == 0, "customer").otherwise("agent"))
 
 
 @query(f"SELECT doc_id, {MED} AS medical, {REG} AS word, {DEN} AS denigrates, {CIT} AS uncited FROM (SELECT doc_id, text AS t FROM documents)")
 def c1_c4_checks(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", K.check_medical(t, MEDICAL, ADVICE, QUOTING).alias("medical"), K.check_regulatory(t, REGULATORY).alias("word"), K.check_denigration(t, DENIGRATION).alias("denigrates"), K.check_citation(t, AMOUNTS, CITATIONS).alias("uncited"))
+    return read_table(spark, d, "documents").select("doc_id", K.check_medical(F.col("text"), MEDICAL, ADVICE, QUOTING).alias("medical"), K.check_regulatory(F.col("text"), REGULATORY).alias("word"), K.check_denigration(F.col("text"), DENIGRATION).alias("denigrates"), K.check_citation(F.col("text"), AMOUNTS, CITATIONS).alias("uncited"))
 
 
 @query(f"WITH {ANSWERS} SELECT conv_id, turn, array_to_string(b, ',') AS broken, {PASSED} AS passed FROM a")
@@ -44,7 +43,7 @@ FIX = r"""f AS (SELECT *, CASE WHEN list_contains(b,'medical_advice') THEN regex
 
 
 def fixed(spark, d):
-    return answers(spark, d).withColumn("fixed", K.apply_fixes(t, F.col("b"), " NOTE", "(and|keit).{0,5}", "neutral", " AMOUNT"))
+    return answers(spark, d).withColumn("fixed", K.apply_fixes(F.col("text"), F.col("b"), " NOTE", "(and|keit).{0,5}", "neutral", " AMOUNT"))
 
 
 @query(f"WITH {ANSWERS}, {FIX} SELECT conv_id, turn, md5(fixed) AS fixed_md5 FROM fixed")
@@ -54,13 +53,13 @@ def c6_fixes(spark, d):
 
 @query(rf"WITH {ANSWERS} SELECT conv_id, turn, md5(CASE WHEN len(b) = 0 AND r = 'customer' THEN regexp_replace(t,'\s+$','') || ' CARE' ELSE t END) AS noted_md5 FROM a")
 def c7_disclaimer(spark, d):
-    return answers(spark, d).select("conv_id", "turn", F.md5(K.append_disclaimer(t, F.col("b"), F.col("r"), " CARE")).alias("noted_md5"))
+    return answers(spark, d).select("conv_id", "turn", F.md5(K.append_disclaimer(F.col("text"), F.col("b"), F.col("r"), " CARE")).alias("noted_md5"))
 
 
 @query(f"WITH {ANSWERS}, {FIX} SELECT conv_id, turn, md5(CASE WHEN {PASSED} THEN fixed ELSE 'SAFE' END) AS final_md5 FROM fixed")
 def c8_final_answer(spark, d):
     x = fixed(spark, d)
-    return x.select("conv_id", "turn", F.md5(K.final_answer(K.verdict(F.col("b"), F.col("r")), F.col("fixed"), t, "SAFE")).alias("final_md5"))
+    return x.select("conv_id", "turn", F.md5(K.final_answer(K.verdict(F.col("b"), F.col("r")), F.col("fixed"), F.col("text"), "SAFE")).alias("final_md5"))
 
 
 @query("WITH p(domain, kind, phrase) AS (VALUES ('en','forbidden','thing'), ('en','handoff','ererth'), ('fr','forbidden','leau'), ('de','handoff','keit')) SELECT doc_id, kind, phrase FROM documents JOIN p ON lang = domain WHERE contains(text, phrase)")

@@ -27,19 +27,18 @@ def said(spark, d):
     return read_table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("query"))
 
 
-t = F.col("query")
 
 
 @query(rf"WITH {Q} SELECT conv_id, turn, lower(regexp_replace(t, '[.,!?;:''()\s]', '', 'g')) AS key FROM q")
 def q1_normalize(spark, d):
-    return said(spark, d).select("conv_id", "turn", T.normalize(t, DROP).alias("key"))
+    return said(spark, d).select("conv_id", "turn", T.normalize(F.col("query"), DROP).alias("key"))
 
 
 FAQ = r"k AS (SELECT conv_id, turn, t, lower(regexp_replace(t, '[.,!?;:''()\s]', '', 'g')) AS key FROM q), f AS (SELECT key, arg_min(answer, (-frequency, answer)) AS answer FROM (SELECT key, md5(t) AS answer, turn AS frequency FROM k WHERE turn % 2 = 0) WHERE key <> '' GROUP BY key)"
 
 
 def faq(spark, d):
-    return said(spark, d).where("turn % 2 = 0").select(T.normalize(t, DROP).alias("key"), F.md5(t).alias("answer"), F.col("turn").alias("frequency"))
+    return said(spark, d).where("turn % 2 = 0").select(T.normalize(F.col("query"), DROP).alias("key"), F.md5(F.col("query")).alias("answer"), F.col("turn").alias("frequency"))
 
 
 @query(f"WITH {Q}, {FAQ} SELECT conv_id, turn, answer FROM k LEFT JOIN f USING (key)")
@@ -49,12 +48,12 @@ def q2_faq_lookup(spark, d):
 
 @query(f"WITH {Q} SELECT substr(t, 1, 6) AS key, count(*) AS hits FROM q GROUP BY 1 ORDER BY hits DESC, key LIMIT 20")
 def q3_faq_hot(spark, d):
-    return U.faq_hot(said(spark, d).select(F.substring(t, 1, 6).alias("key")), 20)
+    return U.faq_hot(said(spark, d).select(F.substring(F.col("query"), 1, 6).alias("key")), 20)
 
 
 @query(rf"WITH {Q} SELECT conv_id, turn, 'result:' || role || ':' || md5(lower(regexp_replace(t, '[.,!?;:''()\s]', '', 'g'))) AS key FROM q")
 def q4_cache_key(spark, d):
-    return said(spark, d).select("conv_id", "turn", U.cache_key(F.col("role"), t, drop=DROP).alias("key"))
+    return said(spark, d).select("conv_id", "turn", U.cache_key(F.col("role"), F.col("query"), drop=DROP).alias("key"))
 
 
 GUARD = f"CASE WHEN contains(t,'thing') OR contains(t,'leau') OR contains(t,'schäh') THEN 'pass' WHEN length({TRIM}) < (CASE WHEN role IN ('assistant','system') THEN 2 ELSE 3 END) THEN 'greeting' WHEN contains(t,'zzz') OR contains(t,'moron') OR contains(t,'keit') THEN 'reject' ELSE 'pass' END"
@@ -62,7 +61,7 @@ GUARD = f"CASE WHEN contains(t,'thing') OR contains(t,'leau') OR contains(t,'sch
 
 @query(f"WITH {Q} SELECT conv_id, turn, {GUARD} AS verdict FROM q")
 def q5_domain_guard(spark, d):
-    return said(spark, d).select("conv_id", "turn", U.domain_guard(t, F.col("role"), WORDS, BLOCK, ("assistant", "system")).alias("verdict"))
+    return said(spark, d).select("conv_id", "turn", U.domain_guard(F.col("query"), F.col("role"), WORDS, BLOCK, ("assistant", "system")).alias("verdict"))
 
 
 @query(f"SELECT doc_id, {RULE_SQL} AS intent FROM (SELECT doc_id, text AS t FROM documents)")
@@ -148,13 +147,13 @@ STRATEGY = f"s AS (SELECT conv_id, turn, t, {RULE_SQL} AS intent, len({FOUND_SQL
 
 @query(f"WITH {Q} SELECT conv_id, turn, length({TRIM}) < 60 AND len({TAGS_SQL}) = 0 AS vague FROM q")
 def q18_vague(spark, d):
-    return said(spark, d).select("conv_id", "turn", U.is_vague(t, F.size(U.dimensions(t, TAGS)), 60).alias("vague"))
+    return said(spark, d).select("conv_id", "turn", U.is_vague(F.col("query"), F.size(U.dimensions(F.col("query"), TAGS)), 60).alias("vague"))
 
 
 @query(f"WITH {Q}, {STRATEGY} SELECT conv_id, turn, CASE WHEN intent = 'compare' THEN 'compare' WHEN intent = 'price' THEN 'conditional' WHEN n >= 2 THEN 'sub_query' WHEN vague THEN 'hyde' ELSE 'direct' END AS strategy FROM s")
 def q19_strategy(spark, d):
-    n = F.size(U.link_products(t, PICK, PATTERN, ("aandre",)))
-    s = U.select_strategy(U.rule_intent(t, RULES), n, U.is_vague(t, F.size(U.dimensions(t, TAGS)), 60), "compare", "price")
+    n = F.size(U.link_products(F.col("query"), PICK, PATTERN, ("aandre",)))
+    s = U.select_strategy(U.rule_intent(F.col("query"), RULES), n, U.is_vague(F.col("query"), F.size(U.dimensions(F.col("query"), TAGS)), 60), "compare", "price")
     return said(spark, d).select("conv_id", "turn", s.alias("strategy"))
 
 
@@ -167,10 +166,10 @@ def q20_subqueries(spark, d):
 
 @query(f"WITH {Q}, {STRATEGY}, g AS (SELECT s.*, {GUARD} AS guard FROM s JOIN (SELECT conv_id, turn, role FROM q) r USING (conv_id, turn)) SELECT conv_id, turn, CASE WHEN turn = 7 OR guard <> 'pass' OR coalesce(intent, 'none') IN ('price') THEN 0 WHEN coalesce(intent, 'none') IN ('claim') OR n >= 2 THEN 2 WHEN length({TRIM}) <= 4 AND NOT contains(t, 'th') THEN 0 ELSE 1 END AS complexity FROM g")
 def q21_complexity(spark, d):
-    guard = U.domain_guard(t, F.col("role"), WORDS, BLOCK, ("assistant", "system"))
-    intent = F.coalesce(U.rule_intent(t, RULES), F.lit("none"))
-    n = F.size(U.link_products(t, PICK, PATTERN, ("aandre",)))
-    c = U.complexity(F.col("turn") == 7, guard, F.lit(False), intent, n, t, ("claim",), ("price",), ("th",))
+    guard = U.domain_guard(F.col("query"), F.col("role"), WORDS, BLOCK, ("assistant", "system"))
+    intent = F.coalesce(U.rule_intent(F.col("query"), RULES), F.lit("none"))
+    n = F.size(U.link_products(F.col("query"), PICK, PATTERN, ("aandre",)))
+    c = U.complexity(F.col("turn") == 7, guard, F.lit(False), intent, n, F.col("query"), ("claim",), ("price",), ("th",))
     return said(spark, d).select("conv_id", "turn", c.alias("complexity"))
 
 
