@@ -150,7 +150,11 @@ def with_parent(hits: DataFrame, parents: DataFrame) -> DataFrame:
 
 def overlap_score(q: Column, c: Column) -> Column:
     """The default pair scorer: shared distinct words over all distinct words."""
-    a, b = F.array_distinct(words(q)), F.array_distinct(words(c))
+    return overlap_of(F.array_distinct(words(q)), F.array_distinct(words(c)))
+
+
+def overlap_of(a: Column, b: Column) -> Column:
+    """overlap_score of word sets that are already split, so a text in many pairs is split once."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 

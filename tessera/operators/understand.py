@@ -74,12 +74,16 @@ def link_longest(q: Column, names, aliases: dict | None = None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), found), found)
 
 
-def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2) -> DataFrame:
-    """Q10 for large dictionaries: (…, mention) of every name that q contains.
+def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2, few: int = 1_000) -> DataFrame:
+    """Q10 for dictionary tables: (…, mention) of every name that q contains.
 
-    Names and the queries' windows meet on their first `prefix` characters, then are verified,
-    so a dictionary of any size needs no nested loop.
+    Up to `few` names are broadcast and looked for in each text. Of larger dictionaries, names
+    and the texts' windows meet on their first `prefix` characters, then are verified, so no
+    nested loop grows with the dictionary.
     """
+    if names.limit(few + 1).count() <= few:
+        listed = F.broadcast(names.select(F.col("name").alias("mention")).distinct())
+        return df.join(listed, F.col(q).contains(F.col("mention"))).distinct()
     spelled = df.withColumn("chars", F.filter(F.split(q, "(?!^)"), lambda c: c != ""))
     gram = lambda c, i: F.concat_ws("", c, *[F.get("chars", i + k) for k in range(1, prefix)])
     grams = spelled.withColumn("g", F.explode(F.array_distinct(F.transform("chars", gram)))).drop("chars")

@@ -113,9 +113,10 @@ RERANKED = rf"WITH {SPARSE}, w AS (SELECT query_id, id, rank, list_distinct(list
 
 
 def reranked(spark, d, threshold=None):
-    found = sparse(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    found = found.join(read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    return shown(R.rerank(found, R.overlap_score(F.col("q"), F.col("text")), 5, threshold)).select("query_id", "id", "rank", "score")
+    split = F.array_distinct(R.words(F.col("text")))
+    found = sparse(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", split.alias("dw")), "id")
+    found = found.join(read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), split.alias("qw")), "query_id")
+    return shown(R.rerank(found, R.overlap_of(F.col("qw"), F.col("dw")), 5, threshold)).select("query_id", "id", "rank", "score")
 
 
 @query(f"{RERANKED} SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")

@@ -33,6 +33,16 @@ def test_linking(spark):
     assert ask(spark, U.link_longest(F.col("q"), rules.EVENT_WORDS), "重症监护住院") == ["重症监护"]
 
 
+def test_link_names_both_ways(spark):
+    df = spark.createDataFrame([(1, "平安e生保和众安"), (2, "没有"), (3, "安")], "i int, q string")
+    names = spark.createDataFrame([("平安e生保",), ("众安",), ("安",), ("e生保和众安保",)], "name string")
+    want = [(1, "众安"), (1, "安"), (1, "平安e生保"), (3, "安")]
+    assert sorted((r.i, r.mention) for r in U.link_names(df, "q", names).collect()) == want
+    assert sorted((r.i, r.mention) for r in U.link_names(df, "q", names, prefix=1, few=0).collect()) == want
+    long = names.where("length(name) > 1")
+    assert sorted((r.i, r.mention) for r in U.link_names(df, "q", long, prefix=2, few=0).collect()) == [(1, "众安"), (1, "平安e生保")]
+
+
 def test_constraints(spark):
     strict, fixed = (ask(spark, U.constraints(F.col("q"), m), "等待期不超过30天", "等待期少于30天免赔额不超过1万")[:] for m in ("strict", "fixed"))
     assert strict[0].max_waiting_days is None and fixed[0].max_waiting_days == 30
