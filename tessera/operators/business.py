@@ -55,7 +55,8 @@ def premium_lookup(req: DataFrame, rates: DataFrame, width: int = 5) -> DataFram
 def compare_products(hits: DataFrame, dims: list[str], most: int = 3, chars: int = 300) -> DataFrame:
     """hits(query_id, product_name, dim, rank, text) -> a row a product, a column a dimension of its first clauses."""
     top = hits.where(F.col("rank") <= most).select("query_id", "product_name", "dim", F.struct("rank", F.substring("text", 1, chars).alias("t")).alias("x"))
-    return top.groupBy("query_id", "product_name").pivot("dim", dims).agg(T.join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n"))
+    said = F.array_agg("x")
+    return top.groupBy("query_id", "product_name").pivot("dim", dims).agg(F.when(F.size(said) > 0, T.join(F.transform(F.sort_array(said), lambda x: x["t"]), "\n")))
 
 
 def shingles(event: Column) -> Column:
