@@ -180,7 +180,7 @@ def k18_complex_query(spark, d):
 @query(f"WITH {E_SQL}, g AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), c AS (SELECT s_nationkey AS mention_id, 's' || s_suppkey AS id, 'n' || (s_suppkey % 25) AS insurer, s_nationkey FROM supplier), x AS (SELECT mention_id, c.id, round(0.3 * least(coalesce(deg, 0) / 10.0, 1.0) + 0.5 * (insurer = 'n' || s_nationkey)::INT, 3) AS score FROM c LEFT JOIN g USING (id)) SELECT mention_id, id, score::DOUBLE AS score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS rank FROM x")
 def k19_disambiguate(spark, d):
     c = read_table(spark, d, "supplier").select(F.col("s_nationkey").alias("mention_id"), key("s", "s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("insurer"))
-    return G.disambiguate(c, edges(spark, d))
+    return G.disambiguate(c, edges(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("WITH p AS (SELECT n_regionkey AS query_id, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey) SELECT query_id, string_agg('推理路径' || n || ': ' || n_name || '  --[in_region]--> ' || r_name || chr(10) || '  关联产品: ' || n_name, chr(10) ORDER BY n) AS context FROM p WHERE n <= 3 GROUP BY 1")

@@ -164,7 +164,7 @@ SELECT s.doc, s.sent, round(coalesce(avg(CASE WHEN t.t0 >= s.sent * 100 AND t.t1
 def i14_boundary_density(spark, d):
     s = sentence_rows(spark, d).select("doc", "sent", (F.col("sent") * 100).alias("start"), (F.col("sent") * 100 + 95).alias("end"))
     t = s.select("doc", "sent", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("doc", (F.col("sent") * 100 + F.col("k") * 10).alias("start"), (F.col("sent") * 100 + F.col("k") * 10 + 9).alias("end"), ((F.col("sent") + F.col("k")) % 3).alias("pred"))
-    return I.boundary_density(t, s).withColumn("ratio", F.round("ratio", 6))
+    return I.boundary_density(t, s).withColumns({"ratio": F.round("ratio", 6), "sent": F.col("sent").cast("long")})
 
 
 @query("""WITH spine AS (SELECT conv_id AS doc, unnest(range(500 + conv_id % 7 * 100)) AS token FROM (SELECT DISTINCT conv_id FROM conversations)),
@@ -175,7 +175,7 @@ def i15_window_vote(spark, d):
     spine = ids.select("doc", F.explode(F.sequence(F.lit(0), (499 + F.col("doc") % 7 * 100).cast("int"))).alias("token"))
     wins = spine.select("doc", "token", F.explode(F.array(*map(F.lit, range(4)))).alias("win")).where("token >= win * 350 and token < win * 350 + 400")
     preds = wins.select("doc", "win", (F.col("token") - F.col("win") * 350).alias("local"), ((F.col("token") * 7 + F.col("win") * 3 + F.col("doc")) % 5 < 2).cast("int").alias("pred"))
-    return I.window_vote(preds, spine)
+    return I.window_vote(preds, spine).withColumn("token", F.col("token").cast("long"))
 
 
 PARA_SQL = f"""{SENT_SQL}, o AS (SELECT *, sum(CASE WHEN sent = 0 OR length(text) % 10 >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY sent) - 1 AS para FROM s),

@@ -41,7 +41,8 @@ def hits(spark, d):
 
 
 def shown(df):
-    return df.withColumn("score", F.round("score", 6))
+    """Scores to six places, ranks as SQL counts them."""
+    return df.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query(r"SELECT doc_id, len(list_distinct(w)) AS n_terms, len(w) AS n_words FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
@@ -183,7 +184,7 @@ def v18_conditional(spark, d):
 def v19_fallback(spark, d):
     live = chunks(spark, d).where(R.scalar_filter())
     strict = live.where(R.scalar_filter({"insurer": "ins1", "clause_type": "3"}))
-    return R.retrieve_fallback(asked(spark, d), strict, live, 10, 10).select("query_id", "id", "relaxed", "rank")
+    return R.retrieve_fallback(asked(spark, d), strict, live, 10, 10).select("query_id", "id", "relaxed", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{HITS} SELECT query_id, id, md5(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END) AS shown_md5 FROM h")
