@@ -84,8 +84,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of results that nothing refers to any more."""
+    """Lets Spark's cleaner drop the shuffle files of results that nothing refers to any more.
+
+    Twice with a pause: the first round frees what holds the plans, the second the shuffles.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
