@@ -93,7 +93,7 @@ def sparse(spark, d):
 
 @query(f"WITH {SPARSE} SELECT * FROM s")
 def v7_sparse_topk(spark, d):
-    return sparse(spark, d)
+    return sparse(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{LIVE} SELECT query_id, id, rank, round(score, 6) AS score FROM f")
