@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WORD = re.compile(r"\S+")
 #: Bins of hashed byte pairs in the content view; bins of hashed language and source in the metadata view.
@@ -161,15 +161,16 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, fit_rows: int
     own = [(v[~aside], y[~aside], np.ones(int((~aside).sum()))) for v in x]
     models = [fit(*o) for o in own]
     given: list = [None, None]
-    unlabelled = seen.join(known.select("doc_id"), "doc_id", "left_anti")
     for turn in range(rounds):
-        scored = _scored(unlabelled, models)
+        # ids and logits alone meet the labels; the views never move
+        scored = table(_scored(seen, models).select("doc_id", "lc", "lm")).join(known.select("doc_id"), "doc_id", "left_anti")
         pick = []
         for view in ("lc", "lm"):
             for sign in (1, -1):
                 sure = scored.where(F.col(view) * sign > confident)
-                pick.append(sure.select(F.lit(view).alias("by"), F.lit(float(sign > 0)).alias("y"), "content", "meta", F.xxhash64("doc_id", F.lit(turn)).alias("o")).orderBy("o").limit(exchange_rows))
-        found = pick[0].unionByName(pick[1]).unionByName(pick[2]).unionByName(pick[3]).toPandas()  # four times exchange_rows at most
+                pick.append(sure.select("doc_id", F.lit(view).alias("by"), F.lit(float(sign > 0)).alias("y"), F.xxhash64("doc_id", F.lit(turn)).alias("o")).orderBy("o").limit(exchange_rows))
+        ids = cut(pick[0].unionByName(pick[1]).unionByName(pick[2]).unionByName(pick[3]).drop("o"))  # four times exchange_rows at most
+        found = seen.join(F.broadcast(ids), "doc_id").select("by", "y", "content", "meta").toPandas()
         for k, (view, column) in enumerate((("lm", "content"), ("lc", "meta"))):  # each learns from the other
             part = found[found["by"] == view]
             if len(part):
