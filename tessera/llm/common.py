@@ -5,21 +5,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where nothing is set (tests)."""
+    """The folder in spark.checkpoint.dir. Only a local master, as in tests, gets a temporary one where nothing is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a shared file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own(df: DataFrame) -> list[Column]:
+    """df's columns as they are, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_of() -> Column:
+    """The text as a string; null is empty."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df once in the shared folder; lost executors then reread instead of recomputing."""
     sc = df.sparkSession.sparkContext
@@ -39,16 +68,17 @@ def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table carries; a null text is empty."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        text_of().alias("text"),
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, label), label the smallest node reachable.
 
     Alternates large-star and small-star rewiring (each a shuffle of the edges, which never
-    grow in number) until the edge set stands still. Only linked nodes appear. Hot nodes are
-    met by map-side minima and by joins that adaptive execution can split.
+    grow in number) until the edge set stands still, however many rounds that takes. Only linked
+    nodes appear. Hot nodes are met by map-side minima and by joins that adaptive execution can
+    split. Null ends and loops are left out; repeated edges count once.
     """
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -60,9 +90,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     before = state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         sym = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

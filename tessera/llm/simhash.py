@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, texts
+from .common import connected_components, cut, own, text_of, texts, unused
 
 
 def fingerprint_column(shingle: int = 3, seed: int = 42):
@@ -138,16 +140,33 @@ def bk_links(shard, fp, radius: int = 3, dense: int = 256, budget: int = 4_000_0
     return order[linked], order[label[linked]]
 
 
+def shard_plan(n: int, radius: int) -> tuple[int, int]:
+    """(blocks, agree): how many blocks the 64 bits are cut into and how many of them name a shard.
+
+    Words that differ in at most radius bits agree on blocks - radius of the blocks at least, so
+    any choice finds all links. With more words shards are named by more bits, at the price of
+    more of them for each word, so that a shard of random words keeps a bounded size.
+    """
+    for more in range(3):
+        blocks = radius + 1 + more
+        if n >> (64 // blocks * (blocks - radius)) < 1_000:
+            break
+    return blocks, blocks - radius
+
+
 def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) spanning every set of fingerprints joined by steps of at most radius bits.
 
-    distinct(fp). Two words that differ in at most radius bits agree on one of radius + 1
-    equal blocks, so a shard is a block's value and each shard has its own BK-tree.
+    distinct(fp). Fingerprints are dealt to the shards of shard_plan; each has its own BK-tree.
     """
-    blocks = radius + 1
+    blocks, agree = shard_plan(distinct.count(), radius)
     width = 64 // blocks
-    shards = F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1)) * blocks + k for k in range(blocks)])
-    dealt = distinct.select("fp", F.explode(shards).alias("shard")).repartition("shard")
+    names = []
+    for k, chosen in enumerate(combinations(range(blocks), agree)):
+        mask = sum(((1 << width) - 1) << (b * width) for b in chosen)
+        part = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        names.append(part if blocks == 1 else F.xxhash64(part, F.lit(k)))  # shards of one name merely share a tree
+    dealt = distinct.select("fp", F.explode(F.array(*names)).alias("shard")).repartition("shard")
 
     def search(batches):
         import numpy as np
@@ -189,20 +208,21 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """docs with one row of each component: that of smallest doc_id, then smallest fingerprint.
 
-    All columns are kept. Of rows with the same doc_id and fingerprint any one stays; rows
-    without doc_id come last. Fingerprints are taken again from the texts when rows are
-    picked, which is cheaper than moving the texts twice.
+    All columns are kept, whatever their names. Of rows with the same doc_id and fingerprint any
+    one stays; rows without doc_id come last; null and empty texts are one component. Fingerprints
+    are taken again from the texts when rows are picked, which is cheaper than moving the texts
+    twice.
     """
     prints = cut(fingerprints(docs, shingle, seed))
     labels = _labelled(prints, radius)
-    null_last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    each = prints.groupBy(null_last.alias("__id"), "fp").agg(F.count("*").alias("n"))
-    best = each.join(labels, "fp").groupBy("label").agg(F.min(F.struct("__id", "fp", "n")).alias("b"))
-    keep = cut(best.select(F.col("b.__id").alias("__id"), F.col("b.fp").alias("__fp"), F.col("b.n").alias("n")))
+    last = F.lit((1 << 63) - 1)
+    each = prints.groupBy(F.coalesce("doc_id", last).alias("id"), "fp").agg(F.count("*").alias("n"))
+    best = each.join(labels, "fp").groupBy("label").agg(F.min(F.struct("id", "fp", "n")).alias("b"))
+    keep = cut(best.select("b.*"))
     repeated = keep.agg(F.max("n")).first()[0] or 1
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "__fp": fingerprint_column(shingle, seed)(text)})
-    kept = keyed.join(keep.select("__id", "__fp"), ["__id", "__fp"], "left_semi")
+    id_, fp = unused(docs, "id", "fp")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), last), fp: fingerprint_column(shingle, seed)(text_of())})
+    kept = keyed.join(keep.select(F.col("id").alias(id_), F.col("fp").alias(fp)), [id_, fp], "left_semi")
     if repeated > 1:
-        kept = kept.dropDuplicates(["__id", "__fp"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates([id_, fp])
+    return kept.select(*own(docs))

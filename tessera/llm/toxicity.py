@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, text_of, texts
 
 #: Look-alikes and digit substitutions, by the letter read. l, i, 1 and | are one letter.
 LOOKS = {
@@ -82,8 +84,11 @@ def hits(folded: str, automaton) -> list[tuple[int, int, float]]:
     if not len(automaton):
         return []
     found = [(end - n + 1, end + 1, w) for end, (n, w) in automaton.iter(folded)]
-    void = [(a, b) for a, b, w in found if w is None]
-    return [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in void)]
+    void = sorted((a, b) for a, b, w in found if w is None)
+    starts, reach = [a for a, _ in void], list(accumulate((b for _, b in void), max))
+    # of the phrases that begin no later than a term, one must reach its end
+    inside = lambda a, b: (k := bisect.bisect_right(starts, a)) and reach[k - 1] >= b
+    return [(a, b, w) for a, b, w in found if w is not None and not inside(a, b)]
 
 
 def features(folded: str, automaton) -> tuple[float, float]:
@@ -97,14 +102,17 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_docs: int = 3, max_terms: int = 5_000, log_odds: float = 2.0, false_terms: float = 0.05) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, min_docs: int = 3, log_odds: float = 2.0, false_terms: float = 0.05) -> Lexicon:
     """Terms, weights, exception phrases and calibration from about fit_rows labelled rows.
 
     Held-out rows (crc32 of doc_id mod 5 = 0) are never read. A term needs min_docs toxic
     documents, a log-odds whose lower bound is at least log_odds, and a binomial tail so thin
     that of all terms tested only false_terms would pass by chance; shorter forms must earn
     their place by what longer ones miss. A two-word phrase around a term found in min_docs clean
-    documents and no toxic one becomes an exception. Without both classes the lexicon is empty.
+    documents and no toxic one becomes an exception. Every count takes part: what reaches the
+    driver is bounded by the terms of the fit_rows texts alone. Null texts are empty, rows with a
+    null label or doc_id are left out, of repeated labels the toxic one holds. Without both
+    classes the lexicon is empty.
     """
     import numpy as np
 
@@ -136,8 +144,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, mi
         return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     frequent = counted(lambda toxic, t: terms_of(t) if toxic else ()).where(F.col("n") >= min_docs)
-    # a toxic document has a bounded number of words and fit_rows bounds the documents; the commonest suffice
-    toxic_docs = {r["term"]: r["n"] for r in frequent.orderBy(F.desc("n"), "term").limit(40 * max_terms).collect()}
+    toxic_docs = {r["term"]: r["n"] for r in frequent.collect()}  # fit_rows bounds the documents they are from
     clean_docs = {r["term"]: r["n"] for r in counted(lambda toxic, t: () if toxic else (x for x in terms_of(t) if x in toxic_docs)).collect()}
 
     def bound(toxic, clean):
@@ -164,7 +171,6 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, mi
         chosen[t] = good[t]
         for k in range(2, len(t)):
             covered[t[:k]] = max(covered.get(t[:k], (0, 0)), (toxic_docs[t], clean_docs.get(t, 0)))
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1] * math.log(toxic_docs[x[0]]), x[0]))[:max_terms])
     plain = Lexicon(chosen).automaton()
 
     def phrases(toxic, t):
@@ -179,7 +185,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, mi
                 out.add(t[a : after + 1])
         return ((f"{int(toxic)}{p}") for p in out if len(p.split()) == 2)
 
-    said = {r["term"]: r["n"] for r in counted(phrases).where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(2 * max_terms).collect()}
+    said = {r["term"]: r["n"] for r in counted(phrases).where(F.col("n") >= min_docs).collect()}
     exceptions = tuple(sorted(p[1:] for p in said if p[0] == "0" and f"1{p[1:]}" not in said))
     lexicon = Lexicon(chosen, exceptions)
 
@@ -224,7 +230,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Null and empty texts hold no term and get the calibrated base score; a null doc_id counts
     as the empty text in held_out; repeated rows score alike; labels, language and source are
-    not read. The lexicon sent to the executors has at most max_terms terms.
+    not read, nor any other column, whatever its name. Very long texts are scanned whole, in
+    time that grows with their length. The lexicon sent to the executors is as large as what
+    fit_rows labelled texts support.
     """
     return texts(docs).select("doc_id", score_column(lexicon)("text").alias("score")).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -232,9 +240,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs without the rows that score 0.5 or more; columns as they are, no shuffle."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__score", score_column(lexicon)(text)).where("__score < 0.5").select(*docs.columns)
+    """docs without the rows that score 0.5 or more; columns as they are, whatever their names; no shuffle."""
+    return docs.where(score_column(lexicon)(text_of()) < 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:

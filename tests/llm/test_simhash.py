@@ -79,3 +79,41 @@ def test_components_whole(spark):
 def test_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert simhash.drop_near_duplicates(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (1, "a b c d")], "doc_id long, text string")).collect() == [(1, "a b c d")]
+
+
+@pytest.mark.parametrize("plan", [(4, 1), (5, 2), (6, 3)])
+def test_links_for_every_shard_plan(spark, monkeypatch, plan):
+    monkeypatch.setattr(simhash, "shard_plan", lambda n, radius: plan)
+    rng = np.random.default_rng(5)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 150, dtype=np.uint64)}
+    for c in sorted(fps):
+        fps.add(c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
+    signed = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
+    links = simhash.link_fingerprints(spark.createDataFrame(signed, "fp long"), 3)
+    from tessera.llm.common import connected_components
+
+    got = {r.node & (2**64 - 1): r.label for r in connected_components(links).collect()}
+    want = brute_components(fps)
+    sizes = {v: sum(x == v for x in want.values()) for v in want.values()}
+    assert set(got) == {f for f in fps if sizes[want[f]] > 1}
+    assert len(set(got.values())) == sum(n > 1 for n in sizes.values())
+
+
+def test_shard_plans_grow():
+    assert simhash.shard_plan(10**6, 3) == (4, 1) and simhash.shard_plan(10**9, 3) == (5, 2) and simhash.shard_plan(10**13, 3) == (6, 3)
+
+
+def test_components_of_a_long_chain(spark):
+    from tessera.llm.common import connected_components
+
+    n = 10_000
+    got = connected_components(spark.range(n).selectExpr("(id * 7919) % 10007 as a", "((id + 1) * 7919) % 10007 as b"))
+    assert got.agg({"label": "min"}).first()[0] == got.agg({"label": "max"}).first()[0] == 0
+    assert got.count() == n + 1
+
+
+def test_clashing_names_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d", 1, 2, "x"), (3, "a b c d", 1, 2, "x"), (None, None, 5, 6, "y")], "doc_id long, text string, `__id` int, fp int, `a.b` string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([(3, "a b c d", 1, 2, "x"), (None, None, 5, 6, "y")], key=str)

@@ -1,5 +1,9 @@
 import zlib
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tessera.llm import decontaminate, toxicity
 
 
@@ -59,27 +63,82 @@ DOCS = [
 ]
 
 
+DOCS += [(None, "clean words of no item"), (8, "another row of a leaking document's id"), (9, "背景 " + "量子纠缠是两个粒子之间的非局域关联现象" + "。"), (10, "量子纠缠")]
+ITEMS = [(10, ITEM), (11, "too short item"), (12, None), (13, "never in any of the documents at all"), (14, "量子纠缠是两个粒子之间的非局域关联现象")]
+EXTRA = "text2 string, `__leak` boolean, `__id` int, digest string, `key` long, `a.b` int, coverage double"
+
+
 def rows(df):
     return sorted((str(r.doc_id), r.item_id, r.matched, r.tiles, r.longest, round(r.coverage, 3)) for r in df.collect())
 
 
-def test_leaks_both_ways(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t in DOCS], "doc_id long, text string, coverage double")
-    bench = spark.createDataFrame([(10, ITEM), (11, "too short item"), (12, None), (13, "never in any of the documents at all")], "item_id long, text string")
-    want = sorted([("1", 10, 12, 1, 12, 1.0)] * 2 + [("2", 10, 12, 2, 7, 1.0), ("6", 10, 12, 1, 12, 1.0), ("None", 10, 12, 1, 12, 1.0), ("8", 10, 12, 1, 12, 1.0)])
-    assert rows(decontaminate.find_leaks(docs, bench)) == want
-    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(docs, bench).collect()) == ["3", "4", "5", "7"]
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("most", [0, 16 << 20])
+def test_leaks_both_ways(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    docs = spark.createDataFrame([(i, t, "x", True, n, "d", n, n, 1.0) for n, (i, t) in enumerate(DOCS)], f"doc_id long, text string, {EXTRA}")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted([("1", 10, 12, 1, 12, 1.0)] * 2 + [("2", 10, 12, 2, 7, 1.0), ("6", 10, 12, 1, 12, 1.0), ("None", 10, 12, 1, 12, 1.0), ("8", 10, 12, 1, 12, 1.0), ("9", 14, 19, 1, 19, 1.0)])
     assert rows(decontaminate.find_leaks(docs, bench)) == want
-    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(docs, bench).collect()) == ["3", "4", "5", "7", "None"]
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    leaking = {n for n, (_, t) in enumerate(DOCS) if t and (ITEM in t.lower() or SWAP in t or ITEMS[-1][1] in t)}
+    assert sorted(r["__id"] for r in kept.collect()) == sorted(set(range(len(DOCS))) - leaking)
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
-
-
-def test_tiling_is_greedy_and_disjoint():
-    import numpy as np
-
-    item = [0, 1, 2, 3, 4, 5, 6, 7]
-    doc = np.array([4, 5, 6, 7, -1, 0, 1, 2, 3, 4, 5])
-    tiles = decontaminate.tile(item, doc, 2)
-    assert tiles[0] == (0, 5, 6) and (6, 2, 2) in tiles and sum(n for *_, n in tiles) == 8
+    assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def brute_tiles(item, doc, least):
+    free_item, free_doc, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best, found = least, []
+        for s in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while s + n < len(doc) and i + n < len(item) and free_item[i + n] and free_doc[s + n] and item[i + n] == doc[s + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, [(i, s)]
+                elif n == best:
+                    found.append((i, s))
+        if not found:
+            return out
+        for i, s in found:
+            if all(free_item[i : i + best]) and all(free_doc[s : s + best]):
+                free_item[i : i + best] = free_doc[s : s + best] = [False] * best
+                out.append((i, s, best))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=20), st.lists(st.integers(-1, 3), max_size=40), st.integers(1, 4))
+def test_tiling_is_greedy(item, doc, least):
+    doc = [x if x in item else -1 for x in doc]
+    assert decontaminate.tile(item, doc, least) == brute_tiles(item, doc, least)
+
+
+def test_tiling_of_repetitions_is_quick():
+    assert len(decontaminate.tile([0] * 50, [0] * 200_000, 5)) == 1
+
+
+def test_workers_without_the_package(tmp_path):
+    """Spark started elsewhere: workers cannot import this package and need not."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from tessera.session import local_session
+from tessera.llm import decontaminate, simhash, toxicity
+spark = local_session(2, 2)
+docs = spark.createDataFrame([(1, {ITEM!r}), (2, 'clean')], 'doc_id long, text string')
+bench = spark.createDataFrame([(10, {ITEM!r})], 'item_id long, text string')
+assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+assert decontaminate.find_leaks(docs, bench).count() == 1
+assert simhash.drop_near_duplicates(docs).count() == 2
+assert toxicity.drop_toxic(docs, toxicity.Lexicon({{' ciean ': 9.0}})).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-1500:]
