@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, texts
+from .common import cut, texts, unused
 from .token_counts import tokenizer_model
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -71,67 +71,87 @@ def best_fit(sizes, capacity: int):
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000, slack: int = 8) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_000) -> DataFrame:
     """Adds sequence_id and offset to pieces(length, ...) so that few sequences hold them all.
 
-    Round 0 deals the pieces into groups of about group_rows; each group packs best-fit
-    decreasing. Bins with at most slack free places are emitted. The other bins become items:
-    their groups merge, several to one, and are packed best-fit again, until one group is left
-    or a round joins almost nothing (bins that no other bin fits into). Groups hold a bounded
-    number of rows, whatever the sizes; every round is written to the shared folder.
+    The pieces are dealt into groups of about group_rows; each group packs best-fit decreasing,
+    after which no two of its bins fit together, so at most one of them is half empty. Bins that
+    cannot take even the emptiest are done. The half-empty ones become items: with as many of
+    the emptiest others they are dealt into fewer groups and packed best-fit again, until the
+    fills show that no two bins left anywhere fit together. Bins move between rounds, pieces
+    only in the first and in the join that places them; ids move in neither. Groups hold a
+    bounded number of rows; what comes to the driver is the number of bins of each fill.
+    Null lengths are not allowed; an empty table gives an empty one; pieces of full length are
+    sequences of their own; repeated rows are pieces of their own; names of columns are free.
     """
     import numpy as np
 
+    row, bin_, at, fill, group, into, shift = unused(pieces, "row", "bin", "at", "fill", "group", "into", "shift")
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    base = cut(pieces.select(*columns).withColumn("__row", F.monotonically_increasing_id()))
-    full = base.where(F.col("length") >= capacity).select(*columns, (-F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    small = base.where(F.col("length") < capacity)
+    base = cut(pieces.select(*columns).withColumn(row, F.monotonically_increasing_id()))
+    light = [c for c, kind in base.dtypes if kind != "binary"]
+    full = base.where(F.col("length") >= capacity).select(*columns, (-F.col(row) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    small = base.where(F.col("length") < capacity).select(*light)
     n = small.count()
-    state = small.select("*", F.col("__row").alias("__bin"), F.lit(0).cast("long").alias("__at"), F.col("length").alias("__fill"))
-    out_schema = state.withColumn("__group", F.lit(0).cast("long")).schema
-    groups = max(1, -(-n // group_rows))
-    done = [full]
-
-    def pack_group(pdf):
-        first = np.unique(pdf["__bin"].to_numpy(), return_index=True, return_inverse=True)
-        ids, at, inverse = first
-        fill = pdf["__fill"].to_numpy()[at]
-        order = np.lexsort((ids, -fill))
-        bins, offsets = best_fit(fill[order].tolist(), capacity)
-        new_bin, shift = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-        new_bin[order], shift[order] = bins, offsets
-        total = np.bincount(new_bin, weights=fill, minlength=len(ids)).astype(np.int64)
-        leader = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(leader, new_bin, ids)  # a bin is named after its smallest member, so names stay unique
-        pdf["__at"] = pdf["__at"].to_numpy() + shift[inverse]
-        pdf["__fill"] = total[new_bin[inverse]]
-        pdf["__bin"] = leader[new_bin[inverse]]
-        return pdf
-
-    left, turn = n, 0
-    while left:
-        dealt = state.withColumn("__group", F.pmod(F.xxhash64("__bin", F.lit(turn)), F.lit(groups)))
-        packed = cut(dealt.groupBy("__group").applyInPandas(pack_group, out_schema)).drop("__group")
-        last = groups == 1
-        is_open = F.col("__fill") < capacity - slack
-        bins, rows = packed.where(is_open).agg(F.count_distinct("__bin"), F.count("*")).first()
-        if turn and bins > 0.98 * left:  # what is left hardly fits together
-            last = True
-        closed = packed if last else packed.where(~is_open)
-        done.append(closed.select(*columns, F.col("__bin").alias("sequence_id"), F.col("__at").alias("offset")))
-        if last:
+
+    def best_fit_groups(names, at_name, fill_name):
+        def run(pdf):
+            ids, fills = pdf[names].to_numpy(), pdf[fill_name].to_numpy().astype(np.int64)
+            order = np.lexsort((ids, -fills))
+            bins, offsets = best_fit(fills[order].tolist(), capacity)
+            new_bin, shifts = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+            new_bin[order], shifts[order] = bins, offsets
+            total = np.bincount(new_bin, weights=fills, minlength=len(ids)).astype(np.int64)
+            leader = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(leader, new_bin, ids)  # a bin is named after its smallest member, so names stay unique
+            return pdf.assign(**{at_name: shifts, "__new": leader[new_bin], "__total": total[new_bin]})
+
+        return run
+
+    def packed(df, groups, turn, name, out, size):
+        """df with the bin each row of it goes into, its place there and the bin's fill, under the names out."""
+        kinds = ", ".join(f"`{c}` {k}" for c, k in [*df.dtypes, (out[1], "long")]) + ", __new long, __total long"
+        dealt = df.withColumn(group, F.pmod(F.xxhash64(name, F.lit(turn)), F.lit(groups)))
+        run = best_fit_groups(name, out[1], size)
+        done = dealt.groupBy(group).applyInPandas(lambda pdf: run(pdf.drop(columns=[group])), kinds)
+        return cut(done.withColumnRenamed("__new", out[0]).withColumnRenamed("__total", out[2]))
+
+    first = packed(small, max(1, -(-n // group_rows)), 0, row, (bin_, at, fill), "length")
+    bins = first.where(F.col(row) == F.col(bin_)).select(bin_, fill)
+    moves, turn = [], 1
+    while True:
+        # how many bins there are of each fill below capacity: at most `capacity` rows
+        counts = sorted((r[fill], r["count"]) for r in bins.where(F.col(fill) < capacity).groupBy(fill).count().collect())
+        lowest = [f for f, c in counts for _ in range(min(c, 2))][:2]
+        if len(lowest) < 2 or sum(lowest) > capacity:
             break
-        state, left, turn = packed.where(is_open), bins, turn + 1
-        groups = min(-(-groups // 4), max(1, -(-rows // group_rows))) if rows <= group_rows * groups else groups
-        groups = max(groups, -(-rows // (4 * group_rows)))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        half = sum(c for f, c in counts if 2 * f <= capacity)
+        wanted, most = 2 * half, 0
+        for f, c in counts:
+            most = f
+            wanted -= c
+            if wanted <= 0:
+                break
+        taking = sum(c for f, c in counts if f <= most)
+        parts = max(1, -(-taking // group_rows))
+        moved = packed(bins.where(F.col(fill) <= most), parts, turn, bin_, (into, shift, "__filled"), fill)
+        moves.append(moved.where((F.col(bin_) != F.col(into)) | (F.col(shift) > 0)).select(bin_, into, shift))
+        kept = moved.where(F.col(bin_) == F.col(into)).select(bin_, F.col("__filled").alias(fill))
+        bins, turn = cut(bins.where(F.col(fill) > most).unionByName(kept)), turn + 1
+    placed = first
+    for move in moves:
+        placed = placed.join(move, bin_, "left").withColumns({bin_: F.coalesce(into, bin_), at: F.col(at) + F.coalesce(F.col(shift), F.lit(0))}).drop(into, shift)
+    if len(light) <= len(columns):
+        placed = base.join(placed.select(row, bin_, at), row)
+    return full.unionByName(placed.select(*columns, F.col(bin_).alias("sequence_id"), F.col(at).cast("long").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, group_rows: int = 40_000) -> DataFrame:
-    """Documents to packed pieces: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset."""
+    """Documents to packed pieces: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset.
+
+    Null and empty texts are the end id alone; very long ones are cut into pieces; columns other
+    than doc_id and text are ignored.
+    """
     pieces = tokenize_pieces(docs, tokenizer_path, capacity, end_id, with_ids)
     if not with_ids:
         pieces = pieces.drop("ids")

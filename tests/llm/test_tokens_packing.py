@@ -89,12 +89,12 @@ def test_packing_whole(spark, library):
     assert np.frombuffer(r.ids, "<u4").tolist() == expected[4][1]
 
 
-@pytest.mark.parametrize("sizes", [[7] * 50, [1, 2, 3, 4, 5, 6] * 40, [], [10] * 5, [9, 1] * 30, [6] * 33])
+@pytest.mark.parametrize("sizes", [[7] * 50, [1, 2, 3, 4, 5, 6] * 40, [], [10] * 5, [9, 1] * 30, [6] * 33, [6] * 90 + [4, 3, 1]])
 def test_tree_merge_small_groups(spark, sizes):
-    rows = [(i, 0, 0, s, 0) for i, s in enumerate(sizes)]
-    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack_pieces(df, capacity=10, group_rows=8, slack=0).collect()
-    assert sorted(r.doc_id for r in got) == list(range(len(sizes)))
+    rows = [(i, 0, 0, s, bytes([i % 256]), i, i) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids binary, `row` int, `BIN` int")
+    got = packing.pack_pieces(df, capacity=10, group_rows=8).collect()
+    assert sorted((r.doc_id, r.row, r.BIN, bytes(r.ids)) for r in got) == [(i, i, i, bytes([i % 256])) for i in range(len(sizes))]
     by_seq = {}
     for r in got:
         by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -104,6 +104,8 @@ def test_tree_merge_small_groups(spark, sizes):
             assert o == at
             at += n
         assert at <= 10
-    _, bins = None, len(by_seq)
+    fills = sorted(sum(n for _, n in m) for m in by_seq.values())
+    assert len(fills) < 2 or fills[0] + fills[1] > 10  # no two sequences fit together
+    bins = len(by_seq)
     whole = len(set(packing.best_fit(sorted(sizes, reverse=True), 10)[0]))
     assert bins <= whole * 1.15 + 2
