@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Links a node keeps above the ground layer and on it, and beam widths for building and searching.
 LINKS, GROUND_LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 32, 64, 128
-#: Distinct vectors in a shard; queries in a block.
-SHARD_ROWS, BLOCK_ROWS = 8192, 512
+#: Distinct vectors in a shard of a small table; queries in a block; cells of a walk's table of seen points.
+SHARD_ROWS, BLOCK_ROWS, SEEN_CELLS = 8192, 512, 1 << 25
 
 
 class Graph:
@@ -56,6 +56,10 @@ class Graph:
         """The `width` nearest points met from the entry points, nearest first: ids (-1: none), distances."""
         import numpy as np
 
+        most = max(1, SEEN_CELLS // (len(self.x) + 1))
+        if len(q) > most:
+            parts = [self._beam(k, q[a : a + most], entry[a : a + most], width, expand) for a in range(0, len(q), most)]
+            return tuple(np.concatenate(p) for p in zip(*parts))
         links, n, m = self.layers[k], len(self.x), len(q)
         qn = np.einsum("ij,ij->i", q, q)
         ids = np.full((m, width), -1, np.int32)
@@ -184,21 +188,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
+def octave() -> Column:
+    """The binary exponent of v's length, without overflow."""
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    return F.floor(F.log2(largest) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))) / 2).cast("int")
+
+
 def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS, seed: int = 42) -> DataFrame:
-    """One row per shard: shard, dims, n, points, ids, id_counts, entry, layers, heights.
+    """One row per shard: shard, dims, n, points, extra, ids, id_counts, entry, layers, heights.
 
     Equal vectors are one point that carries its keep_ids smallest vec_ids (a search for fewer
-    never needs more). Points are dealt to shards by hash, shard_rows in each about; an extra
-    coordinate turns the largest inner product into the nearest point. ids, points and layers
-    are flat little-endian arrays.
+    never needs more). Points are dealt by length, within a factor of two, and there by hash to
+    shards of about shard_rows; beyond shard_rows points in all, shards grow with the root of
+    their number, and so does the number of shards. A shard's points are scaled by its longest,
+    and an extra coordinate turns the largest inner product into the nearest point; as lengths
+    in a shard differ by two at most, one huge vector takes nothing from the others. ids, points
+    and layers are flat little-endian arrays.
     """
     rows = usable(vectors)
     first = Window.partitionBy("h", "g").orderBy("vec_id")
     few = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep_ids)
-    points = cut(few.groupBy("h", "g").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    size = points.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
-    shards = max(1, -(-size["n"] // shard_rows))
-    longest = float(size["longest"] or 0.0)
+    points = cut(few.groupBy("h", "g").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumns({"dims": F.size("v"), "band": octave()}))
+    n = points.count()
+    rows_each = max(shard_rows, int((n * shard_rows) ** 0.5))
+    bands = points.groupBy("dims", "band").agg(F.ceil(F.count("*") / rows_each).cast("long").alias("parts"))  # some thousand rows at most: exponents of doubles
 
     def build(pdf):
         import numpy as np
@@ -206,19 +219,22 @@ def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS,
 
         pdf = pdf.sort_values(["h", "g"])
         x = np.stack(pdf["v"].to_list()).astype(np.float64)
-        more = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-        g = Graph(np.c_[x, more], seed)
+        scaled = x / abs(x).max()
+        square = (scaled * scaled).sum(1)
+        scaled = np.c_[scaled, np.sqrt(np.maximum(square.max() - square, 0))] / np.sqrt(square.max())
+        g = Graph(scaled, seed)
         made = g.packed()
         return pd.DataFrame(
             [{
-                "shard": int(pdf["shard"].iloc[0]), "dims": x.shape[1], "n": len(x), "points": x.astype("<f8").tobytes(), "extra": more.astype("<f8").tobytes(),
+                "shard": int(pdf["shard"].iloc[0]), "dims": x.shape[1], "n": len(x), "points": x.astype("<f8").tobytes(), "places": g.x.astype("<f4").tobytes(),
                 "ids": np.concatenate(pdf["ids"].to_list()).astype("<i8").tobytes(), "id_counts": np.array([len(i) for i in pdf["ids"]], "<i4").tobytes(),
                 "entry": made["entry"], "layers": made["layers"], "heights": made["heights"],
             }]
         )
 
-    schema = "shard long, dims int, n int, points binary, extra binary, ids binary, id_counts binary, entry int, layers binary, heights array<int>"
-    dealt = points.withColumn("dims", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("h", "g"), F.lit(shards)))
+    schema = "shard long, dims int, n int, points binary, places binary, ids binary, id_counts binary, entry int, layers binary, heights array<int>"
+    shard = F.xxhash64("band", F.pmod(F.xxhash64("h", "g"), F.col("parts")))
+    dealt = points.join(F.broadcast(bands), ["dims", "band"]).withColumn("shard", shard).drop("band", "parts")
     return cut(dealt.groupBy("dims", "shard").applyInPandas(build, schema))
 
 
@@ -226,8 +242,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     """h, g, vec_id, score: the k best of each distinct query vector queries(h, g, v), by inner product.
 
     Queries travel in blocks of BLOCK_ROWS; every block meets every shard of its dimension, and
-    a block's finds in a shard are cut to k before they are merged. Scores are inner products
-    of the original vectors in double precision; ties go to the smaller vec_id.
+    a block's finds in a shard are cut to k before they are merged. A walk that ends with fewer
+    than k ids where the shard has more is made good by scoring the whole shard. Scores are
+    inner products of the original vectors in double precision; ties go to the smaller vec_id.
     """
     shards = index.select("shard", "dims").collect()  # two numbers a shard
     blocks = queries.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("h", "g"), F.lit(max(1, -(-queries.count() // BLOCK_ROWS)))))
@@ -246,22 +263,27 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
                 x = np.frombuffer(r.points, "<f8").reshape(r.n, r.dims)
                 if last != (r.dims, r.shard):
                     last = (r.dims, r.shard)
-                    g = Graph.unpacked(np.c_[x, np.frombuffer(r.extra, "<f8")], r.entry, r.layers, list(r.heights))
+                    g = Graph.unpacked(np.frombuffer(r.places, "<f4").reshape(r.n, r.dims + 1), r.entry, r.layers, list(r.heights))
                     counts = np.frombuffer(r.id_counts, "<i4")
                     starts, ids = np.r_[0, np.cumsum(counts)], np.frombuffer(r.ids, "<i8")
                 q = np.stack([np.asarray(o["v"], np.float64) for o in r.q])
-                found = g.search(np.c_[q, np.zeros(len(q))], max(beam, k))
+                unit = q / abs(q).max(1, keepdims=True)
+                unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+                found = g.search(np.c_[unit, np.zeros(len(q))], max(beam, k))
                 out = []
-                for o, near, one in zip(r.q, found, q):
-                    near = near[near >= 0]
-                    score = np.repeat(x[near] @ one, counts[near])
-                    each = np.concatenate([ids[starts[i] : starts[i + 1]] for i in near])
-                    best = np.lexsort((each, -score))[:k]
-                    out.append(pd.DataFrame({"h": o["h"], "g": o["g"], "vec_id": each[best], "score": score[best]}))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    for o, near, one in zip(r.q, found, q):
+                        near = near[near >= 0]
+                        if counts[near].sum() < min(k, len(ids)):
+                            near = np.arange(r.n)
+                        score = np.repeat((x[near] * one).sum(1), counts[near])
+                        each = np.concatenate([ids[starts[i] : starts[i + 1]] for i in near])
+                        best = np.lexsort((each, -score))[:k]
+                        out.append(pd.DataFrame({"h": o["h"], "g": o["g"], "vec_id": each[best], "score": score[best]}))
                 yield pd.concat(out)
 
-    found = pairs.select("dims", "shard", "n", "points", "extra", "ids", "id_counts", "entry", "layers", "heights", "q").mapInPandas(run, "h long, g long, vec_id long, score double")
-    best = Window.partitionBy("h", "g").orderBy(F.desc("score"), "vec_id")
+    found = pairs.select("dims", "shard", "n", "points", "places", "ids", "id_counts", "entry", "layers", "heights", "q").mapInPandas(run, "h long, g long, vec_id long, score double")
+    best = Window.partitionBy("h", "g").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
@@ -275,7 +297,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
     asked = cut(usable(vectors).where(F.col("vec_id") % every == 0))
     distinct = cut(asked.groupBy("h", "g").agg(F.first("v").alias("v")))
     found = cut(search_index(index, distinct, k + 1, beam))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return (
         asked.select(F.col("vec_id").alias("query_id"), "h", "g").join(found, ["h", "g"]).where("vec_id <> query_id")
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

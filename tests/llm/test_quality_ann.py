@@ -46,6 +46,29 @@ def test_nearest(spark):
     assert [i for _, i, _ in sorted(got[q])] == [i for i, _ in want[q]]
 
 
+def test_recall_over_shards_and_with_outliers(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)) * rng.uniform(0.2, 3, 3000)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(3001, (x[5] * 1e4).tolist()), (3003, (x[9] / abs(x[9]).max() * 1e200).tolist()), (3007, (x[11] * 1e-300).tolist()), (3020, (x[3] * 1e180).tolist())]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=300).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    every, right, total = np.array([v for _, v in rows]), 0, 0
+    ids = np.array([i for i, _ in rows])
+    for q, v in rows:
+        if q % 20 == 0:
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = np.nan_to_num(every @ np.array(v), nan=-np.inf)
+            score[ids == q] = -np.inf
+            best = ids[np.lexsort((ids, -score))[:20]]
+            found = sorted(got[q])
+            assert len(found) == 20 and [s for *_, s in found] == sorted((s for *_, s in found), reverse=True)
+            right, total = right + len(set(best) & {i for _, i, _ in found}), total + 20
+    assert set(got) == {q for q, _ in rows if q % 20 == 0}
+    assert right / total >= 0.95
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in hnsw.nearest(df).collect()] == [(0, 1, 1, 0.5)]
