@@ -8,6 +8,7 @@ to the tokenizers library whole.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -47,6 +48,17 @@ def stretches(text: str):
     yield text[at:] if at else text
 
 
+def splits_plainly(model: str) -> bool:
+    """Whether SPLIT is the model's own splitter: byte-level merges, no normalizer, nothing put before a text."""
+    spec = json.loads(model)
+    pre, merges = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    odd = (merges.get("dropout"), merges.get("continuing_subword_prefix"), merges.get("end_of_word_suffix"), merges.get("byte_fallback"), merges.get("ignore_merges"))
+    return (
+        spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        and merges.get("type", "BPE") == "BPE" and not any(odd)
+    )
+
+
 def load(model: str):
     from tokenizers import Tokenizer
 
@@ -84,14 +96,14 @@ class Encoder:
     """Whole texts to packed little-endian uint32 ids, or to numbers of tokens."""
 
     def __init__(self, model: str, value, known=None):
-        self.tok = load(model)
+        self.tok, self.plain = load(model), splits_plainly(model)
         self.added = [a.content for a in self.tok.get_added_tokens_decoder().values()]
         self.split = re.compile(SPLIT).findall
         self.merger = Merger(self.tok, value, known)
 
     def pieces(self, text: str, raw: bytes):
         """Iterator of values of a text's pre-tokens; None where the library must take it whole."""
-        if raw and np.frombuffer(raw, np.uint8).max() >= 0xC9 or any(a in text for a in self.added):
+        if not self.plain or raw and np.frombuffer(raw, np.uint8).max() >= 0xC9 or any(a in text for a in self.added):
             return None
         get = self.merger.__getitem__
         return (map(get, self.split(s)) for s in stretches(text))
@@ -119,8 +131,11 @@ def whole_tokens(model: str) -> dict[str, int]:
     A string counts when the splitter leaves it whole and the tokenizer's own merges bring it
     back to the single id it has in the vocabulary; both are run on every entry. Special
     strings and ids that are no UTF-8 text on their own are left out. At most one entry per
-    vocabulary id, so the proof's size is bounded by the vocabulary.
+    vocabulary id, so the proof's size is bounded by the vocabulary. Models that split otherwise
+    than by SPLIT have none here: the library takes their texts whole.
     """
+    if not splits_plainly(model):
+        return {}
     tok = load(model)
     added = {a.content for a in tok.get_added_tokens_decoder().values()}
     ids = [i for s, i in tok.get_vocab(with_added_tokens=False).items() if s not in added]

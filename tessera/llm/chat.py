@@ -123,8 +123,8 @@ def chat_digest(turns: DataFrame, template: Template = Template()) -> DataFrame:
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.array_join(learned, "").alias("learned"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "valid",
+        "valid", "error_turn",
     ).select(
         "conv_id", "n_turns", "turns_sha256", F.length("learned").cast("long").alias("loss_chars"),
-        F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "valid",
+        F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "valid", "error_turn",
     )

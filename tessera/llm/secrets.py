@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, own, text_of, texts
 
 #: kind -> pattern, group that must be long enough, its least length
 BASE = {
@@ -53,12 +53,12 @@ TEXT_REPEAT = 0.066
 
 
 def battery(s: Column) -> Column:
-    """struct<stratum, bin> of a candidate: its length-and-encoding stratum and its p-value's bin.
+    """struct<stratum, even, odd> of a candidate: its stratum of length and encoding, and two p-values' bins.
 
-    The encoding inferred from the characters sets the alphabet size k. Chi-squared against a
-    uniform alphabet is compared with what text of this length would give (p: how likely text
-    is as even as this); a runs test about the mean and a lag-1 serial correlation must not
-    reject randomness at one in a thousand, else p is 1. bin is the floor of -20 log10 p.
+    The encoding inferred from the characters sets the alphabet size k. odd is for randomness:
+    the least of three p-values, times three, of chi-squared against a uniform alphabet, a runs
+    test about the mean and a lag-1 serial correlation. even is against ordinary text: how
+    likely text of this length is as even as this. A bin is the floor of -20 log10 p.
     """
     one = F.array(s)
 
@@ -68,6 +68,7 @@ def battery(s: Column) -> Column:
         k = (
             F.when(s.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0)
             .when(s.rlike("^[A-Z2-7]+=*$"), 32.0)
+            .when(s.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36.0)
             .when(s.rlike("^[0-9A-Za-z]+$"), 62.0)
             .otherwise(64.0)
         )
@@ -102,58 +103,64 @@ def battery(s: Column) -> Column:
         z_serial = F.abs(pairs(lambda a, b: a * b) / F.greatest(energy, F.lit(1e-9)) * F.sqrt(n))
         token = r["m"]["s"]
         mixed = token.rlike("[0-9]") | (token.rlike("[a-z].*[a-z].*[a-z]") & token.rlike("[A-Z].*[A-Z].*[A-Z]"))  # words in one case are evenly spread now and then
-        random = mixed & (high > 0) & (low > 0) & (z_runs < 3.29) & (z_serial < 3.29) & (z_text < 0)
-        z = F.abs(z_text)
         # logistic form of the normal tail
-        minus_log10_p = F.log10(1 + F.exp(F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(300.0))))
+        tail = lambda z: F.log10(1 + F.exp(F.greatest(F.lit(-30.0), F.least(1.5976 * z + 0.07056 * z * z * z, F.lit(300.0)))))
+        z_uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+        two_sided = F.log10(F.lit(2.0))
+        odd = F.greatest(tail(z_uniform), tail(z_runs) - two_sided, tail(z_serial) - two_sided) - F.log10(F.lit(3.0))
+        binned = lambda p: F.least(F.floor(20 * F.greatest(p, F.lit(0.0))), F.lit(1200)).cast("int")
+        varied = mixed & (high > 0) & (low > 0)
         stratum = F.least(F.floor(F.log2(n)), F.lit(12)) * 100 + k
         return F.struct(
-            stratum.cast("int").alias("stratum"),
-            F.when(random, F.least(F.floor(20 * minus_log10_p), F.lit(1200))).otherwise(0).cast("int").alias("bin"),
+            stratum.cast("int").alias("stratum"), F.when(varied & (z_text < 0), binned(tail(-z_text))).otherwise(0).alias("even"), F.when(varied, binned(odd)).otherwise(1200).alias("odd")
         )
 
     return F.transform(F.transform(F.transform(F.transform(one, measured), averaged), centred), judged)[0]
 
 
-def discoveries(tested: DataFrame, level: float) -> DataFrame:
-    """stratum, least: the lowest bin that Benjamini-Hochberg accepts at level, for each stratum.
+def discoveries(tested: DataFrame, bin_: str, level: float) -> DataFrame:
+    """One row, cuts: map of stratum to the lowest bin that Benjamini-Hochberg accepts at level.
 
     The p-values are counted in bins first, so what is ordered is at most a few thousand rows
     whatever the input; a bin's largest p-value stands for all of it.
     """
     from pyspark.sql import Window
 
-    binned = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
+    binned = tested.groupBy("stratum", F.col(bin_).alias("bin")).agg(F.count("*").alias("n"))
     all_of = Window.partitionBy("stratum")
     above = all_of.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = binned.select("stratum", "bin", F.sum("n").over(above).alias("rank"), F.sum("n").over(all_of).alias("m"))
-    return ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / 20) <= level * F.col("rank") / F.col("m"))).groupBy("stratum").agg(F.min("bin").alias("least"))
+    least = ranked.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / 20) <= level * F.col("rank") / F.col("m"))).groupBy("stratum").agg(F.min("bin").alias("least"))
+    return least.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias(f"{bin_}_cuts"))
 
 
 def as_kind(found: Column, kind: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _tested(docs: DataFrame) -> DataFrame:
-    """docs and __base, __runs: the fixed patterns' spans, and the tested runs outside them."""
-    plain = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for kind in BASE:
-        plain = plain.withColumn(f"__{kind}", spans(F.col("__text"), SCAN[kind], BASE[kind][1], BASE[kind][2]))
-    base = F.concat(*[as_kind(F.col(f"__{kind}"), i) for i, kind in enumerate(BASE)])
-    plain = plain.select(*docs.columns, "__text", base.alias("__base")).withColumn("__runs", spans(F.col("__text"), CANDIDATE))
-    outside = F.filter("__runs", lambda x: ~F.exists("__base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    plain = plain.select(*docs.columns, "__text", "__base", outside.alias("__runs"))
-    part = lambda x: F.col("__text").substr(x["start"] + 1, x["end"] - x["start"])
-    judged = F.transform("__runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(part(x)).alias("t")))
-    return plain.select(*docs.columns, "__base", judged.alias("__runs"))
+def _tested(docs: DataFrame, keep: str) -> DataFrame:
+    """keep (a column of docs), text, and base, runs: the fixed patterns' spans, and the tested runs outside them."""
+    plain = docs.select(keep, "text", *[spans(F.col("text"), SCAN[kind], BASE[kind][1], BASE[kind][2]).alias(f"base_{kind}") for kind in BASE], spans(F.col("text"), CANDIDATE).alias("runs"))
+    base = F.concat(*[as_kind(F.col(f"base_{kind}"), i) for i, kind in enumerate(BASE)])
+    plain = plain.select(keep, "text", base.alias("base"), "runs")
+    outside = F.filter("runs", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    part = lambda x: F.col("text").substr(x["start"] + 1, x["end"] - x["start"])
+    judged = F.transform(outside, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(part(x)).alias("t")))
+    return plain.select(keep, "text", "base", judged.alias("runs"))
 
 
 def _accepted(tested: DataFrame, level: float, of: DataFrame) -> DataFrame:
-    """of(..., __base, __runs) with __found: all spans, by the cuts that hold over `tested`."""
-    cuts = discoveries(tested.select(F.explode("__runs").alias("r")).select("r.t.stratum", "r.t.bin"), level)
-    least = cut(cuts.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("__cuts")))  # one row, one entry a stratum
-    random = as_kind(F.filter("__runs", lambda x: x["t"]["bin"] >= F.coalesce(F.try_element_at("__cuts", x["t"]["stratum"]), F.lit(1 << 30))), 3)
-    return of.crossJoin(F.broadcast(least)).withColumn("__found", F.array_sort(F.concat("__base", random)))
+    """of(..., base, runs) with found: all spans, by the cuts that hold over `tested`.
+
+    A run is random if the battery's p-value does not reject randomness, with false rejections
+    held at level / 10, and it is a secret if it is also too even for text, with false
+    discoveries held at level.
+    """
+    bins = tested.select(F.explode("runs").alias("r")).select("r.t.*")
+    cuts = cut(discoveries(bins, "even", level).crossJoin(discoveries(bins, "odd", level / 10)))  # one row, one entry a stratum
+    at = lambda cuts, x: F.coalesce(F.try_element_at(cuts, x["t"]["stratum"]), F.lit(1 << 30))
+    secret = lambda x: (x["t"]["even"] >= at("even_cuts", x)) & (x["t"]["odd"] < at("odd_cuts", x)) & (x["t"]["odd"] < 1200)
+    return of.crossJoin(F.broadcast(cuts)).withColumn("found", F.array_sort(F.concat("base", as_kind(F.filter("runs", secret), 3))))
 
 
 def scan_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
@@ -162,10 +169,11 @@ def scan_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
     Offsets count code points, end exclusive. Kinds 0 to 2 are fixed patterns; kind 3 are runs
     of 20 or more encoding characters outside those spans that the battery finds random, with
     false discoveries held at `level` within each stratum of length and encoding. Null and
-    empty texts have no spans; repeated rows are scanned each; a null doc_id stays null.
+    empty texts have no spans; very long texts are scanned whole; repeated rows are scanned
+    each; a null doc_id stays null; columns other than doc_id and text are ignored.
     """
-    tested = cut(_tested(texts(docs)).select("doc_id", "__base", "__runs"))
-    return _accepted(tested, level, tested).select("doc_id", F.col("__found").alias("found"))
+    tested = cut(_tested(texts(docs), "doc_id").select("doc_id", "base", "runs"))
+    return _accepted(tested, level, tested).select("doc_id", "found")
 
 
 def spans_text(found: Column) -> Column:
@@ -186,8 +194,9 @@ def secret_digest(docs: DataFrame, level: float = 0.01) -> DataFrame:
 def redact(docs: DataFrame, level: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
     """docs with the spans of scan_secrets replaced by mark in text; every other column unchanged.
 
-    Spans that touch or overlap become one mark. A first pass over the texts sets the cuts of
-    the false-discovery control, a second one redacts, so no text is shuffled.
+    Spans that touch or overlap become one mark; a null text stays null; columns may have any
+    names. A first pass over the texts sets the cuts of the false-discovery control, a second
+    one redacts, so no text is shuffled.
     """
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -200,6 +209,7 @@ def redact(docs: DataFrame, level: float = 0.01, mark: str = "[SECRET]") -> Data
         )
 
     rest = lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text") - acc["at"]))
-    found = _accepted(_tested(docs.select("text")), level, _tested(docs))
-    clean = F.when(F.size("__found") > 0, F.aggregate("__found", start, step, rest)).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*docs.columns)
+    whole = docs.select(F.struct(*own(docs)).alias("row"), text_of().alias("text"))
+    found = _accepted(_tested(whole.select("text", F.lit(0).alias("row")), "row"), level, _tested(whole, "row"))
+    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, rest)).otherwise(F.col("row")["text"])
+    return found.select(F.col("row").withField("text", clean).alias("row")).select("row.*")

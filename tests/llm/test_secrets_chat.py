@@ -43,11 +43,27 @@ def test_base_spans(spark):
 
 def test_redact_and_empty(spark):
     df = spark.createDataFrame([(1, "a token=abcdef123 b", "k"), (1, "plain", "k"), (2, None, "k")], "doc_id long, text string, found string")
+    df = df.selectExpr("*", "1 as __text", "2 as base", "3 as `a.b`", "4 as row")
+    assert secrets.redact(df).columns == df.columns
     got = sorted(((r.doc_id, r.text, r.found) for r in secrets.redact(df).collect()), key=str)
     assert got == [(1, "a [SECRET] b", "k"), (1, "plain", "k"), (2, None, "k")]
     assert secrets.secret_digest(df.limit(0)).count() == 0
 
 
+def test_random_strings_told_from_names(spark):
+    """Planted random strings of several encodings among names and words: few of either are taken for the other."""
+    rng = random.Random(6)
+    kinds = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    words = "network interface controller manager abstract factory singleton proxy transaction internal configuration message service handler default customer account".split()
+    rows = []
+    for i in range(300):
+        rows.append((i, "key " + "".join(rng.choices(kinds[i % 5], k=rng.randint(32, 80))) + " end"))
+        rows.append((1000 + i, "name " + "_".join(rng.choices(words, k=rng.randint(3, 6))) + " and " + "".join(w.capitalize() for w in rng.choices(words, k=4)) + str(i)))
+    got = {r.doc_id: "random" in r.spans for r in secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(v for i, v in got.items() if i < 1000) >= 270
+    assert sum(v for i, v in got.items() if i >= 1000) <= 3
+
+
 def digest(turns):
     said = [(r or "", t or "") for r, t in turns]
     learned = "".join(t for r, t in said if r == "assistant")
