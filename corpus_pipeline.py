@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, packing, queries, secrets, simhash, toxicity
-from tessera.llm.common import shared_dir
+from tessera.llm.common import remove, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised and packed into sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, queries.tokenizer_path(), with_ids=False)
+    """What is left, tokenised and packed into sequences of at most 2048 tokens; ids holds the tokens."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
 
 
 STAGES = [
@@ -49,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's result is written as Parquet and read again."""
+    """Applies the stages to documents; each stage's result is written as Parquet and read again, then dropped once the next one is."""
     docs = queries.read(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{base}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
