@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import rules
 from tessera.functions import text as T
+from tessera.functions.ordered import in_order
 
 TRANSIENT = r"timeout|connection|timed out|too many requests|rate limit|service unavailable|try again"
 
@@ -59,22 +60,28 @@ def resolve_calls(calls: DataFrame, rounds: int = 3) -> DataFrame:
 
     A call succeeds at try ok_from (null: never), a failing one is tried again only if its
     error is transient, `rounds` times at most; a call whose dependency failed or was skipped
-    is skipped. The dependency chain is followed by a fold over a run's calls in order.
+    is skipped. A run's calls are read in order, with those that did not succeed remembered.
     """
     kind = error_type(F.col("error"))
-    fails = (F.col("ok_from").isNull() | (F.col("ok_from") > F.when(kind == "transient", rounds).otherwise(1)))
-    row = F.struct("idx", "depends_on", fails.alias("fails"), kind.alias("kind"), F.coalesce("ok_from", F.lit(rounds + 1)).alias("ok_from"))
-    runs = calls.groupBy("run_id").agg(F.sort_array(F.collect_list(row)).alias("c"))
-
-    def step(acc, c):
-        blocked = F.exists(c["depends_on"], lambda d: F.exists(acc, lambda a: (a["idx"] == d) & (a["status"] != "done")))
-        status = F.when(blocked, "skipped").when(c["fails"], "failed").otherwise("done")
-        tries = F.when(blocked, 0).when(c["kind"] == "transient", F.least(c["ok_from"], F.lit(rounds))).otherwise(1)
-        typed = F.when(blocked, F.lit("permanent")).when(c["fails"], F.coalesce(c["kind"], F.lit("permanent")))
-        return F.concat(acc, F.array(F.struct(c["idx"].alias("idx"), status.alias("status"), typed.alias("error_type"), tries.cast("int").alias("tries"))))
-
-    empty = F.array().cast("array<struct<idx:int,status:string,error_type:string,tries:int>>")
-    return runs.select("run_id", F.explode(F.aggregate("c", empty, step)).alias("x")).select("run_id", "x.*")
+    fails = F.col("ok_from").isNull() | (F.col("ok_from") > F.when(kind == "transient", rounds).otherwise(1))
+    ready = calls.select("run_id", F.col("idx").cast("int").alias("idx"), "depends_on", fails.alias("fails"), F.coalesce(kind, F.lit("")).alias("kind"), F.coalesce("ok_from", F.lit(rounds + 1)).alias("ok_from"))
+
+    def resolve():
+        undone = set()
+
+        def one(idx, depends_on, fails, kind, ok_from):
+            if any(d in undone for d in (depends_on if depends_on is not None else ())):
+                undone.add(idx)
+                return idx, "skipped", "permanent", 0
+            tries = min(ok_from, rounds) if kind == "transient" else 1
+            if not fails:
+                return idx, "done", None, int(tries)
+            undone.add(idx)
+            return idx, "failed", kind or "permanent", int(tries)
+
+        return one
+
+    return in_order(ready, ("run_id",), ("idx", "depends_on", "fails", "kind", "ok_from"), resolve, "idx int, status string, error_type string, tries int")
 
 
 def confidence(reasoning: Column, any_success: Column) -> Column:

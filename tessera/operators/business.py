@@ -48,8 +48,8 @@ def premium_lookup(req: DataFrame, rates: DataFrame, width: int = 5) -> DataFram
     r = req.select("request_id", F.col("product_name").alias("r_product"), "age", F.col("sum_insured").alias("r_sum"), F.floor(F.col("age") / width).alias("bucket"))
     met = b.join(small(r), "bucket").where("age between min_age and max_age").where(F.col("product_name").contains(F.col("r_product")))
     met = met.where(F.col("r_sum").isNull() | (F.col("sum_insured") == F.col("r_sum")))
-    cheapest = Window.partitionBy("request_id").orderBy("premium_yearly", "rate_id")
-    return met.withColumn("nth", F.row_number().over(cheapest)).where("nth = 1").select("request_id", "rate_id", "age", "premium_yearly")
+    cheapest = F.min(F.struct("premium_yearly", "rate_id", "age"))  # partial on both sides of the shuffle
+    return met.groupBy("request_id").agg(cheapest.alias("x")).select("request_id", "x.rate_id", "x.age", "x.premium_yearly")
 
 
 def compare_products(hits: DataFrame, dims: list[str], most: int = 3, chars: int = 300) -> DataFrame:

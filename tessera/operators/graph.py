@@ -27,7 +27,11 @@ def seed(spark: SparkSession, diseases=None, aliases=None) -> tuple[DataFrame, D
     """K1: categories, diseases with an edge to each of their categories (attribute: the last), insurers with aliases."""
     diseases, aliases = diseases or rules.DISEASES, aliases or rules.INSURER_ALIASES
     d = spark.createDataFrame([(i, c, x) for i, (c, xs) in enumerate(diseases.items()) for x in xs], "pos int, category string, name string")
-    a = spark.createDataFrame(list(aliases.items()), "alias string, name string")
+    return seed_tables(d, spark.createDataFrame(list(aliases.items()), "alias string, name string"))
+
+
+def seed_tables(d: DataFrame, a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K1 from dictionary tables: d(pos, category, name), a(alias, name)."""
     col = F.col
     cats = d.select("category").distinct().select(*node(F.concat(F.lit("category:"), col("category")), "Category", col("category")))
     ills = d.groupBy("name").agg(F.max_by("category", "pos").alias("category")).select(*node(F.concat(F.lit("disease:"), col("name")), "Disease", col("name"), category=col("category")))
@@ -130,20 +134,25 @@ def both_ways(edges: DataFrame, directed: bool = False) -> DataFrame:
     return e.distinct() if directed else e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def neighbors(seeds: DataFrame, edges: DataFrame, hops: int = 2, directed: bool = False) -> DataFrame:
+def neighbors(seeds: DataFrame, edges: DataFrame, hops: int = 2, directed: bool = False, nodes: DataFrame | None = None, label: str | None = None) -> DataFrame:
     """(request_id, id) -> request_id, id, distance: every node within hops, at its least distance.
 
-    One join a hop; a frontier holds a node once and leaves out what was seen before.
+    One join a hop, until the hops are done or nothing new is met; a frontier holds a node once
+    and leaves out what was seen before. With a label, paths lead through any node, but only
+    nodes(id, label) of that label are returned.
     """
     e = cut(both_ways(edges, directed))
     seen = seeds.select("request_id", "id", F.lit(0).alias("distance")).distinct()
     frontier = seen
-    for h in range(1, min(hops, 4) + 1):
+    for h in range(1, hops + 1):
         step = frontier.select("request_id", F.col("id").alias("src")).join(e, "src").select("request_id", F.col("dst").alias("id")).distinct()
         frontier = step.join(seen.select("request_id", "id"), ["request_id", "id"], "left_anti").withColumn("distance", F.lit(h))
         frontier = cut(frontier)
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    return seen.where("distance > 0")
+    found = seen.where("distance > 0")
+    return found if label is None else found.join(nodes.where(F.col("label") == label).select("id"), "id", "left_semi")
 
 
 def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 4, directed: bool = False) -> DataFrame:

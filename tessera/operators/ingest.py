@@ -102,22 +102,20 @@ def chunk_by_paragraph(paras: DataFrame, size: int = 512, overlap: int = 64, del
     return packed.select("doc", "para", (F.row_number().over(through) - 1).alias("idx"), "text")
 
 
-def chunk_rows(children: DataFrame, ratio: int = 4) -> DataFrame:
-    """Children and parents as store rows."""
-    parents = parent_chunks(children, ratio)
-    pid = F.format_string("%s_parent_%04d", F.col("doc").cast("string"), F.col("parent"))
-    kids = (
-        children.withColumn("parent", F.floor(F.col("idx") / ratio).cast("int"))
-        .join(parents.withColumnRenamed("text", "parent_text"), ["doc", "parent"])
-        .select(
-            F.format_string("%s_child_%04d", F.col("doc").cast("string"), F.col("idx")).alias("chunk_id"), "doc", F.lit("child").alias("chunk_type"),
-            pid.alias("parent_id"), F.col("idx").alias("chunk_index"), "text", "parent_text",
-        )
-    )
-    none = F.lit(None).cast("string")
-    return kids.unionByName(
-        parents.select(pid.alias("chunk_id"), "doc", F.lit("parent").alias("chunk_type"), none.alias("parent_id"), F.lit(-1).alias("chunk_index"), "text", none.alias("parent_text"))
-    )
+def chunk_rows(df: DataFrame, text: str = "text", doc: str = "doc_id", size: int = 512, overlap: int = 64, ratio: int = 4, delims: str = rules.CHUNK_DELIMS) -> DataFrame:
+    """A document's children and parents as store rows, made inside its own row: one fold, no shuffle."""
+    packed = df.select(F.col(doc).alias("doc"), T.pack(T.sentences(F.col(text), delims), size, overlap).alias("kids"))
+    family = packed.where(F.size("kids") > 0).select("doc", "kids", F.transform(F.sequence(F.lit(0), F.floor((F.size("kids") - 1) / ratio).cast("int")), lambda p: T.join(F.slice("kids", p * ratio + 1, ratio))).alias("parents"))
+    name, none = F.col("doc").cast("string"), F.lit(None).cast("string")
+    pid = lambda p: F.format_string("%s_parent_%04d", name, p)
+
+    def row(chunk_id, kind, parent_id, index, body, parent_text):
+        return F.struct(chunk_id.alias("chunk_id"), F.lit(kind).alias("chunk_type"), parent_id.alias("parent_id"), index.alias("chunk_index"), body.alias("text"), parent_text.alias("parent_text"))
+
+    up = lambda i: F.floor(i / ratio).cast("int")
+    kids = F.transform("kids", lambda t, i: row(F.format_string("%s_child_%04d", name, i), "child", pid(up(i)), i, t, F.get("parents", up(i))))
+    parents = F.transform("parents", lambda t, i: row(pid(i), "parent", none, F.lit(-1), t, none))
+    return family.select("doc", F.explode(F.concat(kids, parents)).alias("r")).select("r.chunk_id", "doc", "r.chunk_type", "r.parent_id", "r.chunk_index", "r.text", "r.parent_text")
 
 
 def boundary_density(tokens: DataFrame, sents: DataFrame, width: int = 256) -> DataFrame:
@@ -140,13 +138,26 @@ def window_vote(preds: DataFrame, spine: DataFrame, stride: int = 350, least: fl
 
 
 def group_paragraphs(sents: DataFrame, least: float = 0.3) -> DataFrame:
-    """(doc, sent, text, ratio) -> doc, para, text; the first sentence opens, then any of ratio >= least."""
+    """I16: (doc, sent, text, ratio) -> doc, para, text; the first sentence opens, then any of ratio >= least."""
     running = Window.partitionBy("doc").orderBy("sent")
     opens = (F.row_number().over(running) == 1) | (F.col("ratio") >= least)
     marked = sents.withColumn("o", opens.cast("int")).withColumn("para", F.sum("o").over(running) - 1)
     return marked.groupBy("doc", "para").agg(T.join(F.transform(F.sort_array(F.collect_list(F.struct("sent", "text"))), lambda x: x["text"])).alias("text"))
 
 
+def segment(docs: DataFrame, sents: DataFrame, ratio: float = 0.3, least: int = 100, most: int = 4000, header: str = rules.HEADER, delims: str = rules.SEGMENT_DELIMS) -> DataFrame:
+    """docs(doc, text), sents(doc, sent, text, ratio) -> doc, para, part, text.
+
+    A text under `least` characters, or of one sentence at most, is one paragraph as it stands;
+    an empty or null one has none. The others are grouped, short paragraphs merged, long ones cut.
+    """
+    many = sents.groupBy("doc").agg(F.count("*").alias("many"))
+    judged = docs.join(many, "doc", "left").where(F.coalesce(F.length("text"), F.lit(0)) > 0).withColumn("whole", (F.length("text") < least) | (F.coalesce("many", F.lit(0)) <= 1))
+    whole = judged.where("whole").select("doc", F.lit(0).cast("long").alias("para"), F.lit(0).alias("part"), "text")
+    rest = sents.join(judged.where("not whole").select("doc"), "doc", "left_semi")
+    return whole.unionByName(split_long(merge_short(group_paragraphs(rest, ratio), least, header), most, delims))
+
+
 def merge_short(paras: DataFrame, least: int = 100, header: str = rules.HEADER) -> DataFrame:
     """(doc, para, text): a short first paragraph joins the next one; later short ones, if no header, the one before."""
     by = Window.partitionBy("doc").orderBy("para")
@@ -165,18 +176,17 @@ def split_long(paras: DataFrame, most: int = 4000, delims: str = rules.SEGMENT_D
     return paras.select("doc", "para", F.posexplode(parts).alias("part", "text"))
 
 
-def annotate_clause(children: DataFrame, secs: DataFrame, chars: int = 50, strict: bool = False, default: str = "其他") -> DataFrame:
-    """clause_type of each child: the first section that contains its first characters.
+def annotate_clause(kids: Column, sections: Column, chars: int = 50, strict: bool = True, default: str = "其他") -> Column:
+    """The clause type of each child: the title of the first section whose body holds its first characters.
 
-    strict compares as written; otherwise white space is left out on both sides, since chunks
-    have lost their line ends.
+    Works inside one document's row: kids is its array of texts, sections its array of
+    struct<title, body>. Texts are compared as written; not strict, white space is left out on
+    both sides, since chunks have lost their line ends.
     """
     flat = (lambda c: c) if strict else (lambda c: F.regexp_replace(c, r"\s+", ""))
-    probe = F.substring(flat(F.col("text")), 1, chars)
-    c = children.withColumn("probe", probe)
-    hits = c.join(secs.select("doc", "pos", "title", flat(F.col("body")).alias("body")), "doc").where(F.instr(F.col("body"), F.col("probe")) > 0)
-    first = hits.groupBy("doc", "idx").agg(F.min_by("title", "pos").alias("clause_type"))
-    return children.join(first, ["doc", "idx"], "left").withColumn("clause_type", F.coalesce("clause_type", F.lit(default)))
+    plain = F.transform(sections, lambda s: F.struct(s["title"].alias("title"), flat(s["body"]).alias("body")))
+    first = lambda probe: F.get(F.filter(plain, lambda s: F.contains(s["body"], probe)), 0)["title"]
+    return F.transform(kids, lambda k: F.coalesce(first(F.substring(flat(k), 1, chars)), F.lit(default)))
 
 
 def invalidate_versions(store: DataFrame, incoming: DataFrame) -> DataFrame:

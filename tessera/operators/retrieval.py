@@ -8,13 +8,32 @@ from pyspark.sql import functions as F
 from tessera import rules
 from tessera.functions import text as T
 
-#: Rows up to which a table of queries or dictionary entries is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes up to which a table of queries or dictionary entries is broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = F.octet_length(c)
+        elif kind == "array":
+            plain = field.dataType.elementType.typeName() in ("double", "float", "long", "integer", "short", "byte", "boolean")
+            size = F.size(c) * 8 if plain else F.octet_length(F.to_json(F.struct(c)))
+        elif kind in ("map", "struct", "variant"):
+            size = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows and `most` bytes, as it is otherwise."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(df).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
 def words(c: Column) -> Column:
@@ -194,10 +213,19 @@ def build_context(queries: DataFrame, hits: DataFrame, top: int = 5, none: str =
     return queries.select("query_id").join(made, "query_id", "left").select("query_id", F.coalesce(T.join(F.transform("a", lambda x: x["t"]), "\n\n"), F.lit(none)).alias("context"))
 
 
-def retrieve(q: DataFrame, chunks: DataFrame, parents: DataFrame, filters: dict | None = None, coarse: int = 30, k: int = 5, second=None, scorer: Column | None = None) -> DataFrame:
-    """Filter, two ranked lists, fusion, parents, rerank; payload joins ids only after the top-k."""
+def sparse_list(q: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """The sparse side of hybrid retrieval: terms of q(query_id, query) against those of live(id, text)."""
+    return sparse_topk(postings(q, "query_id", "query"), postings(live, "id", "text"), k)
+
+
+def retrieve(q: DataFrame, chunks: DataFrame, parents: DataFrame, filters: dict | None = None, coarse: int = 30, k: int = 5, second=None, scorer: Column | None = None, first=dense_topk) -> DataFrame:
+    """Filter, two ranked lists, fusion, parents, rerank; payload joins ids only after the top-k.
+
+    first and second are functions (queries, live chunks, k) -> ranked list: exact search unless
+    given, with sparse_list or an IVF search as the usual others.
+    """
     live = chunks.where(scalar_filter(filters))
-    lists = [dense_topk(q, live, coarse), second(q, live, coarse) if second else dense_topk(q, live, coarse, (1, 32))]
+    lists = [first(q, live, coarse), second(q, live, coarse) if second else dense_topk(q, live, coarse, (1, 32))]
     fused = rrf(lists, top=coarse)
     hits = with_parent(fused.join(live.drop("v"), "id"), parents)
     cosine = lists[0].select("query_id", "id", F.col("score").alias("dense"))

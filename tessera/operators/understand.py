@@ -139,9 +139,9 @@ def constraints(q: Column, mode: str = "fixed", waiting=None, deductible=None, t
     )
 
 
-def count_products(q: Column, names, pattern: str = rules.PRODUCT_PATTERN) -> Column:
+def count_products(q: Column, names, pattern: str = rules.PRODUCT_PATTERN, insurers=rules.INSURERS) -> Column:
     """Q17"""
-    return F.size(link_products(q, names, pattern))
+    return F.size(link_products(q, names, pattern, insurers))
 
 
 def is_vague(q: Column, n_entities: Column, least: int = 8) -> Column:

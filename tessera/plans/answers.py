@@ -92,6 +92,15 @@ def b1_policy_lookup(spark, d):
     return B.policy_lookup(r, policies(spark, d)).select("request_id", "code", "l_orderkey", "l_linenumber")
 
 
+@query(f"WITH {POLICIES}, r AS (SELECT s_suppkey AS request_id, substr(s_name, 1, 14) AS ri, CASE WHEN s_suppkey % 2 = 0 THEN 'red' END AS rp FROM supplier WHERE s_suppkey % 3 <> 0), m AS (SELECT request_id, code, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY request_id ORDER BY effective_date DESC, user_id, insurer, product_name, code, status, l_orderkey, l_linenumber, l_extendedprice) AS n FROM policies JOIN r ON contains(insurer, ri) AND (rp IS NULL OR contains(product_name, rp)) WHERE is_valid) SELECT request_id, code, l_orderkey, l_linenumber FROM m WHERE n <= 5")
+def b1_policy_lookup_by_insurer(spark, d):
+    """Staff ask by insurer without a user; customers without one get nothing."""
+    s = read_table(spark, d, "supplier")
+    none = F.lit(None).cast("long")
+    r = s.select(F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 3 != 0, "agent").otherwise("customer").alias("role"), none.alias("self_id"), none.alias("user_id"), F.substring("s_name", 1, 14).alias("insurer"), F.when(F.col("s_suppkey") % 2 == 0, "red").alias("product_name"))
+    return B.policy_lookup(r, policies(spark, d)).select("request_id", "code", "l_orderkey", "l_linenumber")
+
+
 @query(f"WITH {CLAIMS}, r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber AS report_no, l_orderkey FROM lineitem) SELECT r.report_no AS request_id, r.report_no, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN c.user_id = l_orderkey % 150 THEN status END ELSE status END AS status FROM r LEFT JOIN claims c USING (report_no)")
 def b2_claim_lookup(spark, d):
     li = read_table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("report_no"), "l_orderkey").distinct()
@@ -146,10 +155,12 @@ def profile(spark, d):
     return B.user_profile(read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), policies(spark, d), claims(spark, d))
 
 
-@query(f"WITH {PROFILE} SELECT user_id, coalesce(len(ps), 0)::INT AS n_policies, coalesce(len(cs), 0)::INT AS n_claims, ps IS NOT NULL OR cs IS NOT NULL AS has_data FROM f")
+@query(f"WITH {PROFILE} SELECT user_id, coalesce(len(ps), 0)::INT AS n_policies, coalesce(len(cs), 0)::INT AS n_claims, md5(concat_ws(';', array_to_string(ps, ';'), array_to_string(cs, ';'))) AS held_md5, ps IS NOT NULL OR cs IS NOT NULL AS has_data FROM f")
 def b8_user_profile(spark, d):
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return profile(spark, d).select("user_id", F.when(F.col("policies").isNull(), 0).otherwise(n("policies")).alias("n_policies"), F.when(F.col("claims").isNull(), 0).otherwise(n("claims")).alias("n_claims"), "has_data")
+    p = F.array_join(F.transform("policies", lambda x: F.concat(x["product_name"], F.lit("("), x["insurer"], F.lit(", "), x["status"], F.lit(")"))), ";")
+    c = F.array_join(F.transform("claims", lambda x: F.concat(x["report_no"], F.lit("("), x["status"], F.lit(")"))), ";")
+    return profile(spark, d).select("user_id", F.when(F.col("policies").isNull(), 0).otherwise(n("policies")).alias("n_policies"), F.when(F.col("claims").isNull(), 0).otherwise(n("claims")).alias("n_claims"), F.md5(F.concat_ws(";", p, c)).alias("held_md5"), "has_data")
 
 
 @query(f"WITH {PROFILE}, s AS (SELECT user_id, concat_ws(chr(10), CASE WHEN len(ps) > 0 THEN '  • 已购保单(' || len(ps) || '): ' || array_to_string(ps[1:3], '; ') END, CASE WHEN len(cs) > 0 THEN '  • 理赔记录(' || len(cs) || '): ' || array_to_string(cs[1:3], '; ') END) AS body FROM f) SELECT user_id, md5(CASE WHEN body <> '' THEN '用户画像:' || chr(10) || body ELSE '' END) AS summary_md5 FROM s")

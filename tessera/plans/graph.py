@@ -47,19 +47,47 @@ def part_edges(spark, d):
     )
 
 
+def seeded(spark, d):
+    p = read_table(spark, d, "part")
+    names = p.groupBy(F.col("p_type").alias("category"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
+    return G.seed_tables(names, p.where("p_size <= 10").select(F.concat(F.lit("size"), "p_size").alias("alias"), F.col("p_brand").alias("name")).distinct())
+
+
 @query("SELECT p_type AS category, p_name AS name, count(*) > 0 AS linked FROM part GROUP BY ALL")
 def k1_seed_edges(spark, d):
-    p = read_table(spark, d, "part")
-    e = p.select(*G.edge(key("disease:", "p_name"), key("category:", "p_type"), "belongs_to")).distinct()
+    _, e = seeded(spark, d)
     return e.select(F.substring("dst", 10, 100).alias("category"), F.substring("src", 9, 100).alias("name"), F.lit(True).alias("linked"))
 
 
+@query("WITH d AS (SELECT p_type AS category, p_name AS name, min(p_partkey) AS pos FROM part GROUP BY ALL), n AS (SELECT 'category:' || category AS id, 'Category' AS label, category AS name, NULL AS attr FROM (SELECT DISTINCT category FROM d) UNION ALL SELECT 'disease:' || name, 'Disease', name, arg_max(category, pos) FROM d GROUP BY name UNION ALL SELECT 'insurer:' || p_brand, 'Insurer', p_brand, string_agg(DISTINCT 'size' || p_size, ',' ORDER BY 'size' || p_size) FROM part WHERE p_size <= 10 GROUP BY p_brand) SELECT * FROM n")
+def k1_seed_nodes(spark, d):
+    n, _ = seeded(spark, d)
+    return n.select("id", "label", "name", F.coalesce(F.try_element_at("attrs", F.lit("category")), F.try_element_at("attrs", F.lit("aliases"))).alias("attr"))
+
+
 @query("SELECT DISTINCT 'insurer:' || CASE WHEN p_brand = 'Brand#2' THEN 'Two' ELSE p_brand END AS src, 'product:' || CASE WHEN p_size % 2 = 0 THEN p_partkey::VARCHAR ELSE p_name END AS dst FROM part WHERE p_size <= 40")
 def k2_from_policies(spark, d):
     x = read_table(spark, d, "part").select(F.col("p_brand").alias("insurer"), F.col("p_name").alias("product_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey").cast("string")).otherwise("").alias("code"), (F.col("p_size") <= 40).alias("is_valid"))
     return G.from_policies(x, {"Brand#2": "Two"})[1].select("src", "dst")
 
 
+@query("WITH x AS (SELECT DISTINCT CASE WHEN p_brand = 'Brand#2' THEN 'Two' ELSE p_brand END AS insurer, CASE WHEN p_size % 2 = 0 THEN p_partkey::VARCHAR ELSE p_name END AS k, p_name FROM part WHERE p_size <= 40) SELECT 'insurer:' || insurer AS id, 'Insurer' AS label, insurer AS name FROM (SELECT DISTINCT insurer FROM x) UNION ALL SELECT 'product:' || k, 'Product', min(p_name) FROM x GROUP BY k")
+def k2_policy_nodes(spark, d):
+    x = read_table(spark, d, "part").select(F.col("p_brand").alias("insurer"), F.col("p_name").alias("product_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_partkey").cast("string")).otherwise("").alias("code"), (F.col("p_size") <= 40).alias("is_valid"))
+    return G.from_policies(x, {"Brand#2": "Two"})[0].select("id", "label", "name")
+
+
+@query("SELECT DISTINCT 'product:' || source AS id, 'Product' AS label, source AS name FROM documents WHERE length(text) > 0 UNION SELECT DISTINCT 'clause:' || source || ':' || lang, 'Clause', lang FROM documents WHERE length(text) > 0")
+def k3_clause_nodes(spark, d):
+    return G.from_clauses(clauses(spark, d))[0].select("id", "label", "name")
+
+
+@query("SELECT l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, l_returnflag AS type FROM lineitem GROUP BY ALL")
+def k8_merge_edges(spark, d):
+    e = read_table(spark, d, "lineitem").select("l_orderkey", *G.edge(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag")))
+    return G.merge_edges(e.where("l_orderkey % 3 <> 0").drop("l_orderkey").distinct(), e.where("l_orderkey % 2 = 0 or l_orderkey % 3 = 0").drop("l_orderkey"))
+
+
 def clauses(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.col("source").alias("product_code"), F.col("source").alias("product_name"), F.col("lang").alias("clause_type"), "text", F.lit(None).cast("string").alias("parent_text"))
 
@@ -121,6 +149,12 @@ def k11_neighbors(spark, d):
     return G.neighbors(each_nation(spark, d), edges(spark, d), 3)
 
 
+@query(f"WITH RECURSIVE {E_SQL}, {U_SQL}, w(request_id, id, distance) AS (SELECT s_suppkey, 's' || s_suppkey, 0 FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT request_id, dst, distance + 1 FROM w JOIN u ON src = id WHERE distance < 6) SELECT request_id, id, min(distance) AS distance FROM w WHERE starts_with(id, 'n') GROUP BY ALL")
+def k11_neighbors_by_label(spark, d):
+    far = read_table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("request_id"), key("s", "s_suppkey").alias("id"))
+    return G.neighbors(far, edges(spark, d), 6, nodes=nodes(spark, d), label="Nation")
+
+
 @query(f"WITH RECURSIVE {E_SQL}, {U_SQL}, w(request_id, here, b, distance, path) AS (SELECT s_suppkey, 's' || s_suppkey, 'n' || (s_suppkey % 25), 0, ['s' || s_suppkey] FROM supplier UNION ALL SELECT request_id, dst, b, distance + 1, list_append(path, dst) FROM w JOIN u ON src = here WHERE distance < 4 AND here <> b AND NOT list_contains(path, dst) AND NOT starts_with(dst, 'c') AND NOT starts_with(dst, 's')), o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY distance, path) AS n FROM w WHERE here = b) SELECT request_id, distance, array_to_string(path, '>') AS path FROM o WHERE n = 1")
 def k12_shortest_path(spark, d):
     pairs = read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), key("s", "s_suppkey").alias("a"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("b"))

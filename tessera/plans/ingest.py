@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lineage import scratch
 from tessera.operators import ingest as I
 from tessera.registry import query
 from tessera.sources import tables as S
@@ -12,6 +13,35 @@ PATTERNS = ("[A-Z][a-z]+\\.$", "[A-Z][a-z]+ [a-z]+\\.$")
 DOCS_SQL = "docs AS (SELECT doc_id, text, lang AS insurer, source AS product_code, cast(doc_id % 3 AS varchar) AS version, md5(text) AS file_md5 FROM documents)"
 
 
+STRIP = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def sentences_sql(text, delims=".!?;"):
+    return f"list_filter(list_transform(regexp_extract_all({text}, '[^{delims}\\n]*[{delims}\\n]|[^{delims}\\n]+$'), lambda x: trim(x, {STRIP})), lambda x: x <> '')"
+
+
+def packed_sql(parts, size, overlap):
+    """The fold of chunk packing: a struct holds what is done, the buffer, and the buffer's length."""
+    held = "coalesce(list_sum(list_transform(a.buf[i:], lambda y: length(y))), 0)"
+    start, one = "{'done': []::VARCHAR[], 'buf': []::VARCHAR[], 'held': 0::BIGINT}", "{'done': []::VARCHAR[], 'buf': [x], 'held': length(x)}"
+    flushed = f"{{'done': list_append(a.done, array_to_string(a.buf, '')), 'buf': list_append(a.buf[i:], x.buf[1]), 'held': ({held} + x.held)::BIGINT}}"
+    step = f"CASE WHEN a.held + x.held > {size} AND len(a.buf) > 0 THEN list_transform([list_filter(range(1, len(a.buf) + 2), lambda i: {held} <= {overlap})[1]], lambda i: {flushed})[1] ELSE {{'done': a.done, 'buf': list_append(a.buf, x.buf[1]), 'held': a.held + x.held}} END"
+    folded = f"list_reduce(list_prepend({start}, list_transform({parts}, lambda x: {one})), lambda a, x: {step})"
+    return f"list_transform([{folded}], lambda r: CASE WHEN len(r.buf) > 0 THEN list_append(r.done, array_to_string(r.buf, '')) ELSE r.done END)[1]"
+
+
+KIDS_SQL = f"k AS (SELECT doc_id, {packed_sql(sentences_sql('text'), 512, 64)} AS kids FROM documents), kid AS (SELECT doc_id, kids, unnest(kids) AS text, generate_subscripts(kids, 1) - 1 AS idx FROM k)"
+PARENT_SQL = f"{KIDS_SQL}, par AS (SELECT doc_id, idx // 4 AS parent, string_agg(text, '' ORDER BY idx) AS text FROM kid GROUP BY ALL)"
+LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {STRIP})), lambda x: x <> '')"
+OPENS = "regexp_matches(x.title, '^(?:[A-Z][a-z]+[.]$|[A-Z][a-z]+ [a-z]+[.]$)') AND len(a.body) > 3"
+SECTION_SQL = f"""l AS (SELECT doc_id, list_reduce(list_prepend({{'done': []::STRUCT(title VARCHAR, body VARCHAR[])[], 'title': '前言', 'body': []::VARCHAR[]}}, list_transform({LINES}, lambda x: {{'done': []::STRUCT(title VARCHAR, body VARCHAR[])[], 'title': x, 'body': []::VARCHAR[]}})),
+lambda a, x: CASE WHEN {OPENS} THEN {{'done': list_append(a.done, {{'title': a.title, 'body': a.body}}), 'title': x.title, 'body': []::VARCHAR[]}} ELSE {{'done': a.done, 'title': a.title, 'body': list_append(a.body, x.title)}} END) AS r FROM documents),
+lf AS (SELECT doc_id, CASE WHEN len(r.body) > 0 THEN list_append(r.done, {{'title': r.title, 'body': r.body}}) ELSE r.done END AS f FROM l),
+lu AS (SELECT doc_id, unnest(f) AS s, generate_subscripts(f, 1) AS k FROM lf),
+lg AS (SELECT doc_id, s.title AS title, min(k) AS k, array_to_string(arg_max(s.body, k), chr(10)) AS body FROM lu GROUP BY ALL),
+sec AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, title, body FROM lg)"""
+
+
 def docs(spark, d):
     t = S.read_table(spark, d, "documents")
     return t.select("doc_id", "text", F.col("lang").alias("insurer"), F.col("source").alias("product_code"), (F.col("doc_id") % 3).cast("string").alias("version"), F.md5("text").alias("file_md5"))
@@ -27,6 +57,26 @@ def s1_document_source(spark, d):
     return t.select("doc_id", F.col("lang").alias("insurer"), F.col("source").alias("product_name"), F.md5("text").alias("file_md5"), F.lit("1.0").alias("version"), "n_chars")
 
 
+@query("SELECT 'item_' || item_id AS file_name, md5(text || chr(10)) AS content_md5, CASE WHEN contains('item_' || item_id, '_1') THEN 'one' WHEN contains('item_' || item_id, '_2') THEN 'two' ELSE 'other' END AS doc_type, 'ins' || (item_id % 5) AS insurer FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)")
+def s1_document_files(spark, d):
+    """The benchmark's items as files of their own, read as documents with a table of metadata."""
+    base = scratch(spark, "files")
+    items = S.read_table(spark, d, "benchmark").groupBy("item_id").agg(F.min("text").alias("text")).withColumn("file_name", F.concat(F.lit("item_"), "item_id"))
+    items.select(F.col("file_name").alias("name"), "text").repartition("name").write.partitionBy("name").text(base)
+    meta = items.select("file_name", F.concat(F.lit("ins"), F.col("item_id") % 5).alias("insurer"))
+    files = S.read_files(spark, base, meta, "name=([^/]+)/", (("_1", "one"), ("_2", "two")), "other")
+    return files.select("file_name", F.md5("file_content").alias("content_md5"), "doc_type", "insurer")
+
+
+@query("SELECT md5(text) AS text_md5, toxic::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
+def s6_labelled_file(spark, d):
+    """Labelled texts as JSON array files, read back as rows."""
+    base = scratch(spark, "labelled")
+    x = S.read_table(spark, d, "labels").join(S.read_table(spark, d, "documents"), "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(50)).alias("part"), F.struct("text", F.col("toxic").cast("string").alias("label")).alias("row"))
+    x.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(base)
+    return S.read_labelled(spark, base).select(F.md5("text").alias("text_md5"), "label")
+
+
 URL_TYPES = (("/en/", "english"), ("page=", "paged"), ("https", "secure"))
 
 
@@ -105,7 +155,7 @@ def i6_ocr_triage(spark, d):
     return I.ocr_triage(pages_of_doc(spark, d)).withColumn("avg_chars", F.round("avg_chars", 6))
 
 
-@query()
+@query(f"WITH {SECTION_SQL} SELECT doc_id, pos, title, md5(body) AS body_md5, length(body) AS n_chars FROM sec")
 def i7_sections(spark, d):
     x = docs(spark, d).select("doc_id", F.explode(T.sections(F.col("text"), PATTERNS)).alias("s"))
     return x.select("doc_id", "s.pos", "s.title", F.md5("s.body").alias("body_md5"), F.length("s.body").alias("n_chars"))
@@ -126,12 +176,12 @@ def children(spark, d):
     return I.child_chunks(docs(spark, d), delims=DELIMS)
 
 
-@query()
+@query(f"WITH {KIDS_SQL} SELECT doc_id, idx, length(text) AS n_chars, md5(text) AS text_md5 FROM kid")
 def i10_child_chunks(spark, d):
     return children(spark, d).select(F.col("doc").alias("doc_id"), "idx", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH {PARENT_SQL} SELECT doc_id, parent, md5(text) AS text_md5 FROM par")
 def i11_parent_chunks(spark, d):
     return I.parent_chunks(children(spark, d)).select(F.col("doc").alias("doc_id"), "parent", F.md5("text").alias("text_md5"))
 
@@ -140,14 +190,15 @@ def paragraphs(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("para", "text"))
 
 
-@query()
+@query(f"WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS para FROM documents), c AS (SELECT doc_id, para, unnest(kids) AS text, generate_subscripts(kids, 1) AS k FROM (SELECT doc_id, para, {packed_sql(sentences_sql('text'), 512, 64)} AS kids FROM p)) SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY para, k) - 1 AS idx, md5(text) AS text_md5 FROM c")
 def i12_semantic_chunks(spark, d):
     return I.chunk_by_paragraph(paragraphs(spark, d), delims=DELIMS).select(F.col("doc").alias("doc_id"), "para", "idx", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"""WITH {PARENT_SQL} SELECT printf('%d_child_%04d', kid.doc_id, kid.idx) AS chunk_id, kid.doc_id, 'child' AS chunk_type, printf('%d_parent_%04d', kid.doc_id, parent) AS parent_id, kid.idx AS chunk_index, md5(kid.text) AS text_md5, md5(par.text) AS parent_md5 FROM kid JOIN par ON kid.doc_id = par.doc_id AND kid.idx // 4 = parent
+UNION ALL SELECT printf('%d_parent_%04d', doc_id, parent), doc_id, 'parent', NULL, -1, md5(text), NULL FROM par""")
 def i13_chunk_rows(spark, d):
-    return I.chunk_rows(children(spark, d)).select("chunk_id", F.col("doc").alias("doc_id"), "chunk_type", "parent_id", "chunk_index", F.md5("text").alias("text_md5"), F.md5("parent_text").alias("parent_md5"))
+    return I.chunk_rows(docs(spark, d), delims=DELIMS).select("chunk_id", F.col("doc").alias("doc_id"), "chunk_type", "parent_id", "chunk_index", F.md5("text").alias("text_md5"), F.md5("parent_text").alias("parent_md5"))
 
 
 def sentence_rows(spark, d):
@@ -195,21 +246,50 @@ def i17_merge_short(spark, d):
     return I.merge_short(I.group_paragraphs(sentence_rows(spark, d)), 100, r"[|]").select("doc", "para", F.md5("text").alias("text_md5"))
 
 
-@query()
+def headed(spark, d):
+    """The sentences, some led by a clause number, some by words that only begin alike."""
+    lead = F.when(F.col("sent") % 7 == 3, F.concat(F.lit("第"), F.col("sent"), F.lit("条 "))).when(F.col("sent") % 7 == 5, F.lit("本款第二项所列条件适用 ")).otherwise("")
+    return sentence_rows(spark, d).withColumn("text", F.concat(lead, "text"))
+
+
+HEADED_SQL = f"""{SENT_SQL}, hs AS (SELECT doc, sent, length(text) % 10 >= 3 AS opens, CASE WHEN sent % 7 = 3 THEN '第' || sent || '条 ' WHEN sent % 7 = 5 THEN '本款第二项所列条件适用 ' ELSE '' END || text AS text FROM s)"""
+MERGED_SQL = """o AS (SELECT *, sum(CASE WHEN sent = 0 OR opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY sent) - 1 AS para FROM hs),
+p AS (SELECT doc, cast(para AS bigint) AS para, string_agg(text, '' ORDER BY sent) AS text FROM o GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY para) AS n, length(text) < 100 AND NOT regexp_matches(text, '^第[一二三四五六七八九十百千0-9]+[章节条]') AS short FROM p),
+f AS (SELECT *, first(short) OVER (PARTITION BY doc ORDER BY para) AS fs FROM n),
+g AS (SELECT *, sum(CASE WHEN n = 1 THEN 1 WHEN n = 2 AND fs THEN 0 WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY para) - 1 AS g FROM f),
+m AS (SELECT doc, cast(g AS bigint) AS para, string_agg(text, '' ORDER BY n) AS text FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {HEADED_SQL}, {MERGED_SQL} SELECT doc, para, md5(text) AS text_md5 FROM m")
+def i17_merge_short_default(spark, d):
+    return I.merge_short(I.group_paragraphs(headed(spark, d))).select("doc", "para", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {HEADED_SQL.replace('FROM s)', "FROM s WHERE doc IN (SELECT doc_id FROM documents WHERE length(text) >= 100) AND doc IN (SELECT doc FROM s GROUP BY doc HAVING count(*) > 1))")}, {MERGED_SQL},
+w AS (SELECT doc_id AS doc, 0::BIGINT AS para, [text] AS parts FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc FROM hs)),
+c AS (SELECT doc, para, CASE WHEN length(text) > 4000 THEN {packed_sql(sentences_sql('text', '.!?'), 4000, 0)} ELSE [text] END AS parts FROM m UNION ALL SELECT * FROM w)
+SELECT doc, para, part, md5(text) AS text_md5 FROM (SELECT doc, para, unnest(range(len(parts))) AS part, unnest(parts) AS text FROM c)""")
+def i19_segment(spark, d):
+    whole = docs(spark, d).select(F.col("doc_id").alias("doc"), "text")
+    return I.segment(whole, headed(spark, d), delims=".!?\n").select("doc", "para", "part", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH c AS (SELECT doc_id AS doc, CASE WHEN length(text) > 4000 THEN {packed_sql(sentences_sql('text', '.!?'), 4000, 0)} ELSE [text] END AS parts FROM documents) SELECT doc, part, length(text) AS n_chars, md5(text) AS text_md5 FROM (SELECT doc, unnest(range(len(parts))) AS part, unnest(parts) AS text FROM c)")
 def i18_split_long(spark, d):
     x = docs(spark, d).select(F.col("doc_id").alias("doc"), F.lit(0).alias("para"), "text")
     return I.split_long(x, 4000, ".!?\n").select("doc", "part", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH {KIDS_SQL}, {SECTION_SQL}, hit AS (SELECT kid.doc_id, idx, arg_min(title, pos) AS clause_type FROM kid JOIN sec ON sec.doc_id = kid.doc_id AND contains(body, substr(text, 1, 50)) GROUP BY ALL) SELECT doc_id, idx, coalesce(clause_type, '其他') AS clause_type FROM kid LEFT JOIN hit USING (doc_id, idx)")
 def i20_clause_annotation(spark, d):
-    secs = docs(spark, d).select(F.col("doc_id").alias("doc"), F.explode(T.sections(F.col("text"), PATTERNS)).alias("s")).select("doc", "s.pos", "s.title", "s.body")
-    return I.annotate_clause(children(spark, d), secs).select(F.col("doc").alias("doc_id"), "idx", "clause_type")
+    x = docs(spark, d).select("doc_id", T.pack(T.sentences(F.col("text"), DELIMS)).alias("kids"), T.sections(F.col("text"), PATTERNS).alias("secs"))
+    return x.select("doc_id", F.posexplode(I.annotate_clause(F.col("kids"), F.col("secs"))).alias("idx", "clause_type"))
 
 
-@query()
+@query(f"WITH {PARENT_SQL} SELECT printf('%d_child_%04d', kid.doc_id, kid.idx) AS chunk_id, md5(kid.text) AS text_md5, printf('%d_parent_%04d', kid.doc_id, parent) AS parent_id, md5(par.text) AS parent_md5 FROM kid JOIN par ON kid.doc_id = par.doc_id AND kid.idx // 4 = parent")
 def i21_child_projection(spark, d):
-    return I.chunk_rows(children(spark, d)).where("chunk_type = 'child'").select("chunk_id", F.md5("text").alias("text_md5"), "parent_id", F.md5("parent_text").alias("parent_md5"))
+    return I.chunk_rows(docs(spark, d), delims=DELIMS).where("chunk_type = 'child'").select("chunk_id", F.md5("text").alias("text_md5"), "parent_id", F.md5("parent_text").alias("parent_md5"))
 
 
 @query(f"WITH {DOCS_SQL}, n AS (SELECT insurer, product_code, max(version) AS current FROM docs WHERE doc_id % 10 = 0 GROUP BY ALL) SELECT doc_id, coalesce(version = current, true) AS is_valid FROM docs LEFT JOIN n USING (insurer, product_code)")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.registry import query
 from tessera.sources.tables import read_table
@@ -45,10 +46,11 @@ def shown(df):
     return df.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
-@query(r"SELECT doc_id, len(list_distinct(w)) AS n_terms, len(w) AS n_words FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
+@query(r"WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM documents), c AS (SELECT doc_id, t, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT doc_id, count(*) AS n_terms, sum(n)::BIGINT AS n_words, md5(string_agg(t || ':' || n, ',' ORDER BY t || ':' || n)) AS counts_md5 FROM c GROUP BY 1) SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_words, 0) AS n_words, coalesce(counts_md5, md5('')) AS counts_md5, CASE WHEN n_words > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS dense_sum FROM documents d LEFT JOIN s USING (doc_id)")
 def v1_encode(spark, d):
-    x = R.encode(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return x.select("doc_id", F.size("sparse").cast("long").alias("n_terms"), F.size(R.words(F.col("text"))).cast("long").alias("n_words"))
+    x = R.encode(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("n_words", F.size(R.words(F.col("text"))).cast("long"))
+    counted = F.sort_array(F.transform(F.map_entries("sparse"), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * F.col("n_words")).cast("long"))))
+    return x.select("doc_id", F.size("sparse").cast("long").alias("n_terms"), "n_words", F.md5(F.array_join(counted, ",")).alias("counts_md5"), F.round(F.aggregate("dense", F.lit(0.0), lambda a, v: a + v), 6).alias("dense_sum"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS unit, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)) AS e FROM embeddings))")
@@ -58,12 +60,12 @@ def v2_l2_normalize(spark, d):
     return x.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e), 6).alias("unit"), F.round(F.col("v")[0], 6).alias("first"))
 
 
-@query("WITH k AS (SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS key FROM documents) SELECT doc_id, key IN (SELECT key FROM k WHERE doc_id % 3 = 0) AS hit FROM k")
+@query("WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, md5(t) AS key FROM documents), h AS (SELECT doc_id, t, key IN (SELECT key FROM k WHERE doc_id % 3 = 0) AS hit FROM k) SELECT doc_id, hit, CASE WHEN hit THEN -1.0 ELSE length(t) END::DOUBLE AS dense FROM h")
 def v3_encode_with_cache(spark, d):
     x = read_table(spark, d, "documents").select("doc_id", "text")
-    cache = x.where("doc_id % 3 = 0").select(R.text_key(F.col("text")).alias("key"), F.array(F.lit(0.0)).alias("dense")).dropDuplicates(["key"])
-    plain = lambda df, key, text: df.withColumn("dense", F.array(F.length(text).cast("double")))
-    return R.encode_with_cache(x, cache, encoder=plain).select("doc_id", "hit")
+    cache = x.where("doc_id % 3 = 0").select(R.text_key(F.col("text")).alias("key"), F.array(F.lit(-1.0)).alias("dense")).dropDuplicates(["key"])
+    plain = lambda df, key, text: df.withColumn("dense", F.array(F.length(T.strip(F.col(text))).cast("double")))
+    return R.encode_with_cache(x, cache, encoder=plain).select("doc_id", "hit", F.col("dense")[0].alias("dense"))
 
 
 @query(f"WITH {C} SELECT id, product_name, clause_type FROM c WHERE is_valid AND starts_with(product_name, 'prod1') AND clause_type IN ('1', '2', '3') AND insurer = 'ins1'")
@@ -136,10 +138,8 @@ r AS (SELECT query_id, CASE WHEN top1 IS NULL THEN 'no_results' WHEN top1 < t1 T
 def v12_quality_gate(spark, d):
     q = asked(spark, d)
     live = chunks(spark, d).where(R.scalar_filter())
-    own = live.join(F.broadcast(q.select("query_id", "qv", F.concat(F.lit("ins"), F.col("query_id") % 5).alias("insurer"))), "insurer")
-    from tessera.functions import text as T
-
-    found = R.topk(own.select("query_id", "id", (T.dot(F.col("v"), F.col("qv")) / (T.norm(F.col("v")) * T.norm(F.col("qv")))).alias("score")), 10)
+    own = q.select("query_id", "qv", F.concat(F.lit("ins"), F.col("query_id") % 5).alias("product_name"))
+    found = R.retrieve_compare(own, live.drop("product_name").withColumnRenamed("insurer", "product_name"), 10)
     intents = q.select("query_id", (F.col("query_id") % 3).cast("string").alias("intent"))
     return R.quality_gate(intents, found, {"0": (0.4, 0.3), "1": (0.3, 0.2)}, (0.35, 0.25), good=0.3)
 
@@ -159,13 +159,32 @@ def v15_retrieve(spark, d):
     return shown(hits(spark, d)).select("query_id", "id", "rank", "score", "product_name", "clause_type", F.md5("parent_text").alias("parent_md5"))
 
 
-@query(f"WITH {C}, {best('a', 30, 'is_valid', 'v[1:32]', 'qv[1:32]')}, {best('b', 30, 'is_valid', 'v[33:64]', 'qv[33:64]')}, {FUSED} SELECT query_id, id, rank, round(score, 6) AS score FROM f WHERE rank <= 10")
+CHUNK_TEXT = "t AS (SELECT vec_id AS id, coalesce(substr(text, 1 + (vec_id % 4) * 200, 200), '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 4)"
+HYBRID = rf"""WITH {C}, {CHUNK_TEXT}, w AS (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM t), p AS (SELECT id, term, count(*)::DOUBLE AS w FROM w GROUP BY ALL), {best('a', 30, 'is_valid')},
+b AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.query_id, p.id, sum(p.w * o.w) AS s FROM q JOIN p o ON o.id = q.query_id JOIN p ON p.term = o.term JOIN c ON c.id = p.id AND c.is_valid GROUP BY ALL)) WHERE rank <= 30), {FUSED},
+r AS (SELECT query_id, id, coalesce(a.score, 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(a.score, 0), 9) DESC, f.rank, id) AS rank FROM f LEFT JOIN a USING (query_id, id) JOIN t USING (id) WHERE f.rank <= 30)"""
+
+
+@query(f"{HYBRID} SELECT query_id, id, rank, round(r.score, 6) AS score, md5(d.text) AS parent_md5 FROM r JOIN c USING (id) LEFT JOIN documents d ON d.doc_id = c.parent WHERE rank <= 5")
+def v15_hybrid_retrieve(spark, d):
+    """Dense and sparse lists over chunks that carry stretches of their documents' texts."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("parent"), F.col("text").alias("whole"))
+    said = F.coalesce(F.substring("whole", F.lit(1) + (F.col("id") % 4).cast("int") * 200, F.lit(200)), F.lit(""))
+    c = chunks(spark, d).join(docs, "parent", "left").withColumn("text", said).drop("whole")
+    q = c.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("text").alias("query"))
+    hits = R.retrieve(q, c, parents(spark, d), second=R.sparse_list)
+    return shown(hits).select("query_id", "id", "rank", "score", F.md5("parent_text").alias("parent_md5"))
+
+
+MASKED = "list_transform(qv, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0 END)"
+
+
+@query(f"WITH {C}, {best('a', 30, 'is_valid')}, {best('b', 30, 'is_valid', 'v', MASKED)}, {FUSED} SELECT query_id, id, rank, round(score, 6) AS score FROM f WHERE rank <= 10")
 def v16_subqueries(spark, d):
     q = asked(spark, d)
-    zeros = lambda a, b: F.transform("qv", lambda x, i: F.when((i >= a) & (i < b), x.cast("double")).otherwise(0.0))
-    half = chunks(spark, d).where(R.scalar_filter())
-    lists = [R.dense_topk(q, half, 30, (1, 32)), R.dense_topk(q, half, 30, (33, 32))]
-    return shown(R.rrf(lists, top=10))
+    masked = F.transform("qv", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0).cast("float")))
+    sub = q.select("query_id", F.lit(0).alias("sub"), "qv").unionByName(q.select("query_id", F.lit(1).alias("sub"), masked.alias("qv")))
+    return shown(R.retrieve_subqueries(sub, chunks(spark, d).where(R.scalar_filter()), 10))
 
 
 @query(f"WITH {C}, {best('a', 10, 'is_valid')}, w AS (SELECT query_id, p FROM q, (VALUES ('prod1'), ('prod2'), ('prod3')) t(p)), r AS (SELECT query_id, product_name, id, list_cosine_similarity(v, qv) AS s FROM w JOIN q USING (query_id) JOIN c ON c.product_name = p WHERE is_valid) SELECT query_id, product_name, id, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, product_name ORDER BY round(s, 9) DESC, id) AS rank FROM r) WHERE rank <= 3")

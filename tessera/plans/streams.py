@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import scratch
 from tessera.operators import ingest as I
 from tessera.registry import query
 from tessera.sources.tables import read_table
@@ -31,13 +32,22 @@ def t3_cache_replay(spark, d):
     return S.cache_replay(x, 36000.0).select("id", "hit")
 
 
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS file_md5 FROM documents GROUP BY text")
+@query("SELECT coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS doc_id, md5(text) AS file_md5, min(doc_id % 2) AS batch FROM documents GROUP BY text")
 def t4_ingest_batches(spark, d):
     docs = read_table(spark, d, "documents").select("doc_id", F.md5("text").alias("file_md5"), (F.col("doc_id") % 2).alias("batch"))
     first = I.dedup_documents(docs.where("batch = 0"))
-    second = I.dedup_documents(docs.where("batch = 1"), first)
-    whole = first.unionByName(second).groupBy("file_md5").agg(F.min("doc_id").alias("kept"))
-    return docs.join(whole, "file_md5").groupBy("file_md5").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "file_md5")
+    return first.unionByName(I.dedup_documents(docs.where("batch = 1"), first))
+
+
+@query("SELECT DISTINCT md5(text) AS file_md5, length(text) AS n_chars FROM documents")
+def t4_ingest_stream(spark, d):
+    """The documents as a stream of files, ingested by micro-batches into a store without repeats."""
+    base = scratch(spark, "ingest")
+    docs = read_table(spark, d, "documents").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"))
+    docs.write.partitionBy("part").parquet(f"{base}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "2").parquet(f"{base}/in")
+    S.ingest_stream(stream.select("doc_id", "text"), f"{base}/store", f"{base}/progress", lambda batch, old: I.dedup_documents(I.with_md5(batch), old)).awaitTermination()
+    return spark.read.parquet(f"{base}/store").select("file_md5", F.length("text").alias("n_chars"))
 
 
 @query("WITH i AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id AS channel, min(ts) AS start, count(*) AS n FROM i WHERE event_type = 'error' GROUP BY user_id, k HAVING count(*) >= 3")
@@ -46,7 +56,11 @@ def t5_failure_streaks(spark, d):
     return S.failure_streaks(x, 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS channel, event_id AS id, epoch_us(ts) AS us, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(channel, id, n, fails, failed_at, is_open, skipped, opened) AS (SELECT channel, id, n, CASE WHEN ok THEN 0 ELSE 1 END, us, false, false, false FROM e WHERE n = 1
+UNION ALL SELECT e.channel, e.id, e.n, CASE WHEN r.is_open AND e.us - r.failed_at < 36000000000 THEN r.fails WHEN e.ok THEN 0 ELSE r.fails + 1 END, CASE WHEN (r.is_open AND e.us - r.failed_at < 36000000000) OR e.ok THEN r.failed_at ELSE e.us END,
+(r.is_open AND e.us - r.failed_at < 36000000000) OR (NOT e.ok AND r.fails + 1 >= 2), r.is_open AND e.us - r.failed_at < 36000000000, NOT (r.is_open AND e.us - r.failed_at < 36000000000) AND NOT e.ok AND r.fails + 1 >= 2 FROM r JOIN e ON e.channel = r.channel AND e.n = r.n + 1)
+SELECT channel, id, skipped, opened FROM r""")
 def t5_breaker_replay(spark, d):
     x = events(spark, d).select(F.col("user_id").alias("channel"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
     return S.breaker_replay(x, 2, 36000.0)

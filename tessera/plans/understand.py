@@ -139,7 +139,7 @@ def q16_constraints(spark, d):
 
 @query(f"SELECT doc_id, len({FOUND_SQL})::INT AS n FROM (SELECT doc_id, text AS t FROM documents)")
 def q17_product_count(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", F.size(U.link_products(F.col("text"), PICK, PATTERN, ("aandre",))).alias("n"))
+    return read_table(spark, d, "documents").select("doc_id", U.count_products(F.col("text"), PICK, PATTERN, ("aandre",)).alias("n"))
 
 
 STRATEGY = f"s AS (SELECT conv_id, turn, t, {RULE_SQL} AS intent, len({FOUND_SQL}) AS n, length({TRIM}) < 60 AND len({TAGS_SQL}) < 1 AS vague FROM q)"
@@ -173,8 +173,8 @@ def q21_complexity(spark, d):
     return said(spark, d).select("conv_id", "turn", c.alias("complexity"))
 
 
-TABLE = (("click", "claim", "underwriting", "multi_agent"), ("view", "insurance", "service", "multi_agent"), ("error", "service", None, "rag_fallback"))
-ROUTED = "r AS (SELECT event_id AS query_id, event_type AS intent, coalesce(p, 'service') AS primary_, s AS secondary, CASE WHEN length(event_type) <= 4 AND event_type <> 'click' AND NOT contains(event_type, 'x') THEN 'rag_fallback' ELSE coalesce(m, 'rag_fallback') END AS mode FROM events LEFT JOIN (VALUES ('click','claim','underwriting','multi_agent'), ('view','insurance','service','multi_agent'), ('error','service',NULL,'rag_fallback')) t(i,p,s,m) ON event_type = i)"
+TABLE = (("click", "claim", "risk", "multi_agent"), ("view", "product", "service", "multi_agent"), ("error", "service", None, "rag_fallback"))
+ROUTED = "r AS (SELECT event_id AS query_id, event_type AS intent, coalesce(p, 'service') AS primary_, s AS secondary, CASE WHEN length(event_type) <= 4 AND event_type <> 'click' AND NOT contains(event_type, 'x') THEN 'rag_fallback' ELSE coalesce(m, 'rag_fallback') END AS mode FROM events LEFT JOIN (VALUES ('click','claim','risk','multi_agent'), ('view','product','service','multi_agent'), ('error','service',NULL,'rag_fallback')) t(i,p,s,m) ON event_type = i)"
 
 
 def routed(spark, d):
@@ -187,9 +187,9 @@ def q22_route(spark, d):
     return routed(spark, d).select("query_id", F.col("primary").alias("primary_agent"), "secondary", "mode")
 
 
-@query(f"WITH {ROUTED} SELECT query_id, 'task_0' AS task_id, primary_ AS agent_name, intent AS task_intent, '' AS deps FROM r UNION ALL SELECT query_id, 'task_1', secondary, CASE WHEN intent = 'click' AND secondary = 'underwriting' THEN 'review' ELSE intent END, 'task_0' FROM r WHERE secondary IS NOT NULL AND mode = 'multi_agent'")
+@query(f"WITH {ROUTED} SELECT query_id, 'task_0' AS task_id, primary_ AS agent_name, intent AS task_intent, '' AS deps FROM r UNION ALL SELECT query_id, 'task_1', secondary, CASE WHEN intent = 'click' AND secondary = 'risk' THEN 'review' ELSE intent END, 'task_0' FROM r WHERE secondary IS NOT NULL AND mode = 'multi_agent'")
 def q23_tasks(spark, d):
-    return U.build_tasks(routed(spark, d), (("click", "underwriting", "review"),)).select("query_id", "task_id", "agent_name", "task_intent", F.array_join("dependencies", ",").alias("deps"))
+    return U.build_tasks(routed(spark, d), (("click", "risk", "review"),)).select("query_id", "task_id", "agent_name", "task_intent", F.array_join("dependencies", ",").alias("deps"))
 
 
 @query("WITH t(tool, dom, ro) AS (VALUES ('a', ['click','view'], ['BUILDING','MACHINERY']), ('b', ['view'], ['BUILDING']), ('c', ['error','click'], ['HOUSEHOLD'])) SELECT event_id, tool FROM events JOIN customer ON user_id = c_custkey, t WHERE list_contains(dom, event_type) AND list_contains(ro, c_mktsegment)")

@@ -1,5 +1,13 @@
 """Fixed values the operators default to: the word lists, patterns and thresholds of the domain."""
 
+def renamed(table, names: dict):
+    """A routing table, or a map of tool to domains, with its agents renamed."""
+    new = lambda v: names.get(v, v) if isinstance(v, str) else v
+    if isinstance(table, dict):
+        return {k: tuple(map(new, v)) for k, v in table.items()}
+    return tuple(tuple(map(new, row)) for row in table)
+
+
 # Text forms that results depend on.
 DOC_TYPES = (("投保须知", "投保须知"), ("费率", "费率表"), ("理赔", "理赔指南"))
 DOC_TYPE_DEFAULT = "条款"
@@ -18,7 +26,7 @@ PRODUCT_FIELDS = {
     "投保年龄": r"投保年龄[为是：:]*\s*(.+?)(?:[，。]|$)",
 }
 CHUNK_DELIMS, SEGMENT_DELIMS = "。！？；\n", "。！？\n"
-HEADER = "第.+[章节条]"
+HEADER = r"^第[一二三四五六七八九十百千\d]+[章节条]"
 NORMALIZE_DROP = "[，。！？、；：'（）\\s]"
 
 # Domain guard.
@@ -74,26 +82,26 @@ PRODUCT_TYPES = ("百万医疗", "重疾险", "意外险", "定期寿险", "医
 WAITING_ASKED = {"strict": r"等待期[不超≤少于]{1,2}\s*(\d+)\s*[天日]", "fixed": r"等待期(?:不超过|不多于|少于|≤)\s*(\d+)\s*[天日]"}
 DEDUCTIBLE_ASKED = {"strict": r"免赔额[不超≤少于]{1,2}\s*(\d+)\s*([万元])", "fixed": r"免赔额(?:不超过|不多于|少于|≤)\s*(\d+)\s*([万元])"}
 
-# Routing.
+# Routing. The names of agents are those of this library; renamed() gives tables with others.
 ROUTES = (
-    ("产品咨询", "insurance", "service", "multi_agent"), ("产品对比", "insurance", "service", "multi_agent"),
-    ("保费试算", "insurance", "service", "multi_agent"), ("投保流程", "insurance", "underwriting", "multi_agent"),
-    ("核保咨询", "underwriting", "insurance", "multi_agent"), ("理赔咨询", "claim", "underwriting", "multi_agent"),
-    ("理赔进度", "claim", "service", "multi_agent"), ("条款解读", "claim", "insurance", "multi_agent"),
-    ("保单查询", "service", "insurance", "multi_agent"), ("投诉建议", "service", None, "rag_fallback"), ("闲聊寒暄", "service", None, "rag_fallback"),
+    ("产品咨询", "product", "service", "multi_agent"), ("产品对比", "product", "service", "multi_agent"),
+    ("保费试算", "product", "service", "multi_agent"), ("投保流程", "product", "risk", "multi_agent"),
+    ("核保咨询", "risk", "product", "multi_agent"), ("理赔咨询", "claim", "risk", "multi_agent"),
+    ("理赔进度", "claim", "service", "multi_agent"), ("条款解读", "claim", "product", "multi_agent"),
+    ("保单查询", "service", "product", "multi_agent"), ("投诉建议", "service", None, "rag_fallback"), ("闲聊寒暄", "service", None, "rag_fallback"),
 )
 SECONDARY_INTENTS = (
-    ("投保流程", "underwriting", "核保咨询"), ("理赔咨询", "underwriting", "核保咨询"), ("理赔进度", "service", "保单查询"),
+    ("投保流程", "risk", "核保咨询"), ("理赔咨询", "risk", "核保咨询"), ("理赔进度", "service", "保单查询"),
     ("产品咨询", "service", "保单查询"), ("产品对比", "service", "保单查询"), ("保费试算", "service", "保单查询"),
-    ("核保咨询", "insurance", "产品咨询"), ("条款解读", "insurance", "产品咨询"), ("保单查询", "insurance", "产品咨询"),
+    ("核保咨询", "product", "产品咨询"), ("条款解读", "product", "产品咨询"), ("保单查询", "product", "产品咨询"),
 )
 TOOL_ROLES = {
     "policy_query": ("customer", "agent", "underwriter"), "claim_eligibility": ("agent", "underwriter"), "clause_search": ("customer", "agent", "underwriter"),
     "premium_calc": ("agent", "underwriter"), "product_compare": ("customer", "agent"), "claim_tracking": ("customer", "agent"), "human_handoff": ("agent", "underwriter"),
 }
 TOOL_DOMAINS = {
-    "product_compare": ("insurance",), "premium_calc": ("insurance", "claim"), "policy_query": ("claim", "service"), "clause_search": ("claim", "insurance", "underwriting"),
-    "claim_eligibility": ("claim",), "claim_tracking": ("claim",), "human_handoff": ("claim", "insurance", "underwriting", "service"),
+    "product_compare": ("product",), "premium_calc": ("product", "claim"), "policy_query": ("claim", "service"), "clause_search": ("claim", "product", "risk"),
+    "claim_eligibility": ("claim",), "claim_tracking": ("claim",), "human_handoff": ("claim", "product", "risk", "service"),
 }
 STAGE_PLANS = {
     0: ("faq", "chitchat"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import rules
 from tessera.operators.ingest import infer_doc_type
 
 
@@ -14,15 +15,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
 
 
-def read_files(spark: SparkSession, path: str, meta: DataFrame | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, meta: DataFrame | None = None, name: str = "([^/]+)$", types=rules.DOC_TYPES, default: str = rules.DOC_TYPE_DEFAULT) -> DataFrame:
     """Files under path as documents: file_name, file_content, received_at, doc_type, and the columns of meta(file_name, ...).
 
-    Missing paths are dropped; a file without metadata keeps nulls.
+    name: the pattern whose first group is the file's name in its path. Missing paths are
+    dropped; a file without metadata keeps nulls.
     """
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(path)
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path)
     docs = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("content").alias("file_content"), F.col("modificationTime").alias("received_at")
-    ).withColumn("doc_type", infer_doc_type(F.col("file_name")))
+        F.regexp_extract("path", name, 1).alias("file_name"), F.col("content").alias("file_content"), F.col("modificationTime").alias("received_at")
+    ).withColumn("doc_type", infer_doc_type(F.col("file_name"), types, default))
     return docs if meta is None else docs.join(meta, "file_name", "left")
 
 

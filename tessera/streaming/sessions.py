@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.ordered import in_order
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = None) -> DataFrame:
@@ -30,27 +31,40 @@ def recent_turns(conv: DataFrame, n: int = 6, width: int = 200) -> DataFrame:
 def cache_replay(requests: DataFrame, ttl: float = 600.0) -> DataFrame:
     """(key, at seconds, id) -> id, hit: whether an entry written within ttl stood; its life runs from the write.
 
-    Requests of a key are folded in time order; the state is one number, the last write.
+    Requests of a key are read in time order; the state carried along is one number, the last
+    write. A request ttl or more after the one before it cannot hit, so what follows it is a
+    piece of its own and pieces of a busy key are read by different tasks.
     """
-    row = F.struct("at", "id")
-    start = F.struct(F.lit(None).cast("double").alias("written"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
+    by = Window.partitionBy("key").orderBy("at", "id")
+    apart = F.coalesce(F.col("at") >= F.lag("at").over(by) + ttl, F.lit(True))
+    pieces = requests.select("key", "at", "id").withColumn("piece", F.sum(apart.cast("int")).over(by))
 
-    def step(acc, r):
-        hit = acc["written"].isNotNull() & (r["at"] < acc["written"] + ttl)
-        return F.struct(
-            F.when(hit, acc["written"]).otherwise(r["at"]).alias("written"),
-            F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), hit.alias("hit")))).alias("out"),
-        )
+    def replay():
+        written = None
+
+        def one(at, i):
+            nonlocal written
+            hit = written is not None and at < written + ttl
+            written = written if hit else at
+            return i, hit
+
+        return one
+
+    return in_order(pieces, ("key", "piece"), ("at", "id"), replay, "id long, hit boolean").select("key", "id", "hit")
 
-    by = requests.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    return by.select("key", F.inline(F.aggregate("r", start, step, lambda a: a["out"])))
 
+def cache_replay_stream(requests: DataFrame, ttl: float = 600.0, delay: str | None = None) -> DataFrame:
+    """T3 on a stream: the last write of each key is kept between batches.
 
-def cache_replay_stream(requests: DataFrame, ttl: float = 600.0) -> DataFrame:
-    """T3 on a stream: the last write of each key is kept between batches."""
+    delay: how late requests may come, against their own time `at`; with it a key's state goes
+    once its entry has expired, without it state stays.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def replay(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         (written,) = state.get if state.exists else (None,)
         rows = pd.concat(list(parts)).sort_values(["at", "id"])
         hits = []
@@ -59,23 +73,33 @@ def cache_replay_stream(requests: DataFrame, ttl: float = 600.0) -> DataFrame:
             hits.append(hit)
             written = written if hit else float(at)
         state.update((written,))
+        if delay is not None:
+            state.setTimeoutTimestamp(max(int((written + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "id": rows["id"].to_numpy(), "hit": hits})
 
-    return requests.groupBy("key").applyInPandasWithState(replay, "key string, id long, hit boolean", "written double", "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout
+    if delay is not None:
+        requests = requests.withColumn("ts", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("ts", delay)
+        kind = GroupStateTimeout.EventTimeTimeout
+    return requests.groupBy("key").applyInPandasWithState(replay, "key string, id long, hit boolean", "written double", "append", kind)
 
 
 def ingest_stream(docs: DataFrame, path: str, checkpoint: str, ingest) -> object:
-    """T4: every micro-batch of new documents goes through ingest(batch, store so far or None) and is appended to path."""
+    """T4: every micro-batch of new documents goes through ingest(batch, store so far or None) into path/batch=<id>.
+
+    A batch that is run again after a failure sees the batches before it and writes its own
+    folder anew, so nothing is stored twice.
+    """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            store = spark.read.parquet(path)
+            store = spark.read.parquet(path).where(F.col("batch") < number).drop("batch")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             store = None
-        ingest(batch, store).write.mode("append").parquet(path)
+        ingest(batch, store).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -93,25 +117,26 @@ def breaker_replay(calls: DataFrame, threshold: int = 5, cool_down: float = 30.0
 
     A closed breaker opens at the threshold-th failure in a row; an open one skips calls until
     cool_down after the last failure, then lets one try: a failure opens it again at once, as
-    the count stands, a success closes it and resets the count.
+    the count stands, a success closes it and resets the count. A channel's calls are read in
+    order by one task, which holds three numbers.
     """
-    row = F.struct("at", "id", "ok")
-    kind = "array<struct<id:bigint,skipped:boolean,opened:boolean>>"
-    start = F.struct(F.lit(0).alias("fails"), F.lit(0.0).alias("last"), F.lit(False).alias("open"), F.array().cast(kind).alias("out"))
-
-    def step(acc, r):
-        skip = acc["open"] & (r["at"] - acc["last"] < cool_down)
-        fails = F.when(skip, acc["fails"]).when(r["ok"], 0).otherwise(acc["fails"] + 1)
-        opened = ~skip & ~r["ok"] & (acc["fails"] + 1 >= threshold)
-        return F.struct(
-            fails.alias("fails"),
-            F.when(skip | r["ok"], acc["last"]).otherwise(r["at"]).alias("last"),
-            F.when(skip, F.lit(True)).otherwise(opened).alias("open"),
-            F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), skip.alias("skipped"), opened.alias("opened")))).alias("out"),
-        )
-
-    by = calls.groupBy("channel").agg(F.sort_array(F.collect_list(row)).alias("r"))
-    return by.select("channel", F.inline(F.aggregate("r", start, step, lambda a: a["out"])))
+    def replay():
+        fails, last, is_open = 0, 0.0, False
+
+        def one(at, i, ok):
+            nonlocal fails, last, is_open
+            if is_open and at - last < cool_down:
+                return i, True, False
+            if ok:
+                fails, is_open = 0, False
+            else:
+                fails, last = fails + 1, at
+                is_open = fails >= threshold
+            return i, False, is_open
+
+        return one
+
+    return in_order(calls, ("channel",), ("at", "id", "ok"), replay, "id long, skipped boolean, opened boolean")
 
 
 def stage_latency(log: DataFrame) -> DataFrame:

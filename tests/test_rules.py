@@ -1,3 +1,6 @@
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,20 +52,27 @@ def test_constraints(spark):
     assert fixed[1].max_deductible == 10_000 and strict[1].max_waiting_days == 30
 
 
+AGENTS = json.loads((Path(__file__).parent / "data" / "agents.json").read_text())  # the names a caller gives the agents
+
+
 @pytest.mark.parametrize("intent, query, primary, mode", [
-    ("理赔咨询", "这是一条测试query", "claim", "multi_agent"), ("产品咨询", "这是一条测试query", "insurance", "multi_agent"), ("投保流程", "这是一条测试query", "insurance", "multi_agent"),
-    ("核保咨询", "这是一条测试query", "underwriting", "multi_agent"), ("保单查询", "这是一条测试query", "service", "multi_agent"), ("投诉建议", "这是一条测试query", "service", "rag_fallback"),
-    ("闲聊", "这是一条测试query", "service", "rag_fallback"), ("产品咨询", "你好", "insurance", "rag_fallback"), ("理赔咨询", "肺炎能赔吗", "claim", "multi_agent"),
+    ("理赔咨询", "这是一条测试query", "claim", "multi_agent"), ("产品咨询", "这是一条测试query", "product", "multi_agent"), ("投保流程", "这是一条测试query", "product", "multi_agent"),
+    ("核保咨询", "这是一条测试query", "risk", "multi_agent"), ("保单查询", "这是一条测试query", "service", "multi_agent"), ("投诉建议", "这是一条测试query", "service", "rag_fallback"),
+    ("闲聊", "这是一条测试query", "service", "rag_fallback"), ("产品咨询", "你好", "product", "rag_fallback"), ("理赔咨询", "肺炎能赔吗", "claim", "multi_agent"),
 ])
 def test_routes(spark, intent, query, primary, mode):
-    r = U.route(spark.createDataFrame([(1, intent, query)], "query_id int, intent string, query string"), U.routes(spark)).first()
+    asked = spark.createDataFrame([(1, intent, query)], "query_id int, intent string, query string")
+    r = U.route(asked, U.routes(spark)).first()
     assert (r.primary, r.mode) == (primary, mode)
+    r = U.route(asked, U.routes(spark, rules.renamed(rules.ROUTES, AGENTS))).first()
+    assert (r.primary, r.mode) == (AGENTS.get(primary, primary), mode)
 
 
 def test_tasks_and_grants(spark):
     df = spark.createDataFrame([(1, "产品咨询", "这是一条测试query"), (2, "理赔咨询", "这是一条测试query")], "query_id int, intent string, query string")
     got = sorted((r.query_id, r.task_id, r.agent_name, r.task_intent, r.dependencies) for r in U.build_tasks(U.route(df, U.routes(spark))).collect())
-    assert got == [(1, "task_0", "insurance", "产品咨询", []), (1, "task_1", "service", "保单查询", ["task_0"]), (2, "task_0", "claim", "理赔咨询", []), (2, "task_1", "underwriting", "核保咨询", ["task_0"])]
+    assert got == [(1, "task_0", "product", "产品咨询", []), (1, "task_1", "service", "保单查询", ["task_0"]), (2, "task_0", "claim", "理赔咨询", []), (2, "task_1", "risk", "核保咨询", ["task_0"])]
+    assert rules.renamed(rules.TOOL_DOMAINS, AGENTS)["product_compare"] == (AGENTS["product"],)
     asks = spark.createDataFrame([("claim", "customer"), ("claim", "admin")], "domain string, role string")
     tools = U.tool_grants(asks, U.grants(spark, rules.TOOL_DOMAINS, "domain"), U.grants(spark, rules.TOOL_ROLES, "role"))
     assert sorted((r.role, r.tool) for r in tools.collect()) == [("customer", "claim_tracking"), ("customer", "clause_search"), ("customer", "policy_query")]
@@ -114,6 +124,24 @@ def test_vector_filters(spark):
     assert R.build_context(one, spark.createDataFrame([], "query_id int, rank int, product_name string, clause_type string, parent_text string, text string")).first().context == "暂无相关条款"
 
 
+def test_ivf_recall_grows_with_probes(spark):
+    """Searching more cells finds more, all of them everything; the vectors are near random, so half of the cells find about eight in ten."""
+    from tessera.plans.retrieval import asked, chunks
+
+    sf = "/root/testdata/sf0.01"
+    live, q = chunks(spark, sf).where(R.scalar_filter()).cache(), asked(spark, sf).cache()
+    exact = {(r.query_id, r.id) for r in R.dense_topk(q, live, 10).collect()}
+    index = R.ivf_index(live, 16)
+    share = [len(exact & {(r.query_id, r.id) for r in R.ivf_topk(q, index, 10, n).collect()}) / len(exact) for n in (1, 4, 8, 16)]
+    assert share == sorted(share) and share[2] >= 0.8 and share[3] == 1.0
+
+
+def test_small_is_bounded_by_bytes(spark):
+    df = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 1000).alias("v"))
+    broadcast = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString() or "hint" in x._jdf.queryExecution().analyzed().toString().lower()
+    assert broadcast(R.small(df)) and not broadcast(R.small(df, most=100_000)) and not broadcast(R.small(df, rows=50))
+
+
 def test_business_rules(spark):
     rates = spark.createDataFrame([(1, "健康险", 18, 25, "50万", 258.0, True), (2, "健康险", 26, 40, "50万", 358.0, True), (3, "健康险", 18, 60, "50万", 300.0, False)], "rate_id int, product_name string, min_age int, max_age int, sum_insured string, premium_yearly double, is_active boolean")
     req = spark.createDataFrame([(1, "健康", 20, None), (2, "健康", 26, "50万"), (3, "健康", 70, None)], "request_id int, product_name string, age int, sum_insured string")

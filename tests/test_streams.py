@@ -43,8 +43,9 @@ def test_cache_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, at double, id long")
     batch = sorted((r.id, r.hit) for r in S.cache_replay(df).collect())
     df.orderBy("at").coalesce(1).write.parquet(f"{tmp_path}/in")
-    drain(S.cache_replay_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), "replayed")
-    assert sorted((r.id, r.hit) for r in spark.table("replayed").collect()) == batch
+    for delay, name in ((None, "replayed"), ("10 seconds", "replayed_and_expired")):
+        drain(S.cache_replay_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), delay=delay), name)
+        assert sorted((r.id, r.hit) for r in spark.table(name).collect()) == batch
     assert any(h for _, h in batch) and not all(h for _, h in batch)
 
 
@@ -67,3 +68,13 @@ def test_ingest_stream(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(store)
     assert got.count() == got.select("text").distinct().count() == 7
+
+
+def test_ingest_stream_repeats_a_batch(spark, tmp_path):
+    """A batch that is run again, as after a failure before its commit, is not stored twice."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    ingest = lambda batch, old: I.dedup_documents(I.with_md5(batch), old)
+    for k in range(2):  # a new progress folder each time: batch 0 again
+        S.ingest_stream(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/cp{k}", ingest).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/store").count() == 10

@@ -72,14 +72,18 @@ def test_product_fields(spark):
 def test_chunk_rows_and_clauses(spark):
     docs = spark.createDataFrame([("P_1", "。".join("字" * 200 for _ in range(12)) + "。")], "doc_id string, text string")
     kids = I.child_chunks(docs)
-    rows = {r.chunk_id: r for r in I.chunk_rows(kids).collect()}
+    rows = {r.chunk_id: r for r in I.chunk_rows(docs).collect()}
     n = kids.count()
     assert {k for k in rows if "child" in k} == {f"P_1_child_{i:04d}" for i in range(n)}
     assert rows["P_1_child_0005"].parent_id == "P_1_parent_0001" and rows["P_1_parent_0001"].chunk_index == -1
     assert rows["P_1_parent_0000"].text == "".join(rows[f"P_1_child_{i:04d}"].text for i in range(4)) == rows["P_1_child_0000"].parent_text
-    secs = spark.createDataFrame([("P_1", 0, "其一", "无关"), ("P_1", 1, "其二", "字" * 200 + "。\n" + "字" * 300)], "doc string, pos int, title string, body string")
-    assert {r.clause_type for r in I.annotate_clause(kids, secs).collect()} == {"其二"}
-    assert {r.clause_type for r in I.annotate_clause(kids, secs.where("pos = 0")).collect()} == {"其他"}
+    secs = [("其一", "无关"), ("其二", "字" * 200 + "。\n" + "字" * 300), ("其三", "字" * 300)]
+    one_row = docs.select(F.lit(None).cast("string").alias("x")).withColumns({"kids": F.array(F.lit("字" * 20), F.lit("字" * 60), F.lit("别")), "secs": F.array(*[F.struct(F.lit(t).alias("title"), F.lit(b).alias("body")) for t, b in secs])})
+    marked = lambda **k: one_row.select(I.annotate_clause(F.col("kids"), F.col("secs"), **k).alias("a")).first().a
+    assert marked() == ["其二", "其二", "其他"]
+    across = one_row.withColumn("kids", F.array(F.lit("字" * 190 + "。" + "字" * 60)))
+    assert across.select(I.annotate_clause(F.col("kids"), F.col("secs"), chars=220).alias("a")).first().a == ["其他"]
+    assert across.select(I.annotate_clause(F.array(F.lit("字" * 10 + "。" + "字" * 60)), F.col("secs"), strict=False).alias("a")).first().a == ["其二"]
 
 
 @pytest.mark.parametrize("name, kind", [("投保须知.pdf", "投保须知"), ("2024费率.pdf", "费率表"), ("理赔费率.pdf", "费率表"), ("x.pdf", "条款")])
@@ -87,6 +91,18 @@ def test_doc_type(spark, name, kind):
     assert one(spark, I.infer_doc_type, name) == kind
 
 
+def test_segmenter_guards_and_headers(spark):
+    """Short texts and single sentences stay whole; only a clause number at the start keeps a short paragraph apart."""
+    docs = spark.createDataFrame([("short", "甲" * 40 + "。" + "乙" * 40), ("one", "丙" * 150), ("none", ""), ("null", None), ("long", "x")], "doc string, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc") == "long", "丁" * 320).otherwise(F.col("text")))
+    parts = {"short": [("甲" * 40 + "。", 0.9), ("乙" * 40, 0.9)], "one": [("丙" * 150, 0.9)], "long": [("丁" * 120, 0.0), ("本款第二项所列条件适用", 0.9), ("第三条 戊", 0.9), ("己" * 120, 0.9)]}
+    sents = spark.createDataFrame([(d, i, t, r) for d, xs in parts.items() for i, (t, r) in enumerate(xs)], "doc string, sent int, text string, ratio double")
+    got = {}
+    for r in I.segment(docs, sents).orderBy("para", "part").collect():
+        got.setdefault(r.doc, []).append(r.text)
+    assert got == {"short": ["甲" * 40 + "。" + "乙" * 40], "one": ["丙" * 150], "long": ["丁" * 120 + "本款第二项所列条件适用", "第三条 戊", "己" * 120]}
+
+
 def test_paragraph_rules(spark):
     s = spark.createDataFrame([("d", i, t, r) for i, (t, r) in enumerate([("a" * 30, 0.0), ("b" * 120, 0.5), ("c" * 20, 0.4), ("第一条 x", 0.9), ("d" * 200, 0.1)])], "doc string, sent int, text string, ratio double")
     groups = I.group_paragraphs(s)
