@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -50,6 +51,56 @@ def test_redact_and_empty(spark):
     assert secrets.secret_digest(df.limit(0)).count() == 0
 
 
+def python_battery(s):
+    """(stratum, even bin, odd bin), by the formulas in the docstrings."""
+    n, chars = len(s), list(s)
+    k = next((k for p, k in ((r"[0-9a-f]+|[0-9A-F]+", 16), (r"[A-Z2-7]+=*", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z]+", 62)) if re.fullmatch(p, s)), 64)
+    squares = sum(chars.count(c) ** 2 for c in set(chars))
+    chi = k * squares / n - n
+    z_text = (chi - ((k - 1) + (n - 1) * (k * 0.066 - 1))) / math.sqrt(2 * (k - 1) * (1 + 2 * (k * 0.066 - 1) * n / k))
+    x = [secrets.ALPHABET.index(c) + 1 for c in chars]
+    mean = sum(x) / n
+    y = [v - mean for v in x]
+    high = sum(v >= 0 for v in y)
+    runs = 1 + sum((a >= 0) != (b >= 0) for a, b in zip(y, y[1:]))
+    expected = 2 * high * (n - high) / n + 1
+    z_runs = abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    z_serial = abs(sum(a * b for a, b in zip(y, y[1:])) / max(sum(v * v for v in y), 1e-9) * math.sqrt(n))
+    tail = lambda z: math.log10(1 + math.exp(max(-30, min(1.5976 * z + 0.07056 * z**3, 300))))
+    odd = max(tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))), tail(z_runs) - math.log10(2), tail(z_serial) - math.log10(2)) - math.log10(3)
+    varied = (re.search("[0-9]", s) or (re.search("[a-z].*[a-z].*[a-z]", s) and re.search("[A-Z].*[A-Z].*[A-Z]", s))) and 0 < high < n
+    bin_ = lambda p: min(math.floor(20 * max(p, 0)), 1200)
+    return min(int(math.log2(n)), 12) * 100 + k, bin_(tail(-z_text)) if varied and z_text < 0 else 0, bin_(odd) if varied else 1200
+
+
+def accepted(bins, level):
+    """Benjamini-Hochberg over binned p-values: the lowest accepted bin of each stratum."""
+    cuts = {}
+    for s in {s for s, _ in bins}:
+        own = sorted((b for t, b in bins if t == s), reverse=True)
+        ok = [b for b in set(own) if b > 0 and 10 ** (-b / 20) <= level * sum(x >= b for x in own) / len(own)]
+        cuts[s] = min(ok, default=1 << 30)
+    return cuts
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = "network interface controller manager abstract factory transaction internal configuration message".split()
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(["see", "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[: rng.choice([36, 62])], k=rng.randint(20, 90))), "_".join(rng.choices(words, k=4)) + str(i), "token=abcdefghijklmnopqrstuvwxyz0123456789"])))
+    runs = []
+    for i, t in rows:
+        base = [(a, b) for a, _, b in brute(t)]
+        runs += [(i, m.start(), m.end(), python_battery(m[0])) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t) if not any(m.start() < b and a < m.end() for a, b in base)]
+    even, odd = accepted([(s, e) for *_, (s, e, _) in runs], 0.01), accepted([(s, o) for *_, (s, _, o) in runs], 0.001)
+    want = {(i, a, b) for i, a, b, (s, e, o) in runs if e >= even[s] and o < odd[s] and o < 1200}
+    got = set()
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got |= {(r.doc_id, x.start, x.end) for x in r.found if x.kind == 3}
+    assert got == want and len(want) > 60
+
+
 def test_random_strings_told_from_names(spark):
     """Planted random strings of several encodings among names and words: few of either are taken for the other."""
     rng = random.Random(6)

@@ -116,6 +116,62 @@ def test_tiling_is_greedy(item, doc, least):
     assert decontaminate.tile(item, doc, least) == brute_tiles(item, doc, least)
 
 
+def test_leaks_equal_brute_force(spark):
+    """Every document against every item, by tiling without hashes or seeds."""
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 16)))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        w = rng.choices(vocabulary, k=rng.randint(0, 40))
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            a = rng.randint(0, len(part) // 2)
+            at = rng.randint(0, len(w))
+            w[at:at] = part[a : a + rng.randint(2, 14)]
+        docs.append((i, " ".join(w)))
+    want = []
+    for i, text in docs:
+        for k, item in items:
+            a, b = item.split(), text.split()
+            matched = sum(n for *_, n in brute_tiles(a, b, 5))
+            if matched and matched >= 0.5 * len(a):
+                want.append((i, k, matched))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == sorted(want) and len(want) > 20
+
+
+def test_score_equals_naive_search(spark):
+    """The automaton's score against looking for every term and phrase at every place."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    lexicon = toxicity.Lexicon({" bad": 1.5, " awfui ": 2.0, " ba": 0.5}, (" bad iuck ", " not bad "), -2.0, (1.1, 0.7))
+    texts_ = [" ".join(rng.choices(["bad", "luck", "not", "awful", "awfully", "B4D", "bar", "fine", "a"], k=rng.randint(0, 30))) for _ in range(80)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), lexicon).collect()}
+    for i, text in enumerate(texts_):
+        t = toxicity.fold(text, toxicity.Folding())
+        places = lambda x: [a for a in range(len(t)) if t.startswith(x, a)]
+        void = [(a, a + len(x)) for x in lexicon.exceptions for a in places(x)]
+        total = sum(w for x, w in lexicon.weights.items() for a in places(x) if not any(p <= a and a + len(x) <= q for p, q in void))
+        z = -2.0 + 1.1 * math.log1p(total) + 0.7 * math.sqrt(total / max(1, t.count(" ") - 1))
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_many_hits_in_linear_time():
+    lexicon = toxicity.Lexicon({" bad": 1.0}, (" not bad ",))
+    assert len(toxicity.hits(" " + "bad not bad " * 100_000, lexicon.automaton())) == 100_000
+
+
+def test_drop_toxic_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "clean", 0.7, "z"), (2, "blargword", 0.1, "z"), (None, None, 0.2, "y")], "doc_id long, text string, `__score` double, `a.b` string")
+    kept = toxicity.drop_toxic(docs, toxicity.Lexicon({" biargword ": 9.0}))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "clean", 0.7, "z"), (None, None, 0.2, "y")], key=str)
+
+
 def test_tiling_of_repetitions_is_quick():
     assert len(decontaminate.tile([0] * 50, [0] * 200_000, 5)) == 1
 
