@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
-WORD = re.compile(r"\S+")
 #: Bins of hashed byte pairs in the content view; bins of hashed language and source in the metadata view.
 PAIR_BINS, NAME_BINS = 128, 16
 SCHEMA = "doc_id long, content array<float>, meta array<float>"
@@ -129,18 +127,92 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, fit_rows: int = 8_000, exchange_rows: int = 1_000, confident: float = 3.0) -> DataFrame:
+def gathered(seen: DataFrame, models, confident: float):
+    """What each view learns from the other's sure documents: for view, then class, (n, gradient, a bound of the Hessian).
+
+    Every document whose other view's logit is beyond `confident` takes part, at its view's
+    present model. Tasks send sums of fixed size, which are added up in sixteen groups before
+    the driver adds those.
+    """
+    import numpy as np
+
+    sent = seen.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, part = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.column(0)[0].as_py()
+            x = [np.asarray(b.column(k + 1).flatten(), np.float64).reshape(b.num_rows, -1) for k in range(2)]
+            sure = [logit(m, v) for m, v in zip(sent.value, x)]
+            sums = []
+            for k, (beta, mean, scale) in enumerate(sent.value):
+                for y in (0, 1):
+                    own = x[k][sure[1 - k] > confident if y else sure[1 - k] < -confident]
+                    z = np.c_[np.ones(len(own)), (own - mean) / scale]
+                    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                    sums += [[len(z)], z.T @ (y - p), (z.T @ z).ravel() / 4]
+            total = np.concatenate(sums) if total is None else total + np.concatenate(sums)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    def add(pdf):
+        return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]})
+
+    made = seen.select(F.spark_partition_id().alias("part"), "content", "meta").mapInArrow(run, "part int, sums binary")
+    flat = [np.frombuffer(r.sums) for r in made.groupBy("part").applyInPandas(add, "sums binary").collect()]  # sixteen rows of some hundred KB
+    out, at = [], 0
+    total = np.sum(flat, axis=0) if flat else None
+    for beta, _, _ in models:
+        d, of_view = len(beta), []
+        for _ in range(2):
+            part = np.zeros(1 + d + d * d) if total is None else total[at : at + 1 + d + d * d]
+            of_view.append((part[0], part[1 : 1 + d], part[1 + d :].reshape(d, d)))
+            at += 1 + d + d * d
+        out.append(of_view)
+    return out
+
+
+def refit(own, model, given, ridge: float = 1.0):
+    """A view's model on its labelled rows and what the other view gave, by Newton steps.
+
+    A class's given documents weigh half as much as its labelled rows, or half each if they are
+    fewer; their loss is bounded by a quadratic about the present model.
+    """
+    import numpy as np
+
+    x, y, _ = own
+    beta0, mean, scale = model
+    z = np.c_[np.ones(len(x)), (x - mean) / scale]
+    keep = np.diag(np.r_[1e-6, np.full(x.shape[1], ridge)])
+    share = [0.5 * min(1.0, float((y == c).sum()) / max(1.0, given[c][0])) for c in (0, 1)]
+    pull, bend = (sum(w * g[k] for w, g in zip(share, given)) for k in (1, 2))
+    beta = beta0.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        slope = z.T @ (y - p) - keep @ beta + pull - bend @ (beta - beta0)
+        step = np.linalg.solve(z.T @ (z * np.maximum(p * (1 - p), 1e-6)[:, None]) + keep + bend, slope)
+        beta = beta + np.clip(step, -3, 3)
+        if abs(step).max() < 1e-6:
+            break
+    return beta, mean, scale
+
+
+def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, fit_rows: int = 8_000, confident: float = 3.0) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted (score >= 0.5) of every row of docs.
 
     fit_rows bounds the labelled rows that the models are fitted on (a sample by hash when
     there are more); rows held out (crc32 of doc_id mod 5 = 0) are never among them. In each
-    round both classifiers score every unlabelled document; each hands the other up to
-    exchange_rows documents of either class whose logit is beyond `confident`, as labels of
-    half weight. One labelled row in four is kept from fitting to calibrate both views, whose
-    calibrated logits are then added with learned weights. Null and empty texts have the views
-    of an empty text, repeated rows score alike, unknown or null languages and sources share
-    hashed bins. Without labels of both classes all scores are the share of good labels (0.5
-    without any).
+    round both classifiers score every document, and each learns from all documents that the
+    other is sure of (logit beyond `confident`), labelled or not. One labelled row in four is
+    kept from fitting to calibrate both views, whose calibrated logits are then added with
+    learned weights. Null and empty texts have the views of an empty text, very long texts are
+    read whole, repeated rows score alike, unknown or null languages and sources share hashed
+    bins; columns other than doc_id, text, lang and source are ignored. Without labels of both
+    classes all scores are the share of good labels (0.5 without any).
     """
     import numpy as np
 
@@ -160,26 +232,11 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, fit_rows: int
         aside = np.zeros(len(y), bool)
     own = [(v[~aside], y[~aside], np.ones(int((~aside).sum()))) for v in x]
     models = [fit(*o) for o in own]
-    given: list = [None, None]
-    for turn in range(rounds):
-        # ids and logits alone meet the labels; the views never move
-        scored = table(_scored(seen, models).select("doc_id", "lc", "lm")).join(known.select("doc_id"), "doc_id", "left_anti")
-        pick = []
-        for view in ("lc", "lm"):
-            for sign in (1, -1):
-                sure = scored.where(F.col(view) * sign > confident)
-                pick.append(sure.select("doc_id", F.lit(view).alias("by"), F.lit(float(sign > 0)).alias("y"), F.xxhash64("doc_id", F.lit(turn)).alias("o")).orderBy("o").limit(exchange_rows))
-        ids = cut(pick[0].unionByName(pick[1]).unionByName(pick[2]).unionByName(pick[3]).drop("o"))  # four times exchange_rows at most
-        found = seen.join(F.broadcast(ids), "doc_id").select("by", "y", "content", "meta").toPandas()
-        for k, (view, column) in enumerate((("lm", "content"), ("lc", "meta"))):  # each learns from the other
-            part = found[found["by"] == view]
-            if len(part):
-                given[k] = (np.stack(part[column].to_list()).astype(float), part["y"].to_numpy(), np.full(len(part), 0.5))
-        models = [fit(*(np.concatenate(p) for p in zip(o, g))) if g is not None else fit(*o) for o, g in zip(own, given)]
+    for _ in range(rounds):
+        models = [refit(o, m, g) for o, m, g in zip(own, models, gathered(seen, models, confident))]
     at = aside if aside.any() else np.ones(len(y), bool)
     z = np.c_[logit(models[0], x[0][at]), logit(models[1], x[1][at])]
-    combined = fit(z, y[at], np.ones(int(at.sum())))
-    beta, mean, scale = combined
+    beta, mean, scale = fit(z, y[at], np.ones(int(at.sum())))
     a, b = beta[1] / scale[0], beta[2] / scale[1]
     c = beta[0] - a * mean[0] - b * mean[1]
     total = F.lit(float(c)) + F.lit(float(a)) * F.col("lc") + F.lit(float(b)) * F.col("lm")
