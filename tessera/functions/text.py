@@ -12,6 +12,11 @@ from tessera import rules
 WHITE = " \t\n\r"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out a single time however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without spaces, tabs and line ends at either side."""
     return F.regexp_replace(c, r"^[ \t\n\r]+|[ \t\n\r]+$", "")

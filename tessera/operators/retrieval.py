@@ -48,14 +48,12 @@ def encode(df: DataFrame, key: str, text: str = "text", encoder=None, schema: st
     """
     if encoder is not None:
         return df.mapInPandas(encoder, schema)
-    posts = postings(df.select(key, text), key, text)
-    terms = posts.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("p"), F.sum("weight").alias("n"))
+    posts = postings(df.select(key, text), key, text).repartition(key)  # one shuffle serves both steps that follow
+    slotted = posts.groupBy(key, F.pmod(F.crc32("term"), F.lit(dims)).cast("int").alias("slot")).agg(F.collect_list(F.struct("term", "weight")).alias("p"), F.sum("weight").alias("w"))
+    terms = slotted.groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"), F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("slots"), F.sum("w").alias("n"))
     share = lambda x: F.struct(x["term"], x["weight"] / F.col("n"))
-    slots = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.aggregate(F.filter("p", lambda x: F.pmod(F.crc32(x["term"]), F.lit(dims)) == i), F.lit(0.0), lambda a, x: a + x["weight"]) / F.col("n"),
-    )
-    made = terms.select(key, F.map_from_entries(F.transform("p", share)).alias("sparse"), slots.alias("dense"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0.0)) / F.col("n"))
+    made = terms.select(key, F.map_from_entries(F.transform("p", share)).alias("sparse"), dense.alias("dense"))
     none = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.lit(0.0))
     out = df.join(made, key, "left")
     return out.withColumns({"sparse": F.coalesce("sparse", F.create_map().cast("map<string,double>")), "dense": F.coalesce("dense", none)})
@@ -134,9 +132,12 @@ def ivf_topk(q: DataFrame, index, k: int, nprobe: int = 16) -> DataFrame:
     return topk(met.select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
 
 
-def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, weight: how often each word occurs."""
-    return df.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
+def postings(df: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """key, term, weight: how often each word occurs; only: a table of terms, the others of which are dropped before they are counted."""
+    said = df.select(key, F.explode(words(F.col(text))).alias("term"))
+    if only is not None:
+        said = said.join(small(only.select("term").distinct()), "term", "left_semi")
+    return said.groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
 
 
 def sparse_topk(qterms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
@@ -215,7 +216,8 @@ def build_context(queries: DataFrame, hits: DataFrame, top: int = 5, none: str =
 
 def sparse_list(q: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """The sparse side of hybrid retrieval: terms of q(query_id, query) against those of live(id, text)."""
-    return sparse_topk(postings(q, "query_id", "query"), postings(live, "id", "text"), k)
+    asked = postings(q, "query_id", "query")
+    return sparse_topk(asked, postings(live, "id", "text", asked), k)
 
 
 def retrieve(q: DataFrame, chunks: DataFrame, parents: DataFrame, filters: dict | None = None, coarse: int = 30, k: int = 5, second=None, scorer: Column | None = None, first=dense_topk) -> DataFrame:

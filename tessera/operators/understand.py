@@ -71,7 +71,8 @@ def link_longest(q: Column, names, aliases: dict | None = None) -> Column:
     found = T.longest_contained(q, names)
     if not aliases:
         return found
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), found), found)
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return T.once(found, lambda f: F.coalesce(F.try_element_at(table, f), f))
 
 
 def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2, few: int = 1_000) -> DataFrame:
@@ -83,19 +84,19 @@ def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2, few: in
     """
     if names.limit(few + 1).count() <= few:
         listed = F.broadcast(names.select(F.col("name").alias("mention")).distinct())
-        return df.join(listed, F.col(q).contains(F.col("mention"))).distinct()
+        return df.join(listed, F.col(q).contains(F.col("mention")))
     spelled = df.withColumn("chars", F.filter(F.split(q, "(?!^)"), lambda c: c != ""))
     gram = lambda c, i: F.concat_ws("", c, *[F.get("chars", i + k) for k in range(1, prefix)])
     grams = spelled.withColumn("g", F.explode(F.array_distinct(F.transform("chars", gram)))).drop("chars")
     named = small(names.select(F.col("name").alias("mention"), F.substring("name", 1, prefix).alias("g")).distinct())
-    return grams.join(named, "g").where(F.col(q).contains(F.col("mention"))).drop("g").distinct()
+    return grams.join(named, "g").where(F.col(q).contains(F.col("mention"))).drop("g")  # a name has one prefix, a row each prefix once
 
 
 def link_products(q: Column, names, pattern: str = rules.PRODUCT_PATTERN, insurers=rules.INSURERS) -> Column:
     """Q10: all names contained, in dictionary order; else the pattern's distinct finds that are no insurer."""
     listed = F.array_compact(F.array(*[F.when(q.contains(n), F.lit(n)) for n in names])) if names else F.array().cast("array<string>")
     found = F.array_except(F.array_distinct(F.regexp_extract_all(q, F.lit(pattern), F.lit(1))), F.array(*[F.lit(i) for i in insurers]))
-    return F.when(F.size(listed) > 0, listed).otherwise(found)
+    return T.once(listed, lambda names: F.when(F.size(names) > 0, names).otherwise(found))
 
 
 def disease_of(q: Column, known=(), table=None) -> Column:
@@ -103,8 +104,8 @@ def disease_of(q: Column, known=(), table=None) -> Column:
     table = rules.DISEASES if table is None else table
     category = {d: c for c, ds in table.items() for d in ds}  # the last category wins
     name = F.coalesce(T.longest_contained(q, list(known)), T.longest_contained(q, list(category)))
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in category.items() for x in kv]), name)
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), F.coalesce(kind, F.lit("其他")).alias("category")))
+    kind = lambda n: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in category.items() for x in kv]), n), F.lit("其他"))
+    return T.once(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("name"), kind(n).alias("category"))))
 
 
 def dimensions(q: Column, table=rules.DIMENSIONS) -> Column:
@@ -114,12 +115,14 @@ def dimensions(q: Column, table=rules.DIMENSIONS) -> Column:
 
 def entities(q: Column, insurers=rules.INSURERS, aliases=None, products=(), diseases=(), events=rules.EVENT_WORDS, table=rules.DIMENSIONS) -> Column:
     """Q14: struct<insurer, products, disease, event, dimensions, all_entities>, all_entities in that fixed order."""
-    insurer = link_longest(q, insurers, rules.INSURER_ALIASES if aliases is None else aliases)
-    found = link_products(q, products)
-    disease, event = disease_of(q, diseases)["name"], link_longest(q, events)
-    tagged = lambda kind, c: F.when(c.isNotNull(), F.concat_ws(":", F.lit(kind), c))
-    every = F.array_compact(F.concat(F.array(tagged("insurer", insurer)), F.transform(found, lambda p: F.concat(F.lit("product:"), p)), F.array(tagged("disease", disease), tagged("event", event))))
-    return F.struct(insurer.alias("insurer"), found.alias("products"), disease.alias("disease"), event.alias("event"), dimensions(q, table).alias("dimensions"), every.alias("all_entities"))
+    linked = F.struct(
+        link_longest(q, insurers, rules.INSURER_ALIASES if aliases is None else aliases).alias("insurer"), link_products(q, products).alias("products"),
+        F.coalesce(T.longest_contained(q, list(diseases)), T.longest_contained(q, list(dict.fromkeys(d for ds in rules.DISEASES.values() for d in ds)))).alias("disease"),
+        link_longest(q, events).alias("event"), dimensions(q, table).alias("dimensions"),
+    )
+    tagged = lambda x, kind: F.when(x[kind].isNotNull(), F.concat_ws(":", F.lit(kind), x[kind]))
+    every = lambda x: F.array_compact(F.concat(F.array(tagged(x, "insurer")), F.transform(x["products"], lambda p: F.concat(F.lit("product:"), p)), F.array(tagged(x, "disease"), tagged(x, "event"))))
+    return T.once(linked, lambda x: F.struct(*[x[k].alias(k) for k in ("insurer", "products", "disease", "event", "dimensions")], every(x).alias("all_entities")))
 
 
 def entities_regex(q: Column, insurers=rules.INSURERS, pattern: str = rules.PRODUCT_PATTERN_SHORT) -> Column:

@@ -90,7 +90,7 @@ SPARSE = f"p AS (SELECT id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id AS i
 
 def sparse(spark, d):
     q = R.postings(read_table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
-    return R.sparse_topk(q, R.postings(read_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id"), 30)
+    return R.sparse_topk(q, R.postings(read_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", only=q), 30)
 
 
 @query(f"WITH {SPARSE} SELECT * FROM s")
@@ -117,7 +117,7 @@ RERANKED = rf"WITH {SPARSE}, w AS (SELECT query_id, id, rank, list_distinct(list
 
 def reranked(spark, d, threshold=None):
     split = F.array_distinct(R.words(F.col("text")))
-    found = sparse(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", split.alias("dw")), "id")
+    found = sparse(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("dw", split)
     found = found.join(read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), split.alias("qw")), "query_id")
     return shown(R.rerank(found, R.overlap_of(F.col("qw"), F.col("dw")), 5, threshold)).select("query_id", "id", "rank", "score")
 

@@ -105,7 +105,7 @@ def q10_link_products(spark, d):
 @query("SELECT DISTINCT doc_id, w AS mention FROM documents, (SELECT DISTINCT lower(string_split(text, ' ')[1]) AS w FROM benchmark) WHERE length(w) >= 4 AND contains(text, w)")
 def q10_link_dictionary(spark, d):
     names = read_table(spark, d, "benchmark").select(F.lower(F.split("text", " ")[0]).alias("name")).where("length(name) >= 4").distinct()
-    return U.link_names(read_table(spark, d, "documents").select("doc_id", "text"), "text", names, 4).select("doc_id", "mention").distinct()
+    return U.link_names(read_table(spark, d, "documents").select("doc_id", "text"), "text", names, 4).select("doc_id", "mention")
 
 
 @query("SELECT doc_id, CASE WHEN contains(t,'thndre') THEN 'thndre' WHEN contains(t,'ererth') THEN 'ererth' WHEN contains(t,'eauion') THEN 'eauion' WHEN contains(t,'thing') THEN 'thing' END AS name, CASE WHEN contains(t,'thndre') THEN '其他' WHEN contains(t,'ererth') THEN 'b' WHEN contains(t,'eauion') THEN 'b' WHEN contains(t,'thing') THEN 'c' END AS category FROM (SELECT doc_id, text AS t FROM documents)")
