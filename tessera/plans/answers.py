@@ -228,20 +228,26 @@ def a7_confidence(spark, d):
     return read_table(spark, d, "events").select("event_id", A.confidence(s, F.col("event_type") != "error").alias("confidence"))
 
 
-@query("SELECT event_id, 'tool' || (event_id % 3) AS tool_name, regexp_extract(props, '([0-9]+)', 1) AS arg FROM events WHERE event_type NOT IN ('error', 'signup')")
+@query("SELECT event_id, 'tool' || (event_id % 3) AS tool_name, regexp_extract(props, '([0-9]+)', 1) AS arg FROM events WHERE event_type NOT IN ('error', 'signup') UNION ALL SELECT event_id, 'bad', NULL FROM events WHERE event_type = 'error'")
 def a8_parse_calls(spark, d):
     e = read_table(spark, d, "events")
     call = F.concat(F.lit('[{"tool_name":"tool'), F.col("event_id") % 3, F.lit('","tool_args":'), "props", F.lit("}]"))
     raw = F.when(F.col("event_type") == "error", "not json").when(F.col("event_type") == "signup", '[{"tool_args":{}}]').when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), call, F.lit("\n```"))).otherwise(call)
-    good, _ = A.parse_calls(e.select("event_id", raw.alias("raw")), "raw")
-    return good.select("event_id", "tool_name", F.try_element_at("tool_args", F.lit("k")).alias("arg"))
+    good, bad = A.parse_calls(e.select("event_id", raw.alias("raw")), "raw")
+    return good.select("event_id", "tool_name", F.try_element_at("tool_args", F.lit("k")).alias("arg")).unionByName(bad.select("event_id", F.lit("bad").alias("tool_name"), F.lit(None).cast("string").alias("arg")))
 
 
-LOGITS = "g AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10) AS z FROM embeddings), p AS (SELECT *, list_transform(z, lambda x: exp((x - list_max(z)) / 1.5)) AS e FROM g), r AS (SELECT vec_id, label, list_position(e, list_max(e))::INT - 1 AS pred, round(list_max(e) / list_sum(e), 4) AS confidence FROM p)"
+LOGITS = "g AS (SELECT vec_id, label, list_transform(range(10), lambda c: 4 * list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: (i - 1) % 10 = c), lambda i: embedding[i]::DOUBLE))) AS z FROM embeddings), p AS (SELECT *, list_transform(z, lambda x: exp((x - list_max(z)) / 1.5)) AS e FROM g), r AS (SELECT vec_id, label, list_position(e, list_max(e))::INT - 1 AS pred, round(list_max(e) / list_sum(e), 4) AS confidence FROM p)"
+
+
+def logits():
+    """Ten class scores: every tenth component of a vector, summed."""
+    part = lambda c: F.filter("embedding", lambda v, i: i % 10 == c)
+    return F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: 4 * F.aggregate(part(c), F.lit(0.0), lambda a, v: a + v.cast("double")))
 
 
 def predicted(spark, d):
-    x = read_table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 10).alias("logits"))
+    x = read_table(spark, d, "embeddings").select("vec_id", "label", logits().alias("logits"))
     return A.predict_from_logits(x, temperature=1.5)
 
 
@@ -263,7 +269,7 @@ def e3_confusion(spark, d):
 
 @query(f"WITH {LOGITS}, t AS (SELECT i, pow(10, -0.5 + i / 19.0::DOUBLE) AS t FROM range(20) x(i)), l AS (SELECT i, t, avg(-ln(list_transform(z, lambda x: exp((x - list_max(z)) / t))[label + 1] / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t))) + 1e-8)) AS nll FROM g, t GROUP BY ALL) SELECT round(arg_min(t, (round(nll, 12), i)), 6) AS temperature, round(min(nll), 6) AS nll FROM l")
 def e4_calibrate(spark, d):
-    x = read_table(spark, d, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 10).alias("logits"))
+    x = read_table(spark, d, "embeddings").select("label", logits().alias("logits"))
     return A.calibrate(x).select(F.round("temperature", 6).alias("temperature"), F.round("nll", 6).alias("nll"))
 
 

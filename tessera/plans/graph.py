@@ -175,9 +175,9 @@ def k14_disease_products(spark, d):
     return G.disease_products(each_part(spark, d), part_edges(spark, d))
 
 
-@query(f"WITH {P_SQL}, r AS (SELECT p_partkey + 1000000 AS request_id, 'q' || p_partkey AS disease, p_brand AS category FROM part WHERE p_size = 1) SELECT DISTINCT r.request_id, product, 'category' AS via FROM r JOIN pb USING (category) JOIN pe ON pe.disease = pb.disease WHERE rel = 'covers'")
+@query(f"WITH {P_SQL}, r AS (SELECT min(p_partkey) + 1000000 AS request_id, 'q' || min(p_partkey) AS disease, p_brand AS category FROM part GROUP BY p_brand, p_type) SELECT DISTINCT r.request_id, product, 'category' AS via FROM r JOIN pb USING (category) JOIN pe ON pe.disease = pb.disease WHERE rel = 'covers'")
 def k15_category_products(spark, d):
-    p = read_table(spark, d, "part").where("p_size = 1")
+    p = read_table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("p_partkey"))
     more = p.select(*G.edge(key("q", "p_partkey"), F.col("p_brand"), "belongs_to"))
     r = p.select((F.col("p_partkey") + 1000000).alias("request_id"), key("q", "p_partkey").alias("disease"))
     return G.category_products(r, part_edges(spark, d).unionByName(more))
