@@ -69,6 +69,35 @@ def test_registered_and_run(spark):
     assert max(r[1] for r in sizes) <= 2048
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing columns; then no rows at all."""
+    word = lambda i: " ".join(f"w{(i * 31 + k * k) % 997}x{k}" for k in range(60))
+    rows = [(i, word(i) + (" blargword" if i % 5 == 0 else " gentle"), "z", 1) for i in range(200)]
+    item = "one two three four five six seven eight nine ten"
+    odd = [(None, word(900) + " gentle", "z", 2), (300, None, "z", 3), (301, "", "z", 4), (302, word(1), "z", 5), (302, word(1), "z", 5), (303, "pad " * 50_000 + item, "z", 6), (304, "key token=abcdef123456 " + word(901), "z", 7), (305, word(902) + " " + "long " * 20_000, "z", 8)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, `__text` string, `row` int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), 1) for i in range(200)] + [(None, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
+    bench = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    for name, t in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        t.write.parquet(f"{tmp_path}/a/{name}.parquet")
+        t.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    ids = {r.doc_id for r in got}
+    assert not any(i is not None and i < 200 and i % 5 == 0 for i in ids) and {1, 2, 3, 4, 304, 305, None} <= ids and 303 not in ids
+    assert len(ids & {300, 301}) == 1 and len(ids & {302}) <= 1
+    by_seq = {}
+    for r in got:
+        assert len(r.ids) == 4 * r.length and r.length <= 2048
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for m in by_seq.values():
+        ends = [0]
+        for at, n in sorted(m):
+            assert at == ends[-1]
+            ends.append(at + n)
+        assert ends[-1] <= 2048
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.toxicity(queries.read(spark, "/root/testdata/sf0.01", "documents"), queries.read(spark, "/root/testdata/sf0.01", "labels"))
     rows = got.join(queries.read(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
