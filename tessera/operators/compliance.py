@@ -51,8 +51,8 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+$", "")
 
 
-def apply_fixes(a: Column, broken: Column, medical_note: str = rules.MEDICAL_NOTE, cut: str = rules.DENIGRATION_CUT, neutral: str = rules.NEUTRAL_TEXT, amount_note: str = rules.AMOUNT_NOTE) -> Column:
-    """Every broken rule's fix, in order."""
+def apply_fixes(a: Column, broken: Column, medical_note: str, amount_note: str, neutral: str, cut: str = rules.DENIGRATION_CUT) -> Column:
+    """Every broken rule's fix, in order; the house's own wording is given by the caller."""
 
     def step(text, v):
         return (
@@ -66,7 +66,7 @@ def apply_fixes(a: Column, broken: Column, medical_note: str = rules.MEDICAL_NOT
     return F.aggregate(broken, a, step)
 
 
-def append_disclaimer(a: Column, broken: Column, role: Column, note: str = rules.CUSTOMER_NOTE) -> Column:
+def append_disclaimer(a: Column, broken: Column, role: Column, note: str) -> Column:
     """A clean answer to a customer carries the note."""
     return F.when((F.size(broken) == 0) & (role == "customer"), F.concat(rstrip(a), F.lit(note))).otherwise(a)
 

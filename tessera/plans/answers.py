@@ -43,7 +43,7 @@ FIX = r"""f AS (SELECT *, CASE WHEN list_contains(b,'medical_advice') THEN regex
 
 
 def fixed(spark, d):
-    return answers(spark, d).withColumn("fixed", K.apply_fixes(F.col("text"), F.col("b"), " NOTE", "(and|keit).{0,5}", "neutral", " AMOUNT"))
+    return answers(spark, d).withColumn("fixed", K.apply_fixes(F.col("text"), F.col("b"), " NOTE", " AMOUNT", "neutral", "(and|keit).{0,5}"))
 
 
 @query(f"WITH {ANSWERS}, {FIX} SELECT conv_id, turn, md5(fixed) AS fixed_md5 FROM fixed")

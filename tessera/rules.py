@@ -125,14 +125,7 @@ DENIGRATION = (
 AMOUNTS = (r"\d+元", r"\d+万", r"\d+%", r"百分之[一-龥]+", r"免赔额", r"赔付比例", r"保额")
 CITATIONS = (r"根据条款", r"条款第[\d.]+条", r"依据.*?规定", r"保险合同约定", r"条款.*?明确")
 CITED_INTENTS = ("理赔咨询", "保费试算")
-MEDICAL_NOTE = "\n\n⚠️ 温馨提示：以上信息仅基于保险条款解读，不构成医疗建议。具体诊疗方案请咨询专业医生。"
-AMOUNT_NOTE = "\n\n📋 以上金额仅供参考，具体以保险合同条款约定为准。"
-NEUTRAL_TEXT = "不同产品适合不同需求，建议根据自身情况选择。"
 DENIGRATION_CUT = r"(不推荐|千万别买).{0,20}"
-CUSTOMER_NOTE = (
-    "\n\n---\n⚠️ **温馨提示**：以上信息基于保险条款解读，仅供参考，不构成投保建议或理赔承诺。具体保障范围、理赔条件及保费金额"
-    "以保险合同条款约定和保险公司正式审核为准。如有疑问，请联系人工客服或拨打保险公司官方客服热线。"
-)
 
 # Seed graph.
 DISEASES = {

@@ -95,9 +95,9 @@ def test_compliance(spark):
     assert broken == [["medical_advice"], [], ["regulatory_word:一定能赔"], ["denigration"], ["amount_no_citation"], [], []]
     for role, want in (("customer", [False, True, False, False, False, True, True]), ("agent", [False, True, False, True, True, True, True])):
         assert ask(spark, K.verdict(K.violations(F.col("q"), F.lit("理赔咨询")), F.lit(role)), *texts) == want
-    fixed = ask(spark, K.apply_fixes(F.col("q"), K.violations(F.col("q"), F.lit("理赔咨询"))), *texts)
+    fixed = ask(spark, K.apply_fixes(F.col("q"), K.violations(F.col("q"), F.lit("理赔咨询")), "\n\n⚠️ N", " A约定为准。", "X"), *texts)
     assert fixed[0].startswith("医生建议服药\n\n⚠️") and fixed[2] == "，肯定赔" and fixed[4].endswith("约定为准。") and fixed[6] == "正常回答"
-    noted = ask(spark, K.append_disclaimer(F.col("q"), K.violations(F.col("q"), F.lit("")), F.lit("customer")), "好 \n")
+    noted = ask(spark, K.append_disclaimer(F.col("q"), K.violations(F.col("q"), F.lit("")), F.lit("customer"), "\n\n---"), "好 \n")
     assert noted[0].startswith("好\n\n---")
 
 
@@ -142,6 +142,15 @@ def test_small_is_bounded_by_bytes(spark):
     assert broadcast(R.small(df)) and not broadcast(R.small(df, most=100_000)) and not broadcast(R.small(df, rows=50))
 
 
+def test_notices_of_the_house(spark):
+    """Fixes and the disclaimer with the wording that a caller hands in."""
+    n = json.loads((Path(__file__).parent / "data" / "notices.json").read_text())
+    df = spark.createDataFrame([(1, "建议服药  ", ["medical_advice"]), (2, "千万别买平安的产品", ["denigration"]), (3, "赔1万元", ["amount_no_citation"]), (4, "一定能赔的", ["regulatory_word:一定能赔"]), (5, "好 ", [])], "id int, t string, b array<string>")
+    fixed = K.apply_fixes(F.col("t"), F.col("b"), n["medical_note"], n["amount_note"], n["neutral"])
+    got = {r.id: r.f for r in df.select("id", K.append_disclaimer(fixed, F.col("b"), F.lit("customer"), n["customer_note"]).alias("f")).collect()}
+    assert got == {1: "建议服药" + n["medical_note"], 2: n["neutral"], 3: "赔1万元" + n["amount_note"], 4: "的", 5: "好" + n["customer_note"]}
+
+
 def test_business_rules(spark):
     rates = spark.createDataFrame([(1, "健康险", 18, 25, "50万", 258.0, True), (2, "健康险", 26, 40, "50万", 358.0, True), (3, "健康险", 18, 60, "50万", 300.0, False)], "rate_id int, product_name string, min_age int, max_age int, sum_insured string, premium_yearly double, is_active boolean")
     req = spark.createDataFrame([(1, "健康", 20, None), (2, "健康", 26, "50万"), (3, "健康", 70, None)], "request_id int, product_name string, age int, sum_insured string")
