@@ -30,10 +30,16 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows and `most` bytes, as it is otherwise."""
+def fits(df: DataFrame, rows: int | None = None, most: int | None = None) -> bool:
+    """Whether df has at most `rows` rows and `most` bytes."""
+    rows, most = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if most is None else most
     n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(df).cast("long"))).first()
-    return F.broadcast(df) if n <= rows and (size or 0) <= most else df
+    return n <= rows and (size or 0) <= most
+
+
+def small(df: DataFrame, rows: int | None = None, most: int | None = None) -> DataFrame:
+    """df marked for broadcast if it fits, as it is otherwise."""
+    return F.broadcast(df) if fits(df, rows, most) else df
 
 
 def words(c: Column) -> Column:
@@ -101,13 +107,46 @@ def dense_topk(q: DataFrame, c: DataFrame, k: int, dims: tuple[int, int] | None
     """V5: query_id, id, score, rank: exact cosine top-k of every query(query_id, qv) over chunks(id, v).
 
     Norms are taken once a side; only ids and scores leave the join, and each task keeps k a
-    query before anything is shuffled.
+    query before anything is shuffled. Queries that fit are broadcast; more of them meet the
+    chunks in blocks (block_topk). Null vectors take no part; all have one dimension.
     """
     cut = (lambda col: F.slice(col, *dims)) if dims else (lambda col: F.col(col))
-    left = c.select("id", cut("v").alias("v")).withColumn("n", T.norm(F.col("v")))
-    right = q.select("query_id", cut("qv").alias("qv")).withColumn("qn", T.norm(F.col("qv")))
+    left, right = c.select("id", cut("v").alias("v")).where("v is not null"), q.select("query_id", cut("qv").alias("qv")).where("qv is not null")
+    if not fits(right):
+        return topk(block_topk(right, left, k), k)
+    left, right = left.withColumn("n", T.norm(F.col("v"))), right.withColumn("qn", T.norm(F.col("qv")))
     score = F.try_divide(T.dot(F.col("v"), F.col("qv")), F.col("n") * F.col("qn"))
-    return topk(left.crossJoin(small(right)).select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
+    return topk(left.crossJoin(F.broadcast(right)).select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
+
+
+def block_topk(q: DataFrame, c: DataFrame, k: int, rows: int = 1024) -> DataFrame:
+    """query_id, id, score: the k best of each query(query_id, qv) in every block of chunks(id, v).
+
+    Both sides are dealt into blocks of about `rows` vectors; a pair of blocks is one matrix
+    product, of which k rows a query are kept.
+    """
+    kinds = dict(q.dtypes) | dict(c.dtypes)
+
+    def blocks(df, key, vector, out):
+        n = df.count()
+        dealt = df.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // rows)))).alias("b"), F.size(vector).alias("dims"))
+        return dealt.agg(F.collect_list(F.struct(F.col(key), F.col(vector).cast("array<double>").alias(vector))).alias(out)).drop("b")
+
+    pairs = blocks(c, "id", "v", "cs").join(blocks(q, "query_id", "qv", "qs"), "dims").select("cs", "qs")
+
+    def best(batches):
+        import numpy as np
+        import pandas as pd
+
+        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) > 0, n, 1)
+        for batch in batches:
+            for cs, qs in zip(batch["cs"], batch["qs"]):
+                ids, asked = np.array([r["id"] for r in cs]), [r["query_id"] for r in qs]
+                score = unit(np.stack([r["v"] for r in cs])) @ unit(np.stack([r["qv"] for r in qs])).T
+                order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -np.round(score, 9)), axis=0)[:k]
+                yield pd.DataFrame({"query_id": [a for a in asked for _ in range(len(order))], "id": ids[order.T].ravel(), "score": np.take_along_axis(score, order, 0).T.ravel()})
+
+    return pairs.mapInPandas(best, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
 
 
 def ivf_index(c: DataFrame, nlist: int = 128, seed: int = 42, sample: float = 1.0):

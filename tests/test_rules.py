@@ -136,6 +136,17 @@ def test_ivf_recall_grows_with_probes(spark):
     assert share == sorted(share) and share[2] >= 0.8 and share[3] == 1.0
 
 
+def test_search_in_blocks_equals_broadcast(spark, monkeypatch):
+    from tessera.plans.retrieval import asked, chunks
+
+    live, q = chunks(spark, "/root/testdata/sf0.001").where(R.scalar_filter()), asked(spark, "/root/testdata/sf0.001")
+    q = q.unionByName(spark.createDataFrame([(-1, [0.0] * 64)], q.schema))
+    rows = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    want = rows(R.dense_topk(q, live, 7))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 3)
+    assert rows(R.dense_topk(q, live, 7)) == want and len(want) == 7 * q.count()
+
+
 def test_small_is_bounded_by_bytes(spark):
     df = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 1000).alias("v"))
     broadcast = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString() or "hint" in x._jdf.queryExecution().analyzed().toString().lower()
