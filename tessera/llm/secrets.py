@@ -121,12 +121,12 @@ def battery(s: Column) -> Column:
 def discoveries(tested: DataFrame, bin_: str, level: float) -> DataFrame:
     """One row, cuts: map of stratum to the lowest bin that Benjamini-Hochberg accepts at level.
 
-    The p-values are counted in bins first, so what is ordered is at most a few thousand rows
+    tested counts (n) the candidates of each stratum and bins, so what is ordered is bounded
     whatever the input; a bin's largest p-value stands for all of it.
     """
     from pyspark.sql import Window
 
-    binned = tested.groupBy("stratum", F.col(bin_).alias("bin")).agg(F.count("*").alias("n"))
+    binned = tested.groupBy("stratum", F.col(bin_).alias("bin")).agg(F.sum("n").alias("n"))
     all_of = Window.partitionBy("stratum")
     above = all_of.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = binned.select("stratum", "bin", F.sum("n").over(above).alias("rank"), F.sum("n").over(all_of).alias("m"))
@@ -156,7 +156,8 @@ def _accepted(tested: DataFrame, level: float, of: DataFrame) -> DataFrame:
     held at level / 10, and it is a secret if it is also too even for text, with false
     discoveries held at level.
     """
-    bins = tested.select(F.explode("runs").alias("r")).select("r.t.*")
+    # counted once: the texts are read a single time for both cuts
+    bins = cut(tested.select(F.explode("runs").alias("r")).select("r.t.*").groupBy("stratum", "even", "odd").agg(F.count("*").alias("n")))
     cuts = cut(discoveries(bins, "even", level).crossJoin(discoveries(bins, "odd", level / 10)))  # one row, one entry a stratum
     at = lambda cuts, x: F.coalesce(F.try_element_at(cuts, x["t"]["stratum"]), F.lit(1 << 30))
     secret = lambda x: (x["t"]["even"] >= at("even_cuts", x)) & (x["t"]["odd"] < at("odd_cuts", x)) & (x["t"]["odd"] < 1200)
