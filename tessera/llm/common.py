@@ -44,6 +44,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Bounds what a Python worker and its executor hold of long texts at once, unless the session says how many rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 def text_of() -> Column:
     """The text as a string; null is empty."""
     return F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, hnsw, packing, quality, secrets, simhash, substrings, token_counts, toxicity
+from .common import text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +17,7 @@ def tokenizer_path() -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
