@@ -47,7 +47,8 @@ def format_conversations(turns: DataFrame, template: Template = Template()) -> D
     are empty; repeated rows are turns of their own; rows without conv_id form one conversation.
     formatted is the segments' texts joined. valid: the machine ran through and ended in a
     final state; error_turn: the first position (from 0) without a move. All conversations are
-    formatted, valid or not. A conversation is one row, so its turns meet in one task.
+    formatted, valid or not. A conversation is one row, so its turns, however long, meet in one
+    task; other columns are ignored; an empty table gives an empty one.
     """
     names = _pairs(template.roles)
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))

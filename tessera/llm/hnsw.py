@@ -292,6 +292,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int =
 
     All other rows are candidates. Equal query vectors are searched once and dealt out to their
     ids afterwards. With fewer candidates than k all are returned; an empty table gives none.
+    Null, zero and non-finite vectors take no part; vectors meet those of their own dimension;
+    products beyond double precision rank last where they are no number; other columns are
+    ignored.
     """
     index = build_index(vectors, k + 1, shard_rows)
     asked = cut(usable(vectors).where(F.col("vec_id") % every == 0))

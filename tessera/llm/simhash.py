@@ -46,12 +46,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
     Words are runs of non-ASCII-space bytes with A-Z lowered; shingles repeat as they occur; a
     shorter text is one shingle, a text without words has fingerprint 0. A bit is set where
-    more than half of the shingles' XXH64 values have it. No shuffle.
+    more than half of the shingles' XXH64 values have it. Very long texts are hashed whole. No
+    shuffle; columns other than doc_id and text are ignored.
     """
     return texts(docs).select("doc_id", fingerprint_column(shingle, seed)("text").alias("fp"))
 
 
-def bk_links(shard, fp, radius: int = 3, dense: int = 256, budget: int = 4_000_000):
+def bk_links(shard, fp, radius: int = 3, dense: int = 256, budget: int = 1_000_000):
     """Spanning links of fingerprints within radius bits, among those of equal shard.
 
     shard, fp: numpy int64 and uint64, fp distinct within a shard. Returns index arrays (i, j)
@@ -193,7 +194,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, seed:
 
     Equal fingerprints are collapsed before any pair is looked at. Null and empty texts have
     fingerprint 0 and link like any other; repeated rows stay and share a component; a null
-    doc_id stays, but does not name a component unless it is alone in one.
+    doc_id stays, but does not name a component unless it is alone in one; an empty table gives
+    an empty one; columns other than doc_id and text are ignored.
     """
     prints = cut(fingerprints(docs, shingle, seed))
     labels = _labelled(prints, radius)
