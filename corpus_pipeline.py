@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, packing, queries, secrets, simhash, toxicity
-from tessera.llm.common import remove, shared_dir
+from tessera.llm.common import remove, shared_dir, text_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    text_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -33,6 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenised and packed into sequences of at most 2048 tokens; ids holds the tokens."""
+    text_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
