@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.lineage import cut
 from tessera.operators import retrieval as R
 from tessera.registry import query
 from tessera.sources.tables import read_table
@@ -117,7 +118,9 @@ RERANKED = rf"WITH {SPARSE}, w AS (SELECT query_id, id, rank, list_distinct(list
 
 def reranked(spark, d, threshold=None):
     split = F.array_distinct(R.words(F.col("text")))
-    found = sparse(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").withColumn("dw", split)
+    found = cut(sparse(spark, d))  # thirty rows a query; only their texts are split, each once
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(R.small(found.select("id").distinct()), "id", "left_semi")
+    found = found.join(docs.select("id", "text", split.alias("dw")), "id")
     found = found.join(read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), split.alias("qw")), "query_id")
     return shown(R.rerank(found, R.overlap_of(F.col("qw"), F.col("dw")), 5, threshold)).select("query_id", "id", "rank", "score")
 
