@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hnsw, packing, quality, secrets, simhash, substrings, token_counts, toxicity
+from . import chat, decontaminate, hnsw, negatives, packing, quality, secrets, sharding, simhash, substrings, token_counts, toxicity, whitening
 from .common import text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,11 +63,24 @@ def op10_chat_format(spark, sf_dir):
     return chat.chat_digest(turns.unionByName(chat.probe_turns(spark)))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark, sf_dir):
+    return sharding.shard_digest(read(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_decontamination, op3_quality, op4_nearest_neighbours, op5_repeated_substrings, op6_toxicity, op7_simhash,
-        op8_token_counts, op9_secret_scan, op10_chat_format,
+        op8_token_counts, op9_secret_scan, op10_chat_format, op11_whitening, op12_sharding, op13_hard_negatives,
     )
 }
 
@@ -90,4 +104,15 @@ f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, tex
 m AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS moves FROM f),
 c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS learned, sum(length(said))::BIGINT AS formatted_chars, bool_and(moves) AND arg_max(role, n) = 'assistant' AS valid, (min(n) FILTER (NOT moves) - 1)::INT AS error_turn FROM m GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, valid, error_turn FROM c""",
+    "op12_sharding": """WITH byte AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS crc FROM (SELECT unnest(range(256)) AS n)),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, (octet_length(encode(t)) + 1)::BIGINT AS size, ('0x' || substr(md5(t), 1, 15))::BIGINT AS h, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1])), 4294967295) AS text_crc32 FROM d, byte),
+o AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before, row_number() OVER (ORDER BY h, doc_id) - 1 AS i, sum(size) OVER () AS total FROM k),
+s AS (SELECT doc_id, size, text_crc32, i, least(7, 8 * (2 * before + size) // (2 * total))::INT AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, i - min(i) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM s""",
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.x::DOUBLE[], b.x::DOUBLE[])::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
