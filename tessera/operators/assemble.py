@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import rules
 from tessera.functions import text as T
-from tessera.functions.ordered import in_order
+from tessera.functions.lineage import cut
 
 TRANSIENT = r"timeout|connection|timed out|too many requests|rate limit|service unavailable|try again"
 
@@ -55,33 +55,118 @@ def error_type(error: Column) -> Column:
     return F.when(error.isNull(), F.lit(None).cast("string")).when(F.lower(error).rlike(TRANSIENT), "transient").otherwise("permanent")
 
 
-def resolve_calls(calls: DataFrame, rounds: int = 3) -> DataFrame:
-    """(run_id, idx, depends_on array<int>, error, ok_from int) -> status, error_type, tries.
+def resolve_calls(calls: DataFrame, rounds: int = 3, budget: int | None = None) -> DataFrame:
+    """(run_id, idx, depends_on array<int>, error, ok_from int) -> run_id, idx, status, error_type, tries, round, cycle.
 
-    A call succeeds at try ok_from (null: never), a failing one is tried again only if its
-    error is transient, `rounds` times at most; a call whose dependency failed or was skipped
-    is skipped. A run's calls are read in order, with those that did not succeed remembered.
+    A run's calls are a graph over depends_on, whatever the order of their indices; a dependency
+    that is not an index of the run does not bind. A call is first tried in the round in which
+    all its dependencies are done: in one round calls go by index, so a later one sees an
+    earlier one's success at once and an earlier one sees a later one's in the next round. It
+    succeeds at try ok_from (null: never); a failing call is tried again, once a round, only if
+    its error is transient, `rounds` times at most. With a budget the run has only so many
+    rounds in all. status is done, failed, skipped (a dependency failed or was skipped) or
+    waiting (its turn never came: the budget ran out, or it depends on itself or on a call that
+    waits). round is the one in which a call settled, null where it never did; cycle the
+    smallest index of the circle a call is part of, null outside.
+
+    Solved from the calls without open dependencies onwards: each step joins what has just
+    settled with the edges that wait for it, so steps number as the longest chain and a run of
+    any size is spread over all tasks. Runs and indices are unique; repeated dependencies count once.
     """
     kind = error_type(F.col("error"))
-    fails = F.col("ok_from").isNull() | (F.col("ok_from") > F.when(kind == "transient", rounds).otherwise(1))
-    ready = calls.select("run_id", F.col("idx").cast("int").alias("idx"), "depends_on", fails.alias("fails"), F.coalesce(kind, F.lit("")).alias("kind"), F.coalesce("ok_from", F.lit(rounds + 1)).alias("ok_from"))
-
-    def resolve():
-        undone = set()
-
-        def one(idx, depends_on, fails, kind, ok_from):
-            if any(d in undone for d in (depends_on if depends_on is not None else ())):
-                undone.add(idx)
-                return idx, "skipped", "permanent", 0
-            tries = min(ok_from, rounds) if kind == "transient" else 1
-            if not fails:
-                return idx, "done", None, int(tries)
-            undone.add(idx)
-            return idx, "failed", kind or "permanent", int(tries)
-
-        return one
-
-    return in_order(ready, ("run_id",), ("idx", "depends_on", "fails", "kind", "ok_from"), resolve, "idx int, status string, error_type string, tries int")
+    transient = F.coalesce(kind, F.lit("")) == "transient"
+    most = F.when(transient, rounds).otherwise(1)
+    own = calls.select("run_id", F.col("idx").cast("int").alias("idx"), F.array_distinct(F.coalesce("depends_on", F.array().cast("array<int>"))).alias("deps"), kind.alias("kind"), most.alias("most"), F.coalesce("ok_from", F.lit(2**31 - 1)).alias("ok_from"))
+    own = cut(own)
+    edges = own.select("run_id", "idx", F.explode("deps").alias("dep"))
+    edges = cut(edges.join(own.select("run_id", F.col("idx").alias("dep")), ["run_id", "dep"], "left_semi"))
+    need = edges.groupBy("run_id", "idx").agg(F.count("*").cast("int").alias("need"))
+    state = own.drop("deps").join(need, ["run_id", "idx"], "left").select("run_id", "idx", "kind", "most", "ok_from", F.coalesce("need", F.lit(0)).alias("need"), F.lit(False).alias("bad"), F.lit(False).alias("late"), F.lit(1).alias("start"))
+
+    def settle(x: DataFrame) -> DataFrame:
+        room = F.col("most") if budget is None else F.least("most", budget - F.col("start") + 1)
+        late = F.col("late") | (room < 1)
+        ok = F.col("ok_from") <= room
+        tries = F.when(F.col("bad") | late, 0).when(ok, F.col("ok_from")).otherwise(room)
+        status = F.when(F.col("bad"), "skipped").when(late, "waiting").when(ok, "done").otherwise("failed")
+        error = F.when(F.col("bad"), "permanent").when(~late & ~ok, F.coalesce("kind", F.lit("permanent")))
+        at = F.when(F.col("bad") | ~late, F.greatest(F.col("start"), F.col("start") + tries - 1))
+        return x.select("run_id", "idx", status.alias("status"), error.alias("error_type"), tries.cast("int").alias("tries"), at.cast("int").alias("round"))
+
+    settled, steps = None, 0
+    while True:
+        ready = F.col("bad") | (F.col("need") == 0)
+        state = cut(state)
+        frontier = settle(state.where(ready))
+        if frontier.isEmpty():
+            break
+        settled = frontier if settled is None else settled.unionByName(frontier)
+        steps += 1
+        settled = cut(settled) if steps % 16 == 0 else settled
+        seen = edges.join(frontier.select("run_id", F.col("idx").alias("dep"), "status", "round"), ["run_id", "dep"])
+        met = seen.groupBy("run_id", "idx").agg(
+            F.count("*").cast("int").alias("n"), F.max(F.col("status").isin("failed", "skipped")).alias("b"), F.max(F.col("status") == "waiting").alias("l"),
+            F.max(F.col("round") + (F.col("dep") > F.col("idx")).cast("int")).alias("s"),
+        )
+        joined = state.where(~ready).join(met, ["run_id", "idx"], "left")
+        state = joined.select(
+            "run_id", "idx", "kind", "most", "ok_from", (F.col("need") - F.coalesce("n", F.lit(0))).alias("need"), (F.col("bad") | F.coalesce("b", F.lit(False))).alias("bad"),
+            (F.col("late") | F.coalesce("l", F.lit(False))).alias("late"), F.greatest("start", "s").alias("start"),
+        )
+    stuck = state.select("run_id", "idx")
+    circle = cycles(edges.join(stuck, ["run_id", "idx"], "left_semi").join(stuck.withColumnRenamed("idx", "dep"), ["run_id", "dep"], "left_semi"))
+    waits = stuck.select("run_id", "idx", F.lit("waiting").alias("status"), F.lit(None).cast("string").alias("error_type"), F.lit(0).alias("tries"), F.lit(None).cast("int").alias("round"))
+    out = waits if settled is None else settled.unionByName(waits)
+    return out.join(circle, ["run_id", "idx"], "left")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(run_id, idx, dep) -> run_id, idx, cycle: calls that reach themselves, named by the smallest of those they reach and are reached by.
+
+    Every call takes the smallest index that reaches it; those that reach back to the one whose
+    name they have are its circle and leave, and the rest goes on. Each step moves one number
+    a call.
+    """
+    out = None
+    edges = cut(edges.select("run_id", "idx", "dep").distinct())
+    while not edges.isEmpty():
+        # without an edge in or without an edge out, a call is in no circle
+        while True:
+            inner = edges.join(edges.select("run_id", F.col("dep").alias("idx")).distinct(), ["run_id", "idx"], "left_semi")
+            inner = inner.join(edges.select("run_id", F.col("idx").alias("dep")).distinct(), ["run_id", "dep"], "left_semi")
+            n, inner = edges.count(), cut(inner)
+            edges, gone = inner, n - inner.count()
+            if not gone:
+                break
+        if edges.isEmpty():
+            break
+        names = edges.select("run_id", "idx").distinct().withColumn("name", F.col("idx"))
+        names = _spread(names, edges.select("run_id", F.col("idx").alias("from"), F.col("dep").alias("to")))
+        inside = edges.join(names, ["run_id", "idx"]).join(names.select("run_id", F.col("idx").alias("dep"), F.col("name").alias("other")), ["run_id", "dep"]).where("name = other")
+        inside = cut(inside.select("run_id", "idx", "dep", "name"))
+        back = inside.where("idx = name").select("run_id", "idx", "name").distinct()
+        while True:
+            grown = inside.join(back.select("run_id", F.col("idx").alias("dep"), "name"), ["run_id", "dep", "name"]).select("run_id", "idx", "name").unionByName(back).distinct()
+            grown = cut(grown)
+            if grown.count() == back.count():
+                break
+            back = grown
+        found = back.select("run_id", "idx", F.col("name").alias("cycle"))
+        out = found if out is None else out.unionByName(found)
+        left = edges.join(found.select("run_id", "idx"), ["run_id", "idx"], "left_anti")
+        edges = cut(left.join(found.select("run_id", F.col("idx").alias("dep")), ["run_id", "dep"], "left_anti"))
+    return edges.select("run_id", "idx", F.col("idx").alias("cycle")) if out is None else out
+
+
+def _spread(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each node's name becomes the smallest name that reaches it over edges(run_id, from, to)."""
+    while True:
+        sent = edges.join(names.withColumnRenamed("idx", "from"), ["run_id", "from"]).select("run_id", F.col("to").alias("idx"), "name")
+        after = cut(names.unionByName(sent).groupBy("run_id", "idx").agg(F.min("name").alias("name")))
+        total = lambda x: x.agg(F.sum("name")).first()[0]
+        if total(after) == total(names):
+            return after
+        names = after
 
 
 def confidence(reasoning: Column, any_success: Column) -> Column:

@@ -215,17 +215,25 @@ def product_attr(req: DataFrame, edges: DataFrame, type_: str, has: str = "has_c
     return req.join(p, "product").join(v, "clause").select("request_id", "product", "value").distinct()
 
 
-def complex_query(req: DataFrame, edges: DataFrame, waiting_of: DataFrame, deductible_of: DataFrame | None = None) -> DataFrame:
+def complex_query(req: DataFrame, edges: DataFrame, waiting_of: DataFrame, deductible_of: DataFrame | None = None, belongs: str | None = "belongs_to") -> DataFrame:
     """(request_id, disease, insurer, max_waiting[, max_deductible]) -> request_id, product.
 
-    Null constraints do not bind. A product without waiting periods passes, one with any within
-    the limit too. Deductibles are looked at only when their table is given.
+    Null constraints do not bind: a product without insurer is found unless one is asked for, and
+    without disease all products that have an insurer or a clause are. A disease that no product
+    covers takes those of the other diseases in its category (belongs: the edges to it, None: no
+    such fallback). A product without waiting periods passes, one with any within the limit too.
+    Deductibles are looked at only when their table is given.
     """
-    products = typed(edges, "issues").select(F.col("src").alias("issuer"), F.col("dst").alias("product")).distinct()
-    covers = disease_products(req.where("disease is not null").select("request_id", "disease"), edges)
-    ill = req.where("disease is not null").select("request_id", "insurer").join(covers, "request_id").join(products, "product")
-    any_ = products.join(small(req.where("disease is null").select("request_id", "insurer")), F.col("insurer").isNull() | (F.col("issuer") == F.col("insurer")))
-    x = ill.where(F.col("insurer").isNull() | (F.col("issuer") == F.col("insurer"))).select("request_id", "product").unionByName(any_.select("request_id", "product")).distinct()
+    issued = typed(edges, "issues").select(F.col("src").alias("insurer"), F.col("dst").alias("product")).distinct()
+    ills = req.where("disease is not null").select("request_id", "disease")
+    covers = disease_products(ills, edges) if belongs is None else category_products(ills, edges, belongs=belongs).select("request_id", "product")
+    every = issued.select("product").unionByName(typed(edges, "has_clause").select(F.col("src").alias("product"))).distinct()
+    free = covers.join(req.where("insurer is null").select("request_id"), "request_id")
+    all_ = every.crossJoin(small(req.where("disease is null and insurer is null").select("request_id"))).select("request_id", "product")  # each such request asks for every product
+    asked = req.where("insurer is not null").select("request_id", "insurer")
+    bound = covers.join(asked, "request_id").join(issued, ["product", "insurer"]).select("request_id", "product")
+    own = req.where("disease is null and insurer is not null").select("request_id", "insurer").join(issued, "insurer").select("request_id", "product")
+    x = free.unionByName(all_).unionByName(bound).unionByName(own).distinct()
     for limits, column in ((waiting_of, "max_waiting"), (deductible_of, "max_deductible")):
         if limits is not None:
             least = limits.groupBy("product").agg(F.min("value").alias("least"))

@@ -222,6 +222,27 @@ def a6_resolve_calls(spark, d):
     return A.resolve_calls(x).select("run_id", "idx", "status", "tries")
 
 
+@query("""WITH RECURSIVE c AS (SELECT event_id // 8 AS run_id, (event_id % 8)::INT AS idx, (event_id // 8) % 6 AS shape, event_type = 'error' AS transient, CASE event_type WHEN 'error' THEN 1 + event_id % 4 WHEN 'view' THEN 9 ELSE 1 END AS ok_from FROM events),
+k AS (SELECT *, CASE shape WHEN 0 THEN [idx + 1] WHEN 1 THEN [idx - 1, idx - 1] WHEN 2 THEN CASE WHEN idx < 3 THEN [(idx + 1) % 3] WHEN idx < 5 THEN [2] WHEN idx = 5 THEN [6] WHEN idx = 6 THEN [5, 40] ELSE [-1] END WHEN 3 THEN [40, -1] WHEN 4 THEN [7 - idx] ELSE CASE WHEN idx % 2 = 0 THEN [idx + 1] ELSE [idx - 3] END END AS deps FROM c),
+own AS (SELECT run_id, idx FROM k),
+g AS (SELECT run_id, list({'idx': idx, 'transient': transient, 'most': CASE WHEN transient THEN 3 ELSE 1 END, 'ok_from': ok_from, 'deps': deps} ORDER BY idx) AS calls FROM k GROUP BY run_id),
+b AS (SELECT run_id, list_transform(calls, lambda x: {'idx': x.idx, 'transient': x.transient, 'most': x.most, 'ok_from': x.ok_from, 'deps': list_filter(list_distinct(x.deps), lambda i: len(list_filter(calls, lambda y: y.idx = i)) > 0)}) AS calls FROM g),
+r AS (SELECT run_id, 0 AS n, calls, list_transform(calls, lambda x: {'idx': x.idx, 'status': 'open', 'tries': 0, 'at': NULL::INT}) AS s FROM b
+UNION ALL SELECT run_id, n + 1, calls, list_transform(calls, lambda x: list_transform([{'bad': len(list_filter(s, lambda y: list_contains(x.deps, y.idx) AND y.status IN ('failed', 'skipped'))) > 0, 'open': len(list_filter(s, lambda y: list_contains(x.deps, y.idx) AND y.status = 'open')) > 0, 'late': len(list_filter(s, lambda y: list_contains(x.deps, y.idx) AND y.status = 'waiting')) > 0, 'start': coalesce(list_max(list_transform(list_filter(s, lambda y: list_contains(x.deps, y.idx) AND y.status = 'done'), lambda y: y.at + (y.idx > x.idx)::INT)), 1)}], lambda z: CASE WHEN z.bad THEN {'idx': x.idx, 'status': 'skipped', 'tries': 0, 'at': NULL::INT} WHEN z.open THEN {'idx': x.idx, 'status': 'open', 'tries': 0, 'at': NULL::INT} WHEN z.late OR z.start > 3 THEN {'idx': x.idx, 'status': 'waiting', 'tries': 0, 'at': NULL::INT} WHEN x.ok_from <= least(x.most, 4 - z.start) THEN {'idx': x.idx, 'status': 'done', 'tries': x.ok_from::INT, 'at': (z.start + x.ok_from - 1)::INT} ELSE {'idx': x.idx, 'status': 'failed', 'tries': least(x.most, 4 - z.start)::INT, 'at': NULL::INT} END)[1]) FROM r WHERE n < 9),
+reach(run_id, a, z) AS (SELECT run_id, x.idx, unnest(x.deps) FROM (SELECT run_id, unnest(calls) AS x FROM b) UNION SELECT reach.run_id, a, unnest(x.deps) FROM reach JOIN (SELECT run_id, unnest(calls) AS x FROM b) q ON q.run_id = reach.run_id AND q.x.idx = z),
+circle AS (SELECT run_id, a AS idx, min(z) AS cycle FROM reach WHERE (run_id, a, a) IN (SELECT run_id, a, z FROM reach) AND (run_id, z, a) IN (SELECT run_id, a, z FROM reach) GROUP BY ALL)
+SELECT f.run_id, o.idx AS idx, CASE o.status WHEN 'open' THEN 'waiting' ELSE o.status END AS status, o.tries AS tries, cycle FROM (SELECT run_id, unnest(s) AS o FROM r WHERE n = 9) f LEFT JOIN circle ON circle.run_id = f.run_id AND circle.idx = o.idx""")
+def a6_resolve_graph(spark, d):
+    """Runs of eight calls that depend forwards, backwards, crosswise, in circles, on themselves and on calls that do not exist; three rounds a run."""
+    e = read_table(spark, d, "events")
+    i, shape, kind = (F.col("event_id") % 8).cast("int"), F.expr("event_id div 8") % 6, F.col("event_type")
+    circle = F.when(i < 3, F.array((i + 1) % 3)).when(i < 5, F.array(F.lit(2))).when(i == 5, F.array(F.lit(6))).when(i == 6, F.array(F.lit(5), F.lit(40))).otherwise(F.array(F.lit(-1)))
+    deps = F.when(shape == 0, F.array(i + 1)).when(shape == 1, F.array(i - 1, i - 1)).when(shape == 2, circle).when(shape == 3, F.array(F.lit(40), F.lit(-1))).when(shape == 4, F.array(7 - i)).otherwise(F.when(i % 2 == 0, F.array(i + 1)).otherwise(F.array(i - 3)))
+    ok = F.when(kind == "error", 1 + F.col("event_id") % 4).when(kind == "view", F.lit(None)).otherwise(1).cast("int")
+    x = e.select(F.expr("event_id div 8").alias("run_id"), i.alias("idx"), deps.alias("depends_on"), F.when(kind == "error", "Request timed out").when(kind == "view", "bad argument").alias("error"), ok.alias("ok_from"))
+    return A.resolve_calls(x, budget=3).select("run_id", "idx", "status", "tries", "cycle")
+
+
 @query("SELECT event_id, coalesce(try_cast(nullif(regexp_extract(s, 'confidence=([0-9.]+)', 1), '') AS DOUBLE), CASE WHEN event_type <> 'error' THEN 0.8 ELSE 0.5 END) AS confidence FROM (SELECT event_id, event_type, CASE WHEN value > 50 THEN 'confidence=0.' || (event_id % 10) ELSE 'none' END AS s FROM events)")
 def a7_confidence(spark, d):
     s = F.when(F.col("value") > 50, F.concat(F.lit("confidence=0."), F.col("event_id") % 10)).otherwise("none")

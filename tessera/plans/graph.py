@@ -208,7 +208,28 @@ def k18_complex_query(spark, d):
     waits = s.where("s_suppkey % 4 <> 0").select(key("s", "s_suppkey").alias("product"), (F.col("s_suppkey") % 40).alias("value"))
     z = F.col("p_size")
     r = read_table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), key("p", "p_partkey").alias("disease"), F.when(z % 2 == 0, F.concat(F.lit("n"), z % 25)).alias("insurer"), F.when(z % 3 == 0, 20).alias("max_waiting"))
-    return G.complex_query(r, part_edges(spark, d).unionByName(issues), waits)
+    return G.complex_query(r, part_edges(spark, d).unionByName(issues), waits, belongs=None)
+
+
+@query(f"""WITH {P_SQL}, pr AS (SELECT 's' || s_suppkey AS product, CASE WHEN s_suppkey % 3 <> 0 THEN 'n' || s_nationkey END AS issuer FROM supplier), w AS (SELECT 's' || s_suppkey AS product, s_suppkey % 40 AS value FROM supplier WHERE s_suppkey % 4 <> 0),
+r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 < 2 THEN 'p' || (1 + c_custkey % 150) END AS disease, CASE WHEN c_custkey % 3 = 2 OR c_custkey % 5 = 0 THEN 'n' || c_nationkey END AS insurer, CASE WHEN c_custkey % 7 < 3 THEN 20 END AS max_waiting FROM customer),
+cov AS (SELECT * FROM pe WHERE rel = 'covers' AND substr(disease, 2)::INT % 3 <> 0),
+own AS (SELECT DISTINCT request_id, product FROM r JOIN cov USING (disease)),
+kin AS (SELECT DISTINCT r.request_id, product FROM r JOIN pb a ON a.disease = r.disease JOIN pb b USING (category) JOIN cov ON cov.disease = b.disease WHERE r.request_id NOT IN (SELECT request_id FROM own)),
+f AS (SELECT * FROM own UNION ALL SELECT * FROM kin UNION ALL SELECT request_id, product FROM r, pr WHERE disease IS NULL)
+SELECT DISTINCT request_id, product FROM f JOIN r USING (request_id) JOIN pr USING (product) LEFT JOIN w USING (product) WHERE (insurer IS NULL OR insurer = issuer) AND (max_waiting IS NULL OR value IS NULL OR value <= max_waiting)""")
+def k18_complex_query_fallback(spark, d):
+    """A third of the products has no insurer, a third of the diseases no product of its own, requests may name an insurer only."""
+    s, c = read_table(spark, d, "supplier"), read_table(spark, d, "customer")
+    issues = s.where("s_suppkey % 3 <> 0").select(*G.edge(key("n", "s_nationkey"), key("s", "s_suppkey"), "issues"))
+    known = part_edges(spark, d).where((F.col("type") != "covers") | (F.substring("dst", 2, 20).cast("int") % 3 != 0))
+    waits = s.where("s_suppkey % 4 <> 0").select(key("s", "s_suppkey").alias("product"), (F.col("s_suppkey") % 40).alias("value"))
+    k = F.col("c_custkey")
+    r = c.select(
+        k.alias("request_id"), F.when(k % 3 < 2, F.concat(F.lit("p"), 1 + k % 150)).alias("disease"),
+        F.when((k % 3 == 2) | (k % 5 == 0), key("n", "c_nationkey")).alias("insurer"), F.when(k % 7 < 3, 20).alias("max_waiting"),
+    )
+    return G.complex_query(r, known.unionByName(issues), waits)
 
 
 @query(f"WITH {E_SQL}, g AS (SELECT id, count(*) AS deg FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), c AS (SELECT s_nationkey AS mention_id, 's' || s_suppkey AS id, 'n' || (s_suppkey % 25) AS insurer, s_nationkey FROM supplier), x AS (SELECT mention_id, c.id, round(0.3 * least(coalesce(deg, 0) / 10.0, 1.0) + 0.5 * (insurer = 'n' || s_nationkey)::INT, 3) AS score FROM c LEFT JOIN g USING (id)) SELECT mention_id, id, score::DOUBLE AS score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, id) AS rank FROM x")
