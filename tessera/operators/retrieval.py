@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import rules
+from tessera.functions import lineage
 from tessera.functions import text as T
 
 #: Rows and bytes up to which a table of queries or dictionary entries is broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
+#: Queries up to which exact search multiplies vectors in the JVM; more go through matrix products.
+FEW_QUERIES = 1_000
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -46,23 +49,52 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def runs(sorted_: Column, name) -> Column:
+    """array<struct<from, to>> of the stretches of a sorted array whose elements have one name; to is exclusive."""
+
+    def cut_up(a):
+        at = F.filter(F.sequence(F.lit(0), F.size(a)), lambda i: (i == 0) | (i == F.size(a)) | (name(F.get(a, i)) != name(F.get(a, i - 1))))
+        return T.once(at, lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda i, n: F.struct(i.alias("from"), F.get(e, n + 1).alias("to"))))
+
+    return T.once(sorted_, lambda a: F.when(F.size(a) > 0, cut_up(a)).otherwise(F.array().cast("array<struct<from:int,to:int>>")))
+
+
+def word_counts(text: Column) -> Column:
+    """array<struct<term, weight>> of a text's distinct words and how often each occurs; empty for null. Counted in the row, by sorting."""
+
+    def counted(w):
+        return F.transform(runs(w, lambda x: x), lambda r: F.struct(F.get(w, r["from"]).alias("term"), (r["to"] - r["from"]).cast("double").alias("weight")))
+
+    return T.once(F.sort_array(F.coalesce(words(text), F.array().cast("array<string>"))), counted)
+
+
 def encode(df: DataFrame, key: str, text: str = "text", encoder=None, schema: str | None = None, dims: int = 64) -> DataFrame:
-    """V1: adds sparse (term -> share of the words) and dense (dims hashed term shares) to rows of distinct key.
+    """V1: adds sparse (term -> share of the words) and dense (dims hashed term shares) to each row.
 
     A model is a mapInPandas function with its output schema and replaces the default whole.
-    The default counts words through a shuffle of (key, term) counts that are partial first.
+    The default works in the row alone: nothing is shuffled or joined, and keys may repeat.
     """
     if encoder is not None:
         return df.mapInPandas(encoder, schema)
-    posts = postings(df.select(key, text), key, text).repartition(key)  # one shuffle serves both steps that follow
-    slotted = posts.groupBy(key, F.pmod(F.crc32("term"), F.lit(dims)).cast("int").alias("slot")).agg(F.collect_list(F.struct("term", "weight")).alias("p"), F.sum("weight").alias("w"))
-    terms = slotted.groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"), F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("slots"), F.sum("w").alias("n"))
-    share = lambda x: F.struct(x["term"], x["weight"] / F.col("n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("slots", i), F.lit(0.0)) / F.col("n"))
-    made = terms.select(key, F.map_from_entries(F.transform("p", share)).alias("sparse"), dense.alias("dense"))
-    none = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.lit(0.0))
-    out = df.join(made, key, "left")
-    return out.withColumns({"sparse": F.coalesce("sparse", F.create_map().cast("map<string,double>")), "dense": F.coalesce("dense", none)})
+    slot = lambda c: F.pmod(F.crc32(c["term"]), F.lit(dims)).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, e: t + e["weight"])
+
+    def by_slot(a):
+        part = lambda r: total(F.slice(a, r["from"] + 1, r["to"] - r["from"]))
+        return F.map_from_entries(F.transform(runs(a, lambda e: e["slot"]), lambda r: F.struct(F.get(a, r["from"])["slot"], part(r))))
+
+    def coded(c, n):
+        slots = T.once(F.sort_array(F.transform(c, lambda e: F.struct(slot(e).alias("slot"), e["weight"].alias("weight")))), by_slot)
+        share = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at(m, i), n), F.lit(0.0)))
+        sparse = F.map_from_entries(F.transform(c, lambda e: F.struct(e["term"], e["weight"] / n)))
+        return F.struct(sparse.alias("sparse"), T.once(slots, share).alias("dense"))
+
+    # bound step by step: a column named in a lambda would be worked out again for each element
+    both = "__coded"
+    while both in df.columns:
+        both += "_"
+    x = df.withColumn(both, T.once(word_counts(F.col(text)), lambda c: T.once(total(c), lambda n: coded(c, n))))
+    return x.withColumns({"sparse": F.col(both)["sparse"], "dense": F.col(both)["dense"]}).drop(both)
 
 
 def l2_normalize(c: Column) -> Column:
@@ -106,17 +138,18 @@ def topk(scored: DataFrame, k: int, by=("query_id",)) -> DataFrame:
 def dense_topk(q: DataFrame, c: DataFrame, k: int, dims: tuple[int, int] | None = None) -> DataFrame:
     """V5: query_id, id, score, rank: exact cosine top-k of every query(query_id, qv) over chunks(id, v).
 
-    Norms are taken once a side; only ids and scores leave the join, and each task keeps k a
-    query before anything is shuffled. Queries that fit are broadcast; more of them meet the
-    chunks in blocks (block_topk). Null vectors take no part; all have one dimension.
+    A query meets the vectors of its own dimension; null vectors take no part, zero ones score
+    0. Only ids and scores leave the join, and each task keeps k a query before anything is
+    shuffled. Up to FEW_QUERIES are broadcast; more meet the chunks in blocks (block_topk).
     """
     cut = (lambda col: F.slice(col, *dims)) if dims else (lambda col: F.col(col))
     left, right = c.select("id", cut("v").alias("v")).where("v is not null"), q.select("query_id", cut("qv").alias("qv")).where("qv is not null")
-    if not fits(right):
+    if not fits(right, FEW_QUERIES):
         return topk(block_topk(right, left, k), k)
     left, right = left.withColumn("n", T.norm(F.col("v"))), right.withColumn("qn", T.norm(F.col("qv")))
     score = F.try_divide(T.dot(F.col("v"), F.col("qv")), F.col("n") * F.col("qn"))
-    return topk(left.crossJoin(F.broadcast(right)).select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
+    met = left.join(F.broadcast(right), F.size("v") == F.size("qv"))
+    return topk(met.select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
 
 
 def block_topk(q: DataFrame, c: DataFrame, k: int, rows: int = 1024) -> DataFrame:
@@ -162,21 +195,21 @@ def ivf_index(c: DataFrame, nlist: int = 128, seed: int = 42, sample: float = 1.
 
 
 def ivf_topk(q: DataFrame, index, k: int, nprobe: int = 16) -> DataFrame:
-    """V6: each query searches its nprobe nearest cells."""
+    """V6: each query searches its nprobe nearest cells. Where the chunks are partitioned by cell, only the probed cells' files are read."""
     cells, chunks = index
     near = dense_topk(q, cells.select(F.col("cell").alias("id"), F.col("centre").alias("v")), nprobe)
-    probes = near.select("query_id", F.col("id").alias("cell")).join(q.select("query_id", "qv"), "query_id")
-    met = chunks.join(probes, "cell")
+    probes = lineage.cut(near.select("query_id", F.col("id").alias("cell")).join(q.select("query_id", "qv"), "query_id"))
+    met = chunks.join(small(probes).where("cell >= 0"), "cell").where(F.size("v") == F.size("qv"))  # the filter lets Spark prune the chunks' partitions by the probes
     score = F.try_divide(T.dot(F.col("v"), F.col("qv")), T.norm(F.col("v")) * T.norm(F.col("qv")))
     return topk(met.select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
 
 
 def postings(df: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """key, term, weight: how often each word occurs; only: a table of terms, the others of which are dropped before they are counted."""
-    said = df.select(key, F.explode(words(F.col(text))).alias("term"))
+    """key, term, weight: how often each word occurs, rows of one key together; only: a table of terms, the others of which are dropped before the counts are shuffled."""
+    said = df.select(key, F.explode(word_counts(F.col(text))).alias("c")).select(key, "c.term", "c.weight")
     if only is not None:
         said = said.join(small(only.select("term").distinct()), "term", "left_semi")
-    return said.groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
+    return said.groupBy(key, "term").agg(F.sum("weight").alias("weight"))
 
 
 def sparse_topk(qterms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
@@ -207,13 +240,8 @@ def with_parent(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return hits.join(wanted, "parent", "left")
 
 
-def overlap_score(q: Column, c: Column) -> Column:
-    """The default pair scorer: shared distinct words over all distinct words."""
-    return overlap_of(F.array_distinct(words(q)), F.array_distinct(words(c)))
-
-
 def overlap_of(a: Column, b: Column) -> Column:
-    """overlap_score of word sets that are already split, so a text in many pairs is split once."""
+    """The default pair scorer: shared distinct words over all distinct words, of word sets that are already split, so a text in many pairs is split once."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, scratch
+from tessera.operators import index as X
 from tessera.operators import retrieval as R
 from tessera.registry import query
 from tessera.sources.tables import read_table
@@ -85,6 +86,20 @@ def v6_ivf_topk(spark, d):
     return shown(R.ivf_topk(asked(spark, d), R.ivf_index(live, 16), 10, 8))
 
 
+def stored(spark, d):
+    """Half the chunks fit the cells, the other half comes later into the same cells."""
+    path, c = scratch(spark, "ivf"), chunks(spark, d)
+    X.write_ivf(c.where("id % 2 = 0"), path, 16)
+    X.add_to_ivf(c.where("id % 2 = 1"), path, "second")
+    return X.read_ivf(spark, path)
+
+
+@query(f"WITH {C}, {best('a', 10, 'is_valid')} SELECT query_id, id, rank, round(score, 6) AS score FROM a")
+def v6_ivf_stored(spark, d):
+    """With every cell probed the stored index answers as exact search does."""
+    return shown(X.ivf_search(stored(spark, d), nprobe=16)(asked(spark, d), None, 10))
+
+
 WORDS = r"unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term"
 SPARSE = f"p AS (SELECT id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id AS id, {WORDS} FROM documents) GROUP BY ALL), qt AS (SELECT query_id, term, count(*)::DOUBLE AS w FROM (SELECT item_id AS query_id, {WORDS} FROM benchmark) GROUP BY ALL), s AS (SELECT query_id, id, score, rank FROM (SELECT query_id, id, sum(p.w * qt.w) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(p.w * qt.w) DESC, id) AS rank FROM p JOIN qt USING (term) GROUP BY query_id, id) WHERE rank <= 30)"
 
@@ -99,6 +114,15 @@ def v7_sparse_topk(spark, d):
     return sparse(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {SPARSE} SELECT * FROM s")
+def v7_block_max(spark, d):
+    """The same lists out of stored blocks of postings, of which only those are read that can matter."""
+    path = scratch(spark, "postings")
+    X.write_postings(read_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), path)
+    q = R.postings(read_table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
+    return X.blockmax_topk(q, X.read_postings(spark, path), 30).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"{LIVE} SELECT query_id, id, rank, round(score, 6) AS score FROM f")
 def v8_rank_fusion(spark, d):
     live = chunks(spark, d).where(R.scalar_filter())
@@ -162,6 +186,13 @@ def v15_retrieve(spark, d):
     return shown(hits(spark, d)).select("query_id", "id", "rank", "score", "product_name", "clause_type", F.md5("parent_text").alias("parent_md5"))
 
 
+@query(f"{HITS} SELECT query_id, id, rank, round(score, 6) AS score, product_name, clause_type, md5(text) AS parent_md5 FROM h")
+def v15_stored_retrieve(spark, d):
+    """The chain over the stored index; all cells probed, so that exact SQL is its twin."""
+    found = R.retrieve(asked(spark, d), chunks(spark, d), parents(spark, d), first=X.ivf_search(stored(spark, d), nprobe=16))
+    return shown(found).select("query_id", "id", "rank", "score", "product_name", "clause_type", F.md5("parent_text").alias("parent_md5"))
+
+
 CHUNK_TEXT = "t AS (SELECT vec_id AS id, coalesce(substr(text, 1 + (vec_id % 4) * 200, 200), '') AS text FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 4)"
 HYBRID = rf"""WITH {C}, {CHUNK_TEXT}, w AS (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM t), p AS (SELECT id, term, count(*)::DOUBLE AS w FROM w GROUP BY ALL), {best('a', 30, 'is_valid')},
 b AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT q.query_id, p.id, sum(p.w * o.w) AS s FROM q JOIN p o ON o.id = q.query_id JOIN p ON p.term = o.term JOIN c ON c.id = p.id AND c.is_valid GROUP BY ALL)) WHERE rank <= 30), {FUSED},
