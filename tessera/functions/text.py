@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera import rules
 
 WHITE = " \t\n\r"
+#: Parts that a packing fold takes between two moves of what it has done.
+STRETCH = 256
 
 
 def once(value: Column, use) -> Column:
@@ -95,36 +97,50 @@ def pack(parts: Column, size: int = 512, overlap: int = 64) -> Column:
         grown = F.struct(acc["done"].alias("done"), F.concat(acc["buffer"], F.array(s)).alias("buffer"), (acc["held"] + F.length(s)).alias("held"))
         return F.when(full, closed()).otherwise(grown)
 
+    # what is done is carried past a stretch of parts at a time, else each step would move it all
+    def stretch(acc, some):
+        carried = F.struct(empty.alias("done"), acc["buffer"].alias("buffer"), acc["held"].alias("held"))
+        return once(F.aggregate(some, carried, step), lambda r: F.struct(F.concat(acc["done"], r["done"]).alias("done"), r["buffer"].alias("buffer"), r["held"].alias("held")))
+
     finish = lambda acc: F.when(F.size(acc["buffer"]) > 0, F.concat(acc["done"], F.array(join(acc["buffer"])))).otherwise(acc["done"])
-    return F.aggregate(parts, start, step, finish)
+    stretches = lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / STRETCH).cast("int")), lambda i: F.slice(p, i * STRETCH + 1, F.lit(STRETCH)))
+    return F.aggregate(once(parts, stretches), start, stretch, finish)
+
+
+MARK, ESCAPE = "\x01", "\x02"
 
 
 def sections(c: Column, patterns=rules.SECTION_PATTERNS, preface: str = "前言") -> Column:
     """array<struct<pos, title, body>> of a text's sections.
 
     A line that begins like a header opens a section only when more than three lines have
-    gathered; a title seen again overwrites the body in its first place.
+    gathered; a title seen again overwrites the body in its first place. Lines that could open
+    one are marked, and one pattern then cuts the text: a marked line, four lines of any kind,
+    and what follows up to the next mark. So time grows with the text, however many sections.
     """
     header = "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
+    hide = lambda l: F.replace(F.replace(l, F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
+    show = lambda l: F.replace(F.replace(l, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
     lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda s: s != "")
-    empty = F.array().cast("array<struct<title:string,body:array<string>>>")
-    start = F.struct(empty.alias("done"), F.lit(preface).alias("title"), F.array().cast("array<string>").alias("body"))
+    marked = F.transform(lines, lambda l: F.when(l.rlike(header), F.concat(F.lit(MARK), hide(l))).otherwise(hide(l)))
+    whole = F.concat(F.lit(MARK + "\n"), F.array_join(marked, "\n"))
+    piece = f"{MARK}[^\n]*(?:\n[^\n]*){{4}}[^{MARK}]*|{MARK}[^\n]*(?:\n[^\n]*){{0,3}}\\z"
 
-    def step(acc, line):
-        opens = line.rlike(header) & (F.size(acc["body"]) > 3)
-        return F.struct(
-            F.when(opens, F.concat(acc["done"], F.array(F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))).otherwise(acc["done"]).alias("done"),
-            F.when(opens, line).otherwise(acc["title"]).alias("title"),
-            F.when(opens, F.array().cast("array<string>")).otherwise(F.concat(acc["body"], F.array(line))).alias("body"),
-        )
+    def parsed(t, i):
+        halves = F.split(t, "\n", 2)
+        title = F.replace(halves[0], F.lit(MARK), F.lit(""))
+        body = F.rtrim(F.replace(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), F.lit(MARK), F.lit("")), F.lit("\n"))
+        return F.struct(F.when(title == "", F.lit(preface)).otherwise(show(title)).alias("title"), i.alias("pos"), show(body).alias("body"))
+
+    found = F.filter(F.transform(F.regexp_extract_all(whole, F.lit(piece), F.lit(0)), parsed), lambda s: s["body"] != "")
 
-    def finish(acc):
-        return F.when(F.size(acc["body"]) > 0, F.concat(acc["done"], F.array(F.struct(acc["title"].alias("title"), acc["body"].alias("body"))))).otherwise(acc["done"])
+    def merged(a):  # sorted by title and place: the first place and the last body of each title
+        other = lambda x, at: F.coalesce(F.get(a, at)["title"] != x["title"], F.lit(True))
+        first = F.filter(a, lambda x, i: (i == 0) | other(x, F.greatest(i - 1, F.lit(0))))
+        last = F.filter(a, lambda x, i: other(x, i + 1))
+        return once(last, lambda z: F.transform(first, lambda x, i: F.struct(x["pos"].alias("pos"), x["title"].alias("title"), F.get(z, i)["body"].alias("body"))))
 
-    found = F.aggregate(lines, start, step, finish)
-    titles = F.array_distinct(F.transform(found, lambda s: s["title"]))
-    last = lambda t: F.element_at(F.filter(found, lambda s: s["title"] == t), -1)["body"]
-    return F.transform(titles, lambda t, i: F.struct(i.alias("pos"), t.alias("title"), join(last(t), "\n").alias("body")))
+    return F.transform(F.sort_array(once(F.sort_array(found), merged)), lambda s, i: F.struct(i.alias("pos"), s["title"].alias("title"), s["body"].alias("body")))
 
 
 def first_field(c: Column, pattern: str, group: int = 1) -> Column:

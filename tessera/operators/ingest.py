@@ -185,8 +185,8 @@ def annotate_clause(kids: Column, sections: Column, chars: int = 50, strict: boo
     """
     flat = (lambda c: c) if strict else (lambda c: F.regexp_replace(c, r"\s+", ""))
     plain = F.transform(sections, lambda s: F.struct(s["title"].alias("title"), flat(s["body"]).alias("body")))
-    first = lambda probe: F.get(F.filter(plain, lambda s: F.contains(s["body"], probe)), 0)["title"]
-    return F.transform(kids, lambda k: F.coalesce(first(F.substring(flat(k), 1, chars)), F.lit(default)))
+    first = lambda p, probe: F.get(F.filter(p, lambda s: F.contains(s["body"], probe)), 0)["title"]
+    return T.once(plain, lambda p: F.transform(kids, lambda k: T.once(F.substring(flat(k), 1, chars), lambda probe: F.coalesce(first(p, probe), F.lit(default)))))
 
 
 def invalidate_versions(store: DataFrame, incoming: DataFrame) -> DataFrame:
