@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.dictionary import contained
 from tessera.operators.retrieval import small
 
 
@@ -18,17 +19,23 @@ def policy_lookup(req: DataFrame, policies: DataFrame, most: int = 5) -> DataFra
     """B1: (request_id, role, self_id, user_id, insurer, product_name) -> newest valid policies.
 
     Names match by containment, literally. Requests for a user meet policies on the user;
-    requests without one, which only staff can make, are compared with all in blocks of the
-    broadcast request table.
+    requests without one, which only staff can make, meet the distinct insurers or products that
+    hold the name they ask for; without any name they all get the same newest policies.
     """
     r = req.withColumn("who", own_user(F.col("role"), F.col("self_id"), F.col("user_id")))
     r = r.select("request_id", "role", "who", F.col("insurer").alias("r_insurer"), F.col("product_name").alias("r_product"))
     live = policies.where("is_valid")
     fits = (F.col("r_insurer").isNull() | F.col("insurer").contains(F.col("r_insurer"))) & (F.col("r_product").isNull() | F.col("product_name").contains(F.col("r_product")))
     keyed = live.join(r.where("who is not null"), F.col("user_id") == F.col("who")).where(fits)
-    open_ = live.join(small(r.where("who is null and role <> 'customer'")), fits)
-    newest = Window.partitionBy("request_id").orderBy(F.desc("effective_date"), *[F.col(c) for c in policies.columns if c not in ("effective_date", "is_valid")])
-    return keyed.unionByName(open_).withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= most)
+    staff = r.where("who is null and role <> 'customer'")
+    by_insurer, by_product = staff.where("r_insurer is not null"), staff.where("r_insurer is null and r_product is not null")
+    insurers = contained(live.select("insurer").distinct(), "insurer", by_insurer, "r_insurer", "r_insurer")
+    products = contained(live.select("product_name").distinct(), "product_name", by_product, "r_product", "r_product")
+    shape = [*live.columns, *r.columns]
+    open_ = live.join(insurers.join(by_insurer, "r_insurer"), "insurer").where(fits).select(*shape).unionByName(live.join(products.join(by_product, "r_product"), "product_name").select(*shape))
+    by_date = [F.desc("effective_date"), *[F.col(c) for c in policies.columns if c not in ("effective_date", "is_valid")]]
+    any_ = live.orderBy(*by_date).limit(most).crossJoin(small(staff.where("r_insurer is null and r_product is null"))).select(*shape)  # `most` policies a request
+    return keyed.select(*shape).unionByName(open_).unionByName(any_).withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(*by_date))).where(F.col("nth") <= most)
 
 
 def claim_lookup(req: DataFrame, claims: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import rules
 from tessera.functions import text as T
+from tessera.operators.dictionary import contained
 from tessera.operators.retrieval import small
 
 
@@ -78,5 +79,5 @@ def final_answer(passed: Column, modified: Column, original: Column, safe: str)
 
 def phrase_scan(df: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """(domain, …) with phrases(domain, kind, phrase): the phrases of each kind that the text contains."""
-    hit = df.join(small(phrases), "domain").where(F.col(text).contains(F.col("phrase")))
+    hit = contained(df, text, phrases, "phrase", "phrase").join(small(phrases), ["domain", "phrase"])
     return hit.select(*df.columns, "kind", "phrase")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import rules
 from tessera.functions import text as T
 from tessera.functions.lineage import cut
+from tessera.operators.dictionary import contained
 from tessera.operators.retrieval import small
 
 NODES = "id string, label string, name string, attrs map<string,string>"
@@ -68,7 +69,7 @@ def clause_id() -> Column:
 
 def mentions(chunks: DataFrame, names: DataFrame, kind: str = "disease", excluding=rules.EXCLUSION_CLAUSES, relation: str | None = None) -> DataFrame:
     """K4, K7: edges from a clause to every dictionary name its text contains."""
-    hit = chunks.join(small(names.select(F.col("name").alias("mention"))), F.coalesce(F.nullif("parent_text", F.lit("")), "text").contains(F.col("mention")))
+    hit = contained(chunks, F.coalesce(F.nullif("parent_text", F.lit("")), "text"), names)
     type_ = F.lit(relation) if relation else F.when(F.col("clause_type").isin(*excluding), "excludes").otherwise("covers")
     return hit.select(*edge(clause_id(), F.concat(F.lit(f"{kind}:"), F.col("mention")), type_)).distinct()
 
@@ -116,7 +117,8 @@ def find_entity(req: DataFrame, nodes: DataFrame) -> DataFrame:
     kind = F.col("wanted").isNull() | (F.col("label") == F.col("wanted"))
     exact = r.join(n, (F.col("asked") == F.col("name"))).where(kind).withColumn("how", F.lit(0))
     rest = r.join(exact.select("request_id").distinct(), "request_id", "left_anti")
-    loose = n.join(small(rest), F.col("name").contains(F.col("asked")) & kind).withColumn("how", F.lit(1)).select(*exact.columns)
+    met = contained(n.select("name").distinct(), "name", rest, "asked", "asked")  # each name is searched once for all that is asked
+    loose = n.join(met, "name").join(rest, "asked").where(kind).withColumn("how", F.lit(1)).select(*exact.columns)
     best = Window.partitionBy("request_id").orderBy("how", F.length("name"), "name", "id")
     return exact.unionByName(loose).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("request_id", "id", "label", "name")
 

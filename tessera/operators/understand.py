@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import rules
 from tessera.functions import text as T
+from tessera.operators.dictionary import contained
 from tessera.operators.retrieval import small
 
 
@@ -75,21 +76,13 @@ def link_longest(q: Column, names, aliases: dict | None = None) -> Column:
     return T.once(found, lambda f: F.coalesce(F.try_element_at(table, f), f))
 
 
-def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2, few: int = 1_000) -> DataFrame:
-    """Q10 for dictionary tables: (…, mention) of every name that q contains.
+def link_names(df: DataFrame, q: str, names: DataFrame, prefix: int = 2, few: int | None = None) -> DataFrame:
+    """Q10 for dictionary tables: (…, mention) of every name that q contains, however short.
 
-    Up to `few` names are broadcast and looked for in each text. Of larger dictionaries, names
-    and the texts' windows meet on their first `prefix` characters, then are verified, so no
-    nested loop grows with the dictionary.
+    few: names of one automaton, more are worked off in parts (dictionary.contained). prefix no
+    longer matters and is kept for its callers.
     """
-    if names.limit(few + 1).count() <= few:
-        listed = F.broadcast(names.select(F.col("name").alias("mention")).distinct())
-        return df.join(listed, F.col(q).contains(F.col("mention")))
-    spelled = df.withColumn("chars", F.filter(F.split(q, "(?!^)"), lambda c: c != ""))
-    gram = lambda c, i: F.concat_ws("", c, *[F.get("chars", i + k) for k in range(1, prefix)])
-    grams = spelled.withColumn("g", F.explode(F.array_distinct(F.transform("chars", gram)))).drop("chars")
-    named = small(names.select(F.col("name").alias("mention"), F.substring("name", 1, prefix).alias("g")).distinct())
-    return grams.join(named, "g").where(F.col(q).contains(F.col("mention"))).drop("g")  # a name has one prefix, a row each prefix once
+    return contained(df, q, names, most=None if few is None else max(1, few))
 
 
 def link_products(q: Column, names, pattern: str = rules.PRODUCT_PATTERN, insurers=rules.INSURERS) -> Column:

@@ -108,6 +108,33 @@ def q10_link_dictionary(spark, d):
     return U.link_names(read_table(spark, d, "documents").select("doc_id", "text"), "text", names, 4).select("doc_id", "mention")
 
 
+TERMS_SQL = "w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t FROM benchmark), n AS (SELECT DISTINCT substr(t, 1, 1 + (item_id % 9)::INT) AS name FROM w)"
+
+
+def terms(spark, d):
+    """Words of the benchmark and beginnings of them, one character to nine."""
+    w = read_table(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("t"))
+    return w.select(F.expr("substring(t, 1, 1 + cast(item_id % 9 as int))").alias("name")).distinct()
+
+
+@query(f"WITH {TERMS_SQL}, m AS (SELECT DISTINCT source, name FROM documents JOIN n ON contains(text, name)) SELECT source, length(name) AS chars, count(*) AS names FROM m GROUP BY ALL")
+def q10_link_any_name(spark, d):
+    """Names of any length, by source and length of the name."""
+    found = U.link_names(read_table(spark, d, "documents").select("source", "text"), "text", terms(spark, d)).select("source", "mention").distinct()
+    return found.groupBy("source", F.length("mention").alias("chars")).agg(F.count("*").alias("names"))
+
+
+@query(f"WITH {TERMS_SQL}, m AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, md5(name)) AS k FROM documents JOIN n ON contains(text, name)) SELECT d.doc_id, upper(name) AS linked FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND k = 1")
+def q9_link_dictionary(spark, d):
+    from pyspark.sql import Window
+
+    from tessera.operators.dictionary import longest_name
+
+    names = terms(spark, d)
+    placed = names.select("name", F.upper("name").alias("canonical"), F.row_number().over(Window.partitionBy(F.length("name")).orderBy(F.md5("name"))).alias("pos"))
+    return longest_name(read_table(spark, d, "documents").select("doc_id", "text"), "text", placed).select("doc_id", "linked")
+
+
 @query("SELECT doc_id, CASE WHEN contains(t,'thndre') THEN 'thndre' WHEN contains(t,'ererth') THEN 'ererth' WHEN contains(t,'eauion') THEN 'eauion' WHEN contains(t,'thing') THEN 'thing' END AS name, CASE WHEN contains(t,'thndre') THEN '其他' WHEN contains(t,'ererth') THEN 'b' WHEN contains(t,'eauion') THEN 'b' WHEN contains(t,'thing') THEN 'c' END AS category FROM (SELECT doc_id, text AS t FROM documents)")
 def q11_q12_link_disease(spark, d):
     x = U.disease_of(F.col("text"), ("thndre",), {"a": ("thing", "eauion"), "b": ("ererth", "eauion"), "c": ("thing",)})
