@@ -78,3 +78,49 @@ def test_ingest_stream_repeats_a_batch(spark, tmp_path):
     for k in range(2):  # a new progress folder each time: batch 0 again
         S.ingest_stream(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/cp{k}", ingest).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/store").count() == 10
+
+
+def progress(stream, path):
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+
+def in_files(spark, df, path, cuts):
+    for lo, hi in zip(cuts, cuts[1:]):
+        df.where((F.col("at") >= lo) & (F.col("at") < hi)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def test_cache_state_expires(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"k{rng.randrange(40)}", float(rng.randint(0, 400)), i) for i in range(200)]
+    rows += [(f"late{rng.randrange(3)}", float(rng.randint(900, 4900)), 1000 + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "key string, at double, id long")
+    kept = progress(S.cache_replay_stream(in_files(spark, df, tmp_path, [0, 200, 500, 1500, 3000, 5000]), 300.0, "10 seconds"), tmp_path)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("id", "hit").collect())) == sorted((r.id, r.hit) for r in S.cache_replay(df, 300.0).collect())
+    assert max(kept) >= 30 and kept[-1] <= 6  # a value and a timer a key
+
+
+def test_breaker_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.choice("abcdefgh"), round(rng.random() * 900, 1), i, rng.random() < 0.45) for i in range(800)]
+    rows += [(c, 2000.0, 5000 + i, True) for i, c in enumerate("abcdefgh")]
+    df = spark.createDataFrame(rows, "channel string, at double, id long, ok boolean")
+    kept = progress(S.breaker_stream(in_files(spark, df, tmp_path, [0, 300, 600, 1000, 3000]), 3, 30.0), tmp_path)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("channel", "id", "skipped", "opened").collect())) == sorted(map(tuple, S.breaker_replay(df, 3, 30.0).collect()))
+    assert max(kept) > 0 and kept[-1] == 0  # all is well again
+
+
+def test_latency_sketches_merge(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.lognormvariate(0, 1), i % 30) for i in range(30000)] + [("b", 5.0, 1), ("b", None, 2)]
+    log = spark.createDataFrame(rows, "stage string, latency double, day int")
+    days = S.latency_sketches(log)
+    assert days.count() == 31
+    values = sorted(v for s, v, _ in rows if s == "a")
+    for source in (days, S.latency_sketches(log, ())):  # merged days, one pass
+        got = {r.stage: r for r in S.merged_latency(source, (0.1, 0.5, 0.99)).collect()}
+        assert got["a"].n == 30000 and got["b"].quantiles == [5.0] * 3 and got["a"].most == values[-1]
+        for q, v in zip((0.1, 0.5, 0.99), got["a"].quantiles):
+            assert abs(sum(x <= v for x in values) / 30000 - q) < 0.0165
