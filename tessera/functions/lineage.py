@@ -20,8 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    base = f"{shared_dir(spark)}/tessera-{sc.applicationId}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

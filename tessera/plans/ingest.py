@@ -7,6 +7,7 @@ from tessera.functions.lineage import scratch
 from tessera.operators import ingest as I
 from tessera.registry import query
 from tessera.sources import tables as S
+from tessera.sources.store import Store, append_chunks, delete, invalidate, upsert
 
 DELIMS = ".!?;\n"
 PATTERNS = ("[A-Z][a-z]+\\.$", "[A-Z][a-z]+ [a-z]+\\.$")
@@ -99,6 +100,29 @@ def s4_chunk_defaults(spark, d):
     return I.chunk_defaults(x).select("doc_id", "insurer", "parent_id", "chunk_type", "is_valid", "version")
 
 
+@query(f"""WITH {DOCS_SQL}, r AS (SELECT doc_id, version, text AS raw_text FROM docs WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, '9' AS version, text AS raw_text FROM docs WHERE doc_id % 2 = 0)
+SELECT coalesce(r.doc_id, n.doc_id) AS doc_id, coalesce(n.version, r.version) AS version, md5(CASE WHEN r.doc_id IS NOT NULL THEN r.raw_text ELSE substr(n.raw_text, 1, 10000) END) AS text_md5 FROM r FULL JOIN n ON r.doc_id = n.doc_id""")
+def s3_registry_store(spark, d):
+    """The registry as a table of versions: a first batch, then an upsert that is sent twice."""
+    store = Store(spark, scratch(spark, "registry"))
+    x = docs(spark, d).select("doc_id", "version", F.col("text").alias("raw_text"))
+    append_chunks(store, x.where("doc_id % 3 <> 0"), "first")
+    for _ in range(2):
+        upsert(store, x.where("doc_id % 2 = 0").withColumn("version", F.lit("9")), "second")
+    return store.read().select("doc_id", "version", F.md5("raw_text").alias("text_md5"))
+
+
+@query("SELECT cast(user_id AS varchar) AS session_id, event_type AS reason, 'pending' AS status, props AS summary, ts AS created_at FROM events WHERE event_type = 'error'")
+def s7_ticket_store(spark, d):
+    """Tickets by day, each day's batch sent twice."""
+    store = Store(spark, scratch(spark, "tickets"))
+    e = S.read_table(spark, d, "events").where("event_type = 'error'").withColumn("half", F.col("event_id") % 2)
+    x = S.handoff_rows(e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("reason"), F.col("props").alias("summary"), "ts", "half").withColumn("reason", F.concat_ws("|", "reason", "half")), F.col("ts"))
+    for half in ("0", "1", "0", "1"):
+        append_chunks(store, x.where(F.col("reason").endswith(f"|{half}")), half)
+    return store.read().withColumns({"reason": F.split("reason", r"\|")[0], "created_at": F.col("created_at").cast("timestamp_ntz")})
+
+
 @query("""SELECT s_name AS insurer, p_name AS product_name, count(*) AS n, round(sum(l_extendedprice), 2) AS premium FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
 def s5_table_scan(spark, d):
     li, p, s = (S.read_table(spark, d, t) for t in ("lineitem", "part", "supplier"))
@@ -304,6 +328,19 @@ def i23_delete_product(spark, d):
     return I.delete_product(x, x.where("doc_id % 50 = 0").select("insurer", "product_code").distinct()).select("doc_id")
 
 
+@query(f"WITH {DOCS_SQL}, n AS (SELECT insurer, product_code, max(version) AS current FROM docs WHERE doc_id % 10 = 0 GROUP BY ALL) SELECT doc_id, coalesce(version = current, true) AS is_valid FROM docs LEFT JOIN n USING (insurer, product_code) WHERE (insurer, product_code) NOT IN (SELECT insurer, product_code FROM docs WHERE doc_id % 50 = 0)")
+def i22_i23_store(spark, d):
+    """Old versions made invalid and products deleted in a stored table, by lists; then compacted."""
+    store = Store(spark, scratch(spark, "chunks"))
+    x = docs(spark, d).select("doc_id", "insurer", "product_code", "version").withColumn("is_valid", F.lit(True))
+    append_chunks(store, x.where("doc_id % 2 = 0"), "even")
+    append_chunks(store, x.where("doc_id % 2 = 1"), "odd")
+    invalidate(store, x.where("doc_id % 10 = 0"), "newer")
+    delete(store, x.where("doc_id % 50 = 0").select("insurer", "product_code").distinct(), "gone")
+    store.compact("whole")
+    return store.read().select("doc_id", "is_valid")
+
+
 @query("SELECT doc_id, length(text) >= 100 AND doc_id % 11 <> 0 AS ok FROM documents")
 def i24_quarantine(spark, d):
     good, bad = I.quarantine(docs(spark, d), (F.length("text") >= 100) & (F.col("doc_id") % 11 != 0))
