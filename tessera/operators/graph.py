@@ -157,22 +157,62 @@ def neighbors(seeds: DataFrame, edges: DataFrame, hops: int = 2, directed: bool
     return found if label is None else found.join(nodes.where(F.col("label") == label).select("id"), "id", "left_semi")
 
 
-def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 4, directed: bool = False) -> DataFrame:
-    """(request_id, a, b) -> request_id, distance, path: the first of the shortest paths in order of their nodes."""
-    e = cut(both_ways(edges, directed))
-    front = pairs.select("request_id", F.col("a").alias("at"), "b", F.array("a").alias("path"))
-    done = front.where("at = b").select("request_id", F.lit(0).alias("distance"), "path")
-    front = front.where("at <> b")
-    seen = front.select("request_id", "at")
+def meet(pairs: DataFrame, e: DataFrame, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The two searches of K12: (reached(request_id, side, at, level), met(request_id, distance)).
+
+    Each request walks from a along the edges e(src, dst) (side 0) and from b against them (side 1), a level
+    a round on the side whose frontier has fewer edges, so a hub at one end or in the frontier
+    waits while the other side moves. A row is one node of one request and side: no path is
+    carried. The sides meet in the round that equals the distance.
+    """
+    steps = e.select(F.lit(0).alias("side"), F.col("src").alias("at"), F.col("dst").alias("next")).unionByName(e.select(F.lit(1).alias("side"), F.col("dst").alias("at"), F.col("src").alias("next")))
+    degree = cut(steps.groupBy("side", "at").agg(F.count("*").alias("degree")))
+    ends = pairs.select("request_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("at"), (F.col("a") != F.col("b")).alias("apart")) for s, c in enumerate("ab")])).alias("x"))
+    ends = ends.select("request_id", "x.side", "x.at", F.lit(0).alias("level"), (F.col("x.apart")).alias("apart")).where("at is not null").distinct()
+    ends = cut(ends)
+    front, reached = ends.where("apart").drop("apart"), ends.drop("apart")
+    met = pairs.where("a = b").select("request_id", F.lit(0).alias("distance")).distinct()
     for h in range(1, most + 1):
-        step = front.join(e, front["at"] == e["src"]).select("request_id", F.col("dst").alias("at"), "b", F.concat("path", F.array("dst")).alias("path"))
-        step = step.join(seen, ["request_id", "at"], "left_anti").groupBy("request_id", "at", "b").agg(F.min("path").alias("path"))
-        step = cut(step)
-        found = step.where("at = b").select("request_id", F.lit(h).alias("distance"), "path")
-        done = done.unionByName(found)
-        front = step.join(found.select("request_id"), "request_id", "left_anti")
-        seen = seen.unionByName(front.select("request_id", "at"))
-    return done
+        cost = front.join(degree, ["side", "at"], "left").groupBy("request_id").agg(*[F.sum(F.when(F.col("side") == s, F.coalesce("degree", F.lit(0))).otherwise(0)).alias(f"c{s}") for s in (0, 1)])
+        chosen = cost.select("request_id", (F.col("c0") > F.col("c1")).cast("int").alias("side"))
+        grown = front.join(chosen, ["request_id", "side"]).join(steps, ["side", "at"]).select("request_id", "side", F.col("next").alias("at"), (F.col("level") + 1).alias("level")).distinct()
+        grown = cut(grown.join(reached, ["request_id", "side", "at"], "left_anti"))
+        stays = front.join(chosen, ["request_id", "side"], "left_anti")
+        touch = grown.select("request_id", "at").join(stays.select("request_id", "at"), ["request_id", "at"], "left_semi").select("request_id").distinct()
+        now = cut(touch.withColumn("distance", F.lit(h)))
+        met, reached = met.unionByName(now), reached.unionByName(grown)
+        if h < most:
+            front = cut(grown.unionByName(stays).join(now, "request_id", "left_anti"))
+    return reached, met
+
+
+def shortest_path(pairs: DataFrame, edges: DataFrame, most: int = 4, directed: bool = False) -> DataFrame:
+    """(request_id, a, b) -> request_id, distance, path: the first of the shortest paths in order of their nodes.
+
+    Searched from both ends (meet); then the nodes that lie on shortest paths are found from
+    where the sides met, and each path is built from its start, by the smallest next node.
+    """
+    pairs, e = cut(pairs.select("request_id", "a", "b").distinct()), cut(both_ways(edges, directed))
+    reached, met = meet(pairs, e, most)
+    reached = cut(reached.join(met, "request_id"))
+    back = reached.where("side = 1").select("request_id", "at", (F.col("distance") - F.col("level")).alias("pos"))
+    ahead = reached.where("side = 0").select("request_id", "at", F.col("level").alias("pos"))
+    met_at = cut(ahead.join(back, ["request_id", "at", "pos"], "left_semi"))  # where the sides met
+    alive, places = met_at.where(F.col("pos") == most), back.unionByName(met_at)
+    for p in range(most - 1, 0, -1):
+        before = alive.join(e, F.col("at") == F.col("dst")).select("request_id", F.col("src").alias("at"), F.lit(p).alias("pos"))
+        before = before.join(ahead, ["request_id", "at", "pos"], "left_semi").unionByName(met_at.where(F.col("pos") == p))
+        alive = cut(before.distinct())
+        places = places.unionByName(alive)
+    places = cut(places.distinct())
+    path = pairs.join(met, "request_id").select("request_id", "distance", F.col("a").alias("at"), F.array("a").alias("path")).distinct()
+    done = path.where("distance = 0")
+    for p in range(1, most + 1):
+        step = path.where(F.col("distance") >= p).join(e, F.col("at") == F.col("src")).select("request_id", "distance", "path", F.col("dst").alias("at"))
+        step = step.join(places.where(F.col("pos") == p).select("request_id", "at"), ["request_id", "at"], "left_semi")
+        path = cut(step.groupBy("request_id", "distance").agg(F.min("at").alias("at"), F.first("path").alias("path")).select("request_id", "distance", "at", F.concat("path", F.array("at")).alias("path")))
+        done = done.unionByName(path.where(F.col("distance") == p))
+    return done.select("request_id", "distance", "path")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,6 +23,18 @@ def faq_hot(keys: DataFrame, k: int) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "key").limit(k)
 
 
+def faq_sketches(keys: DataFrame, by=("day",), items: int = 10_000) -> DataFrame:
+    """Q3: a row of by with a sketch of its most asked keys, to be stored and merged. A sketch tracks `items` keys at most; its counts are exact while there are no more."""
+    return keys.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(key, {int(items)})").alias("sketch"))
+
+
+def faq_hot_merged(sketches: DataFrame, k: int, items: int = 10_000) -> DataFrame:
+    """Q3 from stored sketches: key, hits of the k most asked over all their rows."""
+    met = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {int(items)})").alias("s"))
+    found = met.select(F.explode(F.expr(f"approx_top_k_estimate(s, {min(int(items), 2 * int(k) + 1000)})")).alias("x")).select(F.col("x.item").alias("key"), F.col("x.count").alias("hits"))
+    return found.orderBy(F.desc("hits"), "key").limit(k)
+
+
 def cache_key(intent: Column, q: Column, role: Column | None = None, drop: str = rules.NORMALIZE_DROP) -> Column:
     """Q4: result:{intent}:{md5 of the normalised query}; with a role, answers stay within it."""
     parts = [F.lit("result"), intent, *([role] if role is not None else []), F.md5(T.normalize(q, drop))]

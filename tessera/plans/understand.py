@@ -51,6 +51,13 @@ def q3_faq_hot(spark, d):
     return U.faq_hot(said(spark, d).select(F.substring(F.col("query"), 1, 6).alias("key")), 20)
 
 
+@query(f"WITH {Q} SELECT t AS key, count(*) AS hits FROM q GROUP BY 1 ORDER BY hits DESC, key LIMIT 20")
+def q3_faq_sketches(spark, d):
+    """Whole questions, counted in sketches by turn that are merged."""
+    keys = said(spark, d).select("turn", F.col("query").alias("key"))
+    return U.faq_hot_merged(U.faq_sketches(keys, ("turn",)), 20)
+
+
 @query(rf"WITH {Q} SELECT conv_id, turn, 'result:' || role || ':' || md5(lower(regexp_replace(t, '[.,!?;:''()\s]', '', 'g'))) AS key FROM q")
 def q4_cache_key(spark, d):
     return said(spark, d).select("conv_id", "turn", U.cache_key(F.col("role"), F.col("query"), drop=DROP).alias("key"))

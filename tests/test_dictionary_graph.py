@@ -78,3 +78,34 @@ def test_products_without_issuer_and_by_category(spark):
     want = [(1, "p1"), (1, "p2"), (2, "p1"), (2, "p2"), (4, "p2"), (5, "p2"), (5, "p3"), (6, "p1"), (6, "p2"), (6, "p3"), (7, "p2")]
     assert found() == want
     assert found(belongs=None) == [x for x in want if x[0] not in (2, 4)]
+
+
+def test_paths_from_both_ends(spark):
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(110)] + [("hub", f"leaf{i}") for i in range(3000)] + [("n1", "hub"), ("leaf7", "n2"), ("x", "leaf9"), ("leaf9", "y")]
+    pairs = [(i, f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for i in range(60)] + [(100, "x", "hub"), (101, "hub", "y"), (102, "x", "y"), (103, "n1", "leaf2999"), (104, "hub", "hub"), (105, "no", "hub"), (106, None, "hub")]
+    df = spark.createDataFrame(edges, "src string, dst string").selectExpr("*", "'t' as type")
+    asked = spark.createDataFrame(pairs, "request_id int, a string, b string")
+
+    def shortest(a, b, next_):
+        level, seen = [(a,)] if a is not None else [], {a}
+        for d in range(5):
+            hits = [p for p in level if p[-1] == b]
+            if hits:
+                return d, list(min(hits))
+            level = sorted(p + (n,) for p in level for n in next_.get(p[-1], ()) if n not in seen)
+            seen |= {p[-1] for p in level}
+            level = [p for i, p in enumerate(level) if p[-1] not in {q[-1] for q in level[:i]}] if len(level) < 500 else list({p[-1]: p for p in reversed(level)}.values())
+        return None
+
+    for directed in (False, True):
+        next_: dict = {}
+        for a, b in edges:
+            next_.setdefault(a, set()).add(b)
+            if not directed:
+                next_.setdefault(b, set()).add(a)
+        want = {i: shortest(a, b, next_) for i, a, b in pairs}
+        got = {r.request_id: (r.distance, list(r.path)) for r in G.shortest_path(asked, df, directed=directed).collect()}
+        assert got == {i: w for i, w in want.items() if w}
+    reached, _ = G.meet(asked.where("request_id in (100, 101, 102)"), G.both_ways(df))
+    assert reached.count() < 60  # the hub's three thousand neighbours are never walked
