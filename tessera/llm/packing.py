@@ -86,7 +86,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_00
     """
     import numpy as np
 
-    row, bin_, at, fill, group, into, shift = unused(pieces, "row", "bin", "at", "fill", "group", "into", "shift")
+    row, bin_, at, fill, group, into, shift, new, total_, filled = unused(pieces, "row", "bin", "at", "fill", "group", "into", "shift", "new", "total", "filled")
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     base = cut(pieces.select(*columns).withColumn(row, F.monotonically_increasing_id()))
     light = [c for c, kind in base.dtypes if kind != "binary"]
@@ -104,17 +104,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_00
             total = np.bincount(new_bin, weights=fills, minlength=len(ids)).astype(np.int64)
             leader = np.full(len(ids), np.iinfo(np.int64).max)
             np.minimum.at(leader, new_bin, ids)  # a bin is named after its smallest member, so names stay unique
-            return pdf.assign(**{at_name: shifts, "__new": leader[new_bin], "__total": total[new_bin]})
+            return pdf.assign(**{at_name: shifts, new: leader[new_bin], total_: total[new_bin]})
 
         return run
 
     def packed(df, groups, turn, name, out, size):
         """df with the bin each row of it goes into, its place there and the bin's fill, under the names out."""
-        kinds = ", ".join(f"`{c}` {k}" for c, k in [*df.dtypes, (out[1], "long")]) + ", __new long, __total long"
+        kinds = ", ".join(f"`{c}` {k}" for c, k in [*df.dtypes, (out[1], "long")]) + f", `{new}` long, `{total_}` long"
         dealt = df.withColumn(group, F.pmod(F.xxhash64(name, F.lit(turn)), F.lit(groups)))
         run = best_fit_groups(name, out[1], size)
         done = dealt.groupBy(group).applyInPandas(lambda pdf: run(pdf.drop(columns=[group])), kinds)
-        return cut(done.withColumnRenamed("__new", out[0]).withColumnRenamed("__total", out[2]))
+        return cut(done.withColumnRenamed(new, out[0]).withColumnRenamed(total_, out[2]))
 
     first = packed(small, max(1, -(-n // group_rows)), 0, row, (bin_, at, fill), "length")
     bins = first.where(F.col(row) == F.col(bin_)).select(bin_, fill)
@@ -134,9 +134,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_rows: int = 40_00
                 break
         taking = sum(c for f, c in counts if f <= most)
         parts = max(1, -(-taking // group_rows))
-        moved = packed(bins.where(F.col(fill) <= most), parts, turn, bin_, (into, shift, "__filled"), fill)
+        moved = packed(bins.where(F.col(fill) <= most), parts, turn, bin_, (into, shift, filled), fill)
         moves.append(moved.where((F.col(bin_) != F.col(into)) | (F.col(shift) > 0)).select(bin_, into, shift))
-        kept = moved.where(F.col(bin_) == F.col(into)).select(bin_, F.col("__filled").alias(fill))
+        kept = moved.where(F.col(bin_) == F.col(into)).select(bin_, F.col(filled).alias(fill))
         bins, turn = cut(bins.where(F.col(fill) > most).unionByName(kept)), turn + 1
     placed = first
     for move in moves:

@@ -109,3 +109,11 @@ def test_tree_merge_small_groups(spark, sizes):
     bins = len(by_seq)
     whole = len(set(packing.best_fit(sorted(sizes, reverse=True), 10)[0]))
     assert bins <= whole * 1.15 + 2
+
+
+def test_packing_leaves_all_names_free(spark):
+    rows = [(i, 100 + 37 * i % 900, "a", "b", i) for i in range(200)]
+    names = "row long, length long, `__new` string, `__total` string, `__filled` long"
+    got = packing.pack_pieces(spark.createDataFrame(rows, names), 2048, group_rows=20)
+    assert got.columns[:5] == ["row", "length", "__new", "__total", "__filled"] and got.count() == 200
+    assert all(r["__filled"] == r.row for r in got.collect())
