@@ -11,6 +11,8 @@ from .common import cut
 LINKS, GROUND_LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 32, 64, 128
 #: Distinct vectors in a shard of a small table; queries in a block; cells of a walk's table of seen points.
 SHARD_ROWS, BLOCK_ROWS, SEEN_CELLS = 8192, 512, 1 << 25
+#: Bytes of a shard's points at most (but SHARD_ROWS always fit); points up to which the search beam is enough as it is.
+SHARD_BYTES, BEAM_POINTS = 32 << 20, 20_000
 
 
 class Graph:
@@ -200,7 +202,7 @@ def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS,
     Equal vectors are one point that carries its keep_ids smallest vec_ids (a search for fewer
     never needs more). Points are dealt by length, within a factor of two, and there by hash to
     shards of about shard_rows; beyond shard_rows points in all, shards grow with the root of
-    their number, and so does the number of shards. A shard's points are scaled by its longest,
+    their number, and so does the number of shards, until a shard's points take SHARD_BYTES. A shard's points are scaled by its longest,
     and an extra coordinate turns the largest inner product into the nearest point; as lengths
     in a shard differ by two at most, one huge vector takes nothing from the others. ids, points
     and layers are flat little-endian arrays.
@@ -210,7 +212,8 @@ def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS,
     few = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep_ids)
     points = cut(few.groupBy("h", "g").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumns({"dims": F.size("v"), "band": octave()}))
     n = points.count()
-    rows_each = max(shard_rows, int((n * shard_rows) ** 0.5))
+    widest = points.agg(F.max("dims")).first()[0] or 1
+    rows_each = max(shard_rows, min(int((n * shard_rows) ** 0.5), SHARD_BYTES // (8 * widest)))
     bands = points.groupBy("dims", "band").agg(F.ceil(F.count("*") / rows_each).cast("long").alias("parts"))  # some thousand rows at most: exponents of doubles
 
     def build(pdf):
@@ -241,48 +244,63 @@ def build_index(vectors: DataFrame, keep_ids: int, shard_rows: int = SHARD_ROWS,
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """h, g, vec_id, score: the k best of each distinct query vector queries(h, g, v), by inner product.
 
-    Queries travel in blocks of BLOCK_ROWS; every block meets every shard of its dimension, and
-    a block's finds in a shard are cut to k before they are merged. A walk that ends with fewer
-    than k ids where the shard has more is made good by scoring the whole shard. Scores are
-    inner products of the original vectors in double precision; ties go to the smaller vec_id.
+    A shard crosses to Python once a slice of the queries: its row comes first in its task and
+    the queries of its dimension follow as a stream of batches, each cut to k a query before it
+    is merged. There are as many slices as keep all cores busy, so one where shards are many.
+    The beam grows with the root of a shard's points beyond BEAM_POINTS. A walk that ends with
+    fewer than k ids where the shard has more is made good by scoring the whole shard. Scores
+    are inner products of the original vectors in double precision; ties go to the smaller vec_id.
     """
-    shards = index.select("shard", "dims").collect()  # two numbers a shard
-    blocks = queries.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("h", "g"), F.lit(max(1, -(-queries.count() // BLOCK_ROWS)))))
-    packed = blocks.groupBy("dims", "block").agg(F.collect_list(F.struct("h", "g", "v")).alias("q"))
     spark = index.sparkSession
-    meets = spark.createDataFrame([(r["dims"], r["shard"]) for r in shards], "dims int, shard long")
-    pairs = packed.join(F.broadcast(meets), "dims").join(index, ["dims", "shard"])
+    shards = index.select("dims", "shard").collect()  # two numbers a shard
+    slices = max(1, -(-spark.sparkContext.defaultParallelism // max(1, len(shards))))
+    meets = spark.createDataFrame([(r["dims"], r["shard"], i) for i, r in enumerate(shards)], "dims int, shard long, place int")
+    each = F.broadcast(meets)
+    task = lambda s: (F.col("place") * slices + s).cast("int").alias("task")
+    flat = ["shard", "n", "points", "places", "ids", "id_counts", "entry", "layers", "heights"]
+    kinds = dict(index.dtypes)
+    # numbers are 0 where they mean nothing, since pandas would make floats of columns with nulls
+    none = [(F.lit(0) if kinds[c] in ("int", "bigint") else F.lit(None)).cast(kinds[c]).alias(c) for c in flat]
+    held = index.join(each, ["dims", "shard"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    held = held.select(task(F.col("s")), F.lit(0).alias("kind"), "dims", *flat, F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("array<double>").alias("v"))
+    asked = queries.withColumn("dims", F.size("v")).join(each.drop("shard"), "dims")
+    asked = asked.select(task(F.pmod(F.xxhash64("g", "h"), F.lit(slices))), F.lit(1).alias("kind"), "dims", *none, "h", "g", "v")
+    dealt = held.unionByName(asked).repartitionById(max(1, len(shards) * slices), F.col("task")).sortWithinPartitions("task", "kind")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        last, g = None, None
+        graph = None
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                x = np.frombuffer(r.points, "<f8").reshape(r.n, r.dims)
-                if last != (r.dims, r.shard):
-                    last = (r.dims, r.shard)
-                    g = Graph.unpacked(np.frombuffer(r.places, "<f4").reshape(r.n, r.dims + 1), r.entry, r.layers, list(r.heights))
-                    counts = np.frombuffer(r.id_counts, "<i4")
-                    starts, ids = np.r_[0, np.cumsum(counts)], np.frombuffer(r.ids, "<i8")
-                q = np.stack([np.asarray(o["v"], np.float64) for o in r.q])
+            first = pdf[pdf["kind"] == 0]
+            if len(first):  # a partition is one task: its shard, then queries
+                r = first.iloc[0]
+                x = np.frombuffer(r["points"], "<f8").reshape(int(r["n"]), r["dims"])
+                graph = Graph.unpacked(np.frombuffer(r["places"], "<f4").reshape(int(r["n"]), r["dims"] + 1), int(r["entry"]), r["layers"], list(r["heights"]))
+                counts = np.frombuffer(r["id_counts"], "<i4")
+                starts, ids = np.r_[0, np.cumsum(counts)], np.frombuffer(r["ids"], "<i8")
+                wide = int(max(beam, k) * max(1.0, len(x) / BEAM_POINTS) ** 0.5)
+            asked = pdf[pdf["kind"] == 1]
+            for at in range(0, len(asked), BLOCK_ROWS):
+                some = asked.iloc[at : at + BLOCK_ROWS]
+                q = np.stack(some["v"].to_list()).astype(np.float64)
                 unit = q / abs(q).max(1, keepdims=True)
                 unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-                found = g.search(np.c_[unit, np.zeros(len(q))], max(beam, k))
+                found = graph.search(np.c_[unit, np.zeros(len(q))], wide)
                 out = []
                 with np.errstate(over="ignore", invalid="ignore"):
-                    for o, near, one in zip(r.q, found, q):
+                    for h, g, near, one in zip(some["h"].to_numpy(), some["g"].to_numpy(), found, q):
                         near = near[near >= 0]
                         if counts[near].sum() < min(k, len(ids)):
-                            near = np.arange(r.n)
+                            near = np.arange(len(x))
                         score = np.repeat((x[near] * one).sum(1), counts[near])
                         each = np.concatenate([ids[starts[i] : starts[i + 1]] for i in near])
                         best = np.lexsort((each, -score))[:k]
-                        out.append(pd.DataFrame({"h": o["h"], "g": o["g"], "vec_id": each[best], "score": score[best]}))
+                        out.append(pd.DataFrame({"h": h, "g": g, "vec_id": each[best], "score": score[best]}))
                 yield pd.concat(out)
 
-    found = pairs.select("dims", "shard", "n", "points", "places", "ids", "id_counts", "entry", "layers", "heights", "q").mapInPandas(run, "h long, g long, vec_id long, score double")
+    found = dealt.mapInPandas(run, "h long, g long, vec_id long, score double")
     best = Window.partitionBy("h", "g").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 

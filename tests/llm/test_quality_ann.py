@@ -106,3 +106,29 @@ def test_co_training_on_held_out(spark):
     none = quality.co_train(docs, lab.limit(0)).agg({"score": "max"}).first()[0]
     assert none == 0.5
     assert quality.co_train(docs.limit(0), lab).count() == 0
+
+
+def test_one_large_shard(spark, monkeypatch):
+    """Recall of a single graph of many points: the beam grows with it."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12000, 24)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))  # one band of lengths
+    monkeypatch.setattr(hnsw, "BEAM_POINTS", 3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in hnsw.nearest(df, 20, 100, shard_rows=20000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    right = 0
+    for q, found in got.items():
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -9
+        right += len(set(np.argsort(-score)[:20]) & set(found))
+    assert len(got) == 120 and right / (20 * 120) >= 0.97
+
+
+def test_shards_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 100 * 8 * 4)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 4)))], "vec_id long, embedding array<double>")
+    sizes = [r.n for r in hnsw.build_index(df, 5, shard_rows=50).select("n").collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
