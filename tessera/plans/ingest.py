@@ -7,6 +7,8 @@ from tessera.functions.lineage import scratch
 from tessera.operators import ingest as I
 from tessera.registry import query
 from tessera.sources import tables as S
+from tessera.sources.folders import read_folder
+from tessera.sources.relational import conform
 from tessera.sources.store import Store, append_chunks, delete, invalidate, upsert
 
 DELIMS = ".!?;\n"
@@ -69,6 +71,17 @@ def s1_document_files(spark, d):
     return files.select("file_name", F.md5("file_content").alias("content_md5"), "doc_type", "insurer")
 
 
+@query("SELECT 'insurer=ins' || (item_id % 5) AS insurer, 'product=p' || (item_id % 3) AS product, md5(regexp_replace(text, '[\\r\\n]', ' ', 'g')) AS line_md5, count(*) AS n FROM benchmark WHERE item_id % 5 IN (1, 4) AND item_id % 3 = 2 GROUP BY ALL")
+def s1_document_folder(spark, d):
+    """The benchmark's items in folders by insurer and product, of which two insurers and a product are listed and read."""
+    base = scratch(spark, "folders")
+    items = S.read_table(spark, d, "benchmark").select(F.regexp_replace("text", r"[\r\n]", " ").alias("text"), F.concat(F.lit("ins"), F.col("item_id") % 5).alias("insurer"), F.concat(F.lit("p"), F.col("item_id") % 3).alias("product"))
+    items.write.partitionBy("insurer", "product").text(base)
+    some = read_folder(spark, base).where(F.col("insurer").isin("insurer=ins1", "insurer=ins4") & (F.col("product") == "product=p2"))
+    lines = some.select("insurer", "product", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    return lines.groupBy("insurer", "product", F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT md5(text) AS text_md5, toxic::VARCHAR AS label FROM labels JOIN documents USING (doc_id)")
 def s6_labelled_file(spark, d):
     """Labelled texts as JSON array files, read back as rows."""
@@ -130,6 +143,22 @@ def s5_table_scan(spark, d):
     return x.groupBy(F.col("s_name").alias("insurer"), F.col("p_name").alias("product_name")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("premium"))
 
 
+RATES_SQL = "r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no' || o_orderkey ELSE o_orderkey::VARCHAR END AS id, CASE WHEN o_custkey % 11 <> 0 THEN o_orderpriority END AS product_name, (o_orderkey % 60)::VARCHAR AS min_age, CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE '90' END AS max_age, (o_custkey * 25) || '.5' AS premium_yearly FROM orders)"
+
+
+@query(f"WITH {RATES_SQL} SELECT o_orderkey::INT AS id, product_name, min_age::INT AS min_age, max_age::INT AS max_age, premium_yearly::DECIMAL(10, 2)::DOUBLE AS premium, NULL::VARCHAR AS reason FROM r WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND product_name IS NOT NULL UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE WHEN o_orderkey % 7 = 0 THEN 'id: not a int' WHEN product_name IS NULL THEN 'product_name: missing' ELSE 'max_age: not a int' END FROM r WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR product_name IS NULL")
+def s5_typed_rows(spark, d):
+    """Rates that arrive as text: typed rows, and those that do not fit with the reason."""
+    o, k = S.read_table(spark, d, "orders"), F.col("o_orderkey")
+    x = o.select(
+        F.when(k % 7 == 0, F.concat(F.lit("no"), k)).otherwise(k.cast("string")).alias("ID"), F.when(F.col("o_custkey") % 11 != 0, F.col("o_orderpriority")).alias("product_name"), (k % 60).cast("string").alias("min_age"),
+        F.when(k % 5 == 0, "old").otherwise("90").alias("max_age"), F.concat(F.col("o_custkey") * 25, F.lit(".5")).alias("premium_yearly"),
+    )
+    good, bad = conform(x, "rate_table")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("id", "int"), ("product_name", "string"), ("min_age", "int"), ("max_age", "int"), ("premium", "double"))]
+    return good.select("id", "product_name", "min_age", "max_age", F.col("premium_yearly").cast("double").alias("premium"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(*none, "reason"))
+
+
 @query("SELECT doc_id, cast(toxic AS varchar) AS label FROM labels")
 def s6_labelled_rows(spark, d):
     x = S.read_table(spark, d, "labels").select("doc_id", F.to_json(F.struct(F.lit("t").alias("text"), F.col("toxic").cast("string").alias("label"))).alias("j"))
