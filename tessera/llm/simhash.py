@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, own, text_of, texts, unused
@@ -155,31 +155,63 @@ def shard_plan(n: int, radius: int) -> tuple[int, int]:
     return blocks, blocks - radius
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
+#: Members from which a shard is split by further bits; fingerprints that a task holds at once, beyond one shard.
+CROWD, STEP_PRINTS = 20_000, 200_000
+
+
+def masked(mask: int) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 3, crowd: int | None = None) -> DataFrame:
     """Links (a, b) spanning every set of fingerprints joined by steps of at most radius bits.
 
-    distinct(fp). Fingerprints are dealt to the shards of shard_plan; each has its own BK-tree.
+    distinct(fp). Fingerprints are dealt to the shards of shard_plan; each has its own BK-tree. A
+    shard of over `crowd` members, as one template makes, is split: its members agree on the bits
+    that name it, so two of them within the radius also agree on one of radius + 1 blocks of the
+    other bits, and those name its parts. Tasks read shards one after the other, a bounded number
+    of fingerprints at a time.
     """
+    crowd = CROWD if crowd is None else crowd
     blocks, agree = shard_plan(distinct.count(), radius)
     width = 64 // blocks
-    names = []
+    names, further = [], []
     for k, chosen in enumerate(combinations(range(blocks), agree)):
         mask = sum(((1 << width) - 1) << (b * width) for b in chosen)
-        part = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
-        names.append(part if blocks == 1 else F.xxhash64(part, F.lit(k)))  # shards of one name merely share a tree
-    dealt = distinct.select("fp", F.explode(F.array(*names)).alias("shard")).repartition("shard")
+        name = masked(mask) if blocks == 1 else F.xxhash64(masked(mask), F.lit(k))  # shards of one name merely share a tree
+        names.append(F.struct(F.lit(k).alias("k"), name.alias("shard")))
+        rest = [b for b in range(64) if not mask >> b & 1]
+        cuts = [sum(1 << b for b in rest[j :: radius + 1]) for j in range(radius + 1)]
+        further.append(F.when(F.col("k") == k, F.array(*[F.xxhash64("shard", masked(c), F.lit(j)) for j, c in enumerate(cuts)])))
+    dealt = distinct.select("fp", F.explode(F.array(*names)).alias("x")).select("fp", "x.k", "x.shard")
+    crowded = cut(dealt.groupBy("shard").count().where(F.col("count") > crowd).select("shard"))
+    if not crowded.isEmpty():
+        parts = dealt.join(crowded, "shard", "left_semi").select("fp", F.explode(F.coalesce(*further)).alias("shard"))
+        dealt = dealt.join(crowded, "shard", "left_anti").select("fp", "shard").unionByName(parts)
+    dealt = dealt.select("shard", "fp").repartition("shard").sortWithinPartitions("shard")
 
     def search(batches):
         import numpy as np
         import pandas as pd
 
-        parts = [(p["shard"].to_numpy(np.int64), p["fp"].to_numpy(np.int64)) for p in batches]
-        if parts:
-            shard, fp = (np.concatenate(x) for x in zip(*parts))
-            i, j = bk_links(shard, fp.view(np.uint64), radius)
-            yield pd.DataFrame({"a": fp[i], "b": fp[j]})
+        held: list = []
 
-    return dealt.select("shard", "fp").mapInPandas(search, "a long, b long")
+        def links(shard, fp):
+            i, j = bk_links(shard, fp.view(np.uint64), radius)
+            return pd.DataFrame({"a": fp[i], "b": fp[j]})
+
+        for p in batches:
+            held.append((p["shard"].to_numpy(np.int64), p["fp"].to_numpy(np.int64)))
+            if sum(len(x) for x, _ in held) >= STEP_PRINTS:
+                shard, fp = (np.concatenate(x) for x in zip(*held))
+                whole = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+                if whole:
+                    yield links(shard[:whole], fp[:whole])
+                held = [(shard[whole:], fp[whole:])]
+        if held:
+            yield links(*(np.concatenate(x) for x in zip(*held)))
+
+    return dealt.mapInPandas(search, "a long, b long")
 
 
 def _labelled(prints: DataFrame, radius: int) -> DataFrame:

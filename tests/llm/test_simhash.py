@@ -117,3 +117,48 @@ def test_clashing_names_and_null_ids(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(kept.collect(), key=str) == sorted([(3, "a b c d", 1, 2, "x"), (None, None, 5, 6, "y")], key=str)
+
+
+def linked_sets(fps, links):
+    label = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        ra, rb = find(a), find(b)
+        label[max(ra, rb)] = min(ra, rb)
+    return {f: find(f) for f in label}
+
+
+@pytest.mark.parametrize("plan", [(4, 1), (5, 2), (6, 3)])
+def test_crowded_shards_are_split(spark, monkeypatch, plan):
+    monkeypatch.setattr(simhash, "shard_plan", lambda n, radius: plan)
+    monkeypatch.setattr(simhash, "STEP_PRINTS", 300)
+    rng = np.random.default_rng(12)
+    base, fps = int(rng.integers(0, 1 << 60)), set()
+    for _ in range(400):  # all agree on most bits; some are within the radius of each other
+        x = base
+        for b in rng.choice(20, rng.integers(0, 9), replace=False):
+            x ^= 1 << int(b * 3)
+        fps.add(x)
+    fps |= {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    df = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    links = [(r.a, r.b) for r in simhash.link_fingerprints(df, 3, crowd=10).collect()]
+    assert linked_sets(fps, links) == linked_sets(fps, [(r.a, r.b) for r in simhash.link_fingerprints(df, 3).collect()]) == brute_components(sorted(fps))
+
+
+def test_a_template_of_many(spark):
+    """One block of bits shared by all: its shard is split and the parts are small."""
+    import time
+
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 47, 100_000).astype(np.int64) << 16 | 4711)
+    near = fps[:50] ^ (7 << 20)
+    df = spark.createDataFrame([(int(f),) for f in np.unique(np.r_[fps, near])], "fp long").repartition(4)
+    began = time.perf_counter()
+    links = {tuple(sorted((r.a, r.b))) for r in simhash.link_fingerprints(df, 3).collect()}
+    assert {tuple(sorted((int(a), int(b)))) for a, b in zip(fps[:50], near) if a != b} <= links
+    assert time.perf_counter() - began < 120
