@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, which goes when the application ends."""
+    sc = spark.sparkContext
+    base = f"{shared_dir(spark)}/tessera-{sc.applicationId}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return base
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of a shared file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,7 +77,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(df: DataFrame) -> DataFrame:
     """Like cut, but as a Parquet table, which packs wide or repetitive rows tighter and prunes columns."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -191,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, le
     reordered passages add up. Items of fewer words have no seed and never match; null texts
     are empty; very long texts are tiled whole, in the stretches made of an item's words;
     repeated rows give repeated pairs; a null item_id or doc_id stays null; columns other than
-    doc_id and text are ignored. A benchmark under BROADCAST_BYTES of text is broadcast, and
+    doc_id and text are ignored; an empty table on either side gives none. A benchmark under BROADCAST_BYTES of text is broadcast, and
     documents never move; a larger one meets them through a join on seed hashes, with the
     same rows as result.
     """
@@ -269,7 +269,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """docs without the rows whose text leaks an item; columns as they are, whatever their names.
 
     Every row is judged by its own text alone: a null doc_id or one that repeats makes no
-    difference. A broadcast benchmark judges rows where they are, without a shuffle; with a
+    difference; very long texts are tiled whole; empty tables change nothing. A broadcast benchmark judges rows where they are, without a shuffle; with a
     larger one each different text is judged once and rows leave by their text's digest.
     """
     items = _items(benchmark)

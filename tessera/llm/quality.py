@@ -212,7 +212,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 3, fit_rows: int
     learned weights. Null and empty texts have the views of an empty text, very long texts are
     read whole, repeated rows score alike, unknown or null languages and sources share hashed
     bins; columns other than doc_id, text, lang and source are ignored. Without labels of both
-    classes all scores are the share of good labels (0.5 without any).
+    classes all scores are the share of good labels (0.5 without any). An empty table gives an
+    empty one.
     """
     import numpy as np
 

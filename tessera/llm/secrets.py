@@ -171,7 +171,8 @@ def scan_secrets(docs: DataFrame, level: float = 0.01) -> DataFrame:
     of 20 or more encoding characters outside those spans that the battery finds random, with
     false discoveries held at `level` within each stratum of length and encoding. Null and
     empty texts have no spans; very long texts are scanned whole; repeated rows are scanned
-    each; a null doc_id stays null; columns other than doc_id and text are ignored.
+    each; a null doc_id stays null; columns other than doc_id and text are ignored; an empty
+    table gives an empty one.
     """
     tested = cut(_tested(texts(docs), "doc_id").select("doc_id", "base", "runs"))
     return _accepted(tested, level, tested).select("doc_id", "found")
@@ -196,7 +197,7 @@ def redact(docs: DataFrame, level: float = 0.01, mark: str = "[SECRET]") -> Data
     """docs with the spans of scan_secrets replaced by mark in text; every other column unchanged.
 
     Spans that touch or overlap become one mark; a null text stays null; columns may have any
-    names. A first pass over the texts sets the cuts of the false-discovery control, a second
+    names; very long texts are redacted whole; an empty table stays empty. A first pass over the texts sets the cuts of the false-discovery control, a second
     one redacts, so no text is shuffled.
     """
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

@@ -23,7 +23,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     one per vocabulary entry) are found once on the driver and broadcast; pre-tokens among
     them count one, the rest are merged and remembered per worker. No shuffle.
     Null and empty texts have no bytes and no tokens; repeated rows are counted each; a null
-    doc_id stays null; other columns are ignored. Very long texts are split in stretches.
+    doc_id stays null; other columns are ignored. Very long texts are split in stretches. An empty table gives
+    an empty one.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     model = tokenizer_model(tokenizer_path)

@@ -231,7 +231,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts hold no term and get the calibrated base score; a null doc_id counts
     as the empty text in held_out; repeated rows score alike; labels, language and source are
     not read, nor any other column, whatever its name. Very long texts are scanned whole, in
-    time that grows with their length. The lexicon sent to the executors is as large as what
+    time that grows with their length; an empty table gives an empty one. The lexicon sent to the executors is as large as what
     fit_rows labelled texts support.
     """
     return texts(docs).select("doc_id", score_column(lexicon)("text").alias("score")).select(
@@ -240,7 +240,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs without the rows that score 0.5 or more; columns as they are, whatever their names; no shuffle."""
+    """docs without the rows that score 0.5 or more; columns as they are, whatever their names; no shuffle.
+
+    Texts are judged as score_toxicity does: null, empty and very long ones, repeated rows and
+    empty tables alike.
+    """
     return docs.where(score_column(lexicon)(text_of()) < 0.5)
 
 
