@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, packing, queries, secrets, simhash, toxicity
-from tessera.llm.common import remove, shared_dir, text_batches
+from tessera.llm.common import remove, session_folder, text_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's result is written as Parquet and read again, then dropped once the next one is."""
+    """Applies the stages to documents; each stage's result is written as Parquet and read again, then dropped once the next one is; what is left goes when the application ends."""
     docs = queries.read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = f"{session_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
