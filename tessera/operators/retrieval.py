@@ -204,12 +204,16 @@ def ivf_topk(q: DataFrame, index, k: int, nprobe: int = 16) -> DataFrame:
     return topk(met.select("query_id", "id", F.coalesce(score, F.lit(0.0)).alias("score")), k)
 
 
-def postings(df: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """key, term, weight: how often each word occurs, rows of one key together; only: a table of terms, the others of which are dropped before the counts are shuffled."""
+def postings(df: DataFrame, key: str, text: str = "text", only: DataFrame | None = None, merge: bool = True) -> DataFrame:
+    """key, term, weight: how often each word occurs; only: a table of terms, the others of which are dropped.
+
+    Rows of one key are added up in a shuffle, unless merge is off: for unique keys, or a use
+    that adds them up itself, as sparse_topk does.
+    """
     said = df.select(key, F.explode(word_counts(F.col(text))).alias("c")).select(key, "c.term", "c.weight")
     if only is not None:
         said = said.join(small(only.select("term").distinct()), "term", "left_semi")
-    return said.groupBy(key, "term").agg(F.sum("weight").alias("weight"))
+    return said.groupBy(key, "term").agg(F.sum("weight").alias("weight")) if merge else said
 
 
 def sparse_topk(qterms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
@@ -284,7 +288,7 @@ def build_context(queries: DataFrame, hits: DataFrame, top: int = 5, none: str =
 def sparse_list(q: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """The sparse side of hybrid retrieval: terms of q(query_id, query) against those of live(id, text)."""
     asked = postings(q, "query_id", "query")
-    return sparse_topk(asked, postings(live, "id", "text", asked), k)
+    return sparse_topk(asked, postings(live, "id", "text", asked, merge=False), k)
 
 
 def retrieve(q: DataFrame, chunks: DataFrame, parents: DataFrame, filters: dict | None = None, coarse: int = 30, k: int = 5, second=None, scorer: Column | None = None, first=dense_topk) -> DataFrame:

@@ -106,7 +106,7 @@ SPARSE = f"p AS (SELECT id, term, count(*)::DOUBLE AS w FROM (SELECT doc_id AS i
 
 def sparse(spark, d):
     q = R.postings(read_table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
-    return R.sparse_topk(q, R.postings(read_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", only=q), 30)
+    return R.sparse_topk(q, R.postings(read_table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", only=q, merge=False), 30)
 
 
 @query(f"WITH {SPARSE} SELECT * FROM s")
