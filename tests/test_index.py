@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import index as X
 from tessera.operators import retrieval as R
@@ -112,3 +113,22 @@ def test_words_counted_in_the_row(spark):
     for r in coded:
         total = sum(r.sparse.values())
         assert abs(sum(r.dense) - total) < 1e-9 and abs(total - bool(r.sparse)) < 1e-9
+
+
+def test_blocks_are_met_one_at_a_time(spark, monkeypatch):
+    """However many blocks there are, a task gets no row that holds more than one vector; ties go to the smaller id."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8)], True, "child", i % 3) for i in range(900)]
+    c = spark.createDataFrame(rows, "id long, v array<double>, is_valid boolean, chunk_type string, product_name int")
+    q = c.where("id % 9 = 0").select(F.struct(F.col("id").alias("a"), F.lit(1).alias("b")).alias("query_id"), F.col("v").alias("qv"), "product_name")
+    found = []
+    for few, rows_of_block in ((1000, None), (0, None), (0, 40)):
+        monkeypatch.setattr(R, "FEW_QUERIES", few)
+        if rows_of_block:
+            monkeypatch.setattr(R, "BLOCK_BYTES", rows_of_block * 64)
+            monkeypatch.setattr(R, "SCORES", 100)
+            plan = R.block_topk(q, c, 4)._jdf.queryExecution().toString()
+            assert "collect_list" not in plan
+        apart = R.retrieve_compare(q, c, 4)
+        found.append([sorted((r.query_id.a, r.id, round(r.score, 9), r["rank"]) for r in df.collect()) for df in (R.dense_topk(q, c, 4), apart)])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == len(found[0][1]) == 400
