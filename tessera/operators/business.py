@@ -29,11 +29,21 @@ def policy_lookup(req: DataFrame, policies: DataFrame, most: int = 5) -> DataFra
     keyed = live.join(r.where("who is not null"), F.col("user_id") == F.col("who")).where(fits)
     staff = r.where("who is null and role <> 'customer'")
     by_insurer, by_product = staff.where("r_insurer is not null"), staff.where("r_insurer is null and r_product is not null")
-    insurers = contained(live.select("insurer").distinct(), "insurer", by_insurer, "r_insurer", "r_insurer")
-    products = contained(live.select("product_name").distinct(), "product_name", by_product, "r_product", "r_product")
-    shape = [*live.columns, *r.columns]
-    open_ = live.join(insurers.join(by_insurer, "r_insurer"), "insurer").where(fits).select(*shape).unionByName(live.join(products.join(by_product, "r_product"), "product_name").select(*shape))
     by_date = [F.desc("effective_date"), *[F.col(c) for c in policies.columns if c not in ("effective_date", "is_valid")]]
+
+    def few(df, *keys):
+        return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_date))).where(F.col("nth") <= most).drop("nth")
+
+    # requests with the same names share one answer: `most` policies of each insurer, then of each pair of names
+    asks = by_insurer.select("r_insurer", "r_product").distinct()
+    insurers = contained(live.select("insurer").distinct(), "insurer", asks, "r_insurer", "r_insurer").join(asks, "r_insurer")
+    products = contained(live.select("product_name").distinct(), "product_name", staff, "r_product", "r_product")
+    named, own = live.join(products, "product_name"), live.withColumn("r_product", F.lit(None).cast("string"))
+    heads = few(named, "insurer", "r_product").unionByName(few(own, "insurer")).withColumnRenamed("r_product", "p")
+    met = few(heads.join(insurers, "insurer").where(F.col("p").eqNullSafe(F.col("r_product"))), "r_insurer", "r_product").drop("p")
+    same = (met["r_insurer"] == by_insurer["r_insurer"]) & met["r_product"].eqNullSafe(by_insurer["r_product"])
+    shape = [*live.columns, *r.columns]
+    open_ = met.join(by_insurer, same).drop(met["r_insurer"], met["r_product"]).select(*shape).unionByName(few(named, "r_product").join(by_product, "r_product").select(*shape))
     any_ = live.orderBy(*by_date).limit(most).crossJoin(small(staff.where("r_insurer is null and r_product is null"))).select(*shape)  # `most` policies a request
     return keyed.select(*shape).unionByName(open_).unionByName(any_).withColumn("nth", F.row_number().over(Window.partitionBy("request_id").orderBy(*by_date))).where(F.col("nth") <= most)
 
@@ -53,10 +63,13 @@ def premium_lookup(req: DataFrame, rates: DataFrame, width: int = 5) -> DataFram
     """
     b = rates.where("is_active").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("min_age") / width), F.floor(F.col("max_age") / width))))
     r = req.select("request_id", F.col("product_name").alias("r_product"), "age", F.col("sum_insured").alias("r_sum"), F.floor(F.col("age") / width).alias("bucket"))
-    met = b.join(small(r), "bucket").where("age between min_age and max_age").where(F.col("product_name").contains(F.col("r_product")))
+    asks = r.drop("request_id").distinct()  # requests that ask the same share one answer
+    met = b.join(small(asks), "bucket").where("age between min_age and max_age").where(F.col("product_name").contains(F.col("r_product")))
     met = met.where(F.col("r_sum").isNull() | (F.col("sum_insured") == F.col("r_sum")))
-    cheapest = F.min(F.struct("premium_yearly", "rate_id", "age"))  # partial on both sides of the shuffle
-    return met.groupBy("request_id").agg(cheapest.alias("x")).select("request_id", "x.rate_id", "x.age", "x.premium_yearly")
+    cheapest = F.min(F.struct("premium_yearly", "rate_id"))  # partial on both sides of the shuffle
+    best = met.groupBy(F.col("r_product").alias("p"), F.col("age").alias("a"), F.col("r_sum").alias("s")).agg(cheapest.alias("x"))
+    told = r.join(best, (F.col("p") == F.col("r_product")) & (F.col("a") == F.col("age")) & F.col("s").eqNullSafe(F.col("r_sum")))
+    return told.groupBy("request_id").agg(F.min(F.struct("x.premium_yearly", "x.rate_id", "age")).alias("x")).select("request_id", "x.rate_id", "x.age", "x.premium_yearly")
 
 
 def compare_products(hits: DataFrame, dims: list[str], most: int = 3, chars: int = 300) -> DataFrame:
