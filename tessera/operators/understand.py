@@ -23,8 +23,18 @@ def faq_hot(keys: DataFrame, k: int) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "key").limit(k)
 
 
+def faq_counts(keys: DataFrame, by=("day",)) -> DataFrame:
+    """Q3: by, key, hits: exact counts to be stored and merged."""
+    return keys.groupBy(*by, "key").agg(F.count("*").alias("hits"))
+
+
+def faq_hot_counted(counts: DataFrame, k: int) -> DataFrame:
+    """Q3 from stored counts: key, hits of the k most asked over all their rows, ties by key."""
+    return counts.groupBy("key").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), F.asc_nulls_last("key")).limit(k)
+
+
 def faq_sketches(keys: DataFrame, by=("day",), items: int = 10_000) -> DataFrame:
-    """Q3: a row of by with a sketch of its most asked keys, to be stored and merged. A sketch tracks `items` keys at most; its counts are exact while there are no more."""
+    """Q3: a row of by with a sketch of its most asked keys, to be stored and merged. A sketch tracks `items` keys at most; its counts are exact while there are no more, but of keys with equal hits any may be told: faq_counts has no such limit."""
     return keys.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(key, {int(items)})").alias("sketch"))
 
 

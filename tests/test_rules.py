@@ -191,3 +191,12 @@ def test_assembly(spark):
     raw = spark.createDataFrame([(1, '```json\n[{"tool_name": "a", "tool_args": {"k": "1"}}, {"tool_args": {}}]\n```'), (2, "oops")], "id int, raw string")
     good, bad = A.parse_calls(raw, "raw")
     assert [(r.id, r.pos, r.tool_name, r.tool_args, r.depends_on) for r in good.collect()] == [(1, 0, "a", {"k": "1"}, [])] and [r.id for r in bad.collect()] == [2]
+
+
+def test_ties_of_most_asked_go_by_key(spark):
+    """More questions asked once than a sketch tells of."""
+    from tessera.operators import understand as U
+
+    keys = spark.range(4000).selectExpr("id % 3 AS day", "format_string('%06d', id * 7919 % 4000) AS key")
+    got = [(r.key, r.hits) for r in U.faq_hot_counted(U.faq_counts(keys), 5).collect()]
+    assert got == [(f"{i:06d}", 1) for i in range(5)]
