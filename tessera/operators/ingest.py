@@ -132,9 +132,12 @@ def boundary_density(tokens: DataFrame, sents: DataFrame, width: int = 256) -> D
 
 
 def window_vote(preds: DataFrame, spine: DataFrame, stride: int = 350, least: float = 0.5) -> DataFrame:
-    """(doc, win, local, pred) votes per token of spine(doc, token): boundary where half the passes say so."""
+    """(doc, win, local, pred) votes per token of spine(doc, token): boundary where half the passes say so.
+
+    Both sides are as long as the texts, which Spark cannot tell of tokens it unfolds itself, so the join is never a broadcast.
+    """
     votes = preds.withColumn("token", F.col("win") * stride + F.col("local")).groupBy("doc", "token").agg(F.avg("pred").alias("share"))
-    return spine.join(votes, ["doc", "token"], "left").select("doc", "token", F.coalesce(F.col("share") >= least, F.lit(False)).alias("is_boundary"))
+    return spine.join(votes.hint("merge"), ["doc", "token"], "left").select("doc", "token", F.coalesce(F.col("share") >= least, F.lit(False)).alias("is_boundary"))
 
 
 def group_paragraphs(sents: DataFrame, least: float = 0.3) -> DataFrame:

@@ -123,3 +123,12 @@ def test_files_and_json(spark, tmp_path):
     assert [tuple(r) for r in tables.read_labelled(spark, str(tmp_path / "seed.json")).collect()] == [("怎么赔", "理赔咨询"), ("你好", "闲聊寒暄")]
     I.append_chunks(spark.createDataFrame([("c1", "t")], "chunk_id string, text string"), str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).first().chunk_type == "child"
+
+
+def test_window_vote_is_never_broadcast(spark):
+    """Tokens unfolded from a few rows look small to the planner."""
+    spine = spark.range(3).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(499))).alias("token"))
+    preds = spine.select("doc", F.lit(0).alias("win"), F.col("token").alias("local"), (F.col("token") % 2).alias("pred"))
+    got = I.window_vote(preds, spine)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.where("is_boundary = (token % 2 = 1)").count() == got.count() == 1500
