@@ -124,3 +124,20 @@ def test_latency_sketches_merge(spark):
         assert got["a"].n == 30000 and got["b"].quantiles == [5.0] * 3 and got["a"].most == values[-1]
         for q, v in zip((0.1, 0.5, 0.99), got["a"].quantiles):
             assert abs(sum(x <= v for x in values) / 30000 - q) < 0.0165
+
+
+def test_streams_deal_many_keys_into_few_states(spark, tmp_path):
+    """One call and one state row a bucket in a micro-batch, however many keys; null keys and huge ones too."""
+    rng = random.Random(12)
+    keys = [None, *range(2**60, 2**60 + 400)]
+    rows = [(rng.choice(keys), round(rng.random() * 900, 1), i, rng.random() < 0.45) for i in range(3000)]
+    df = spark.createDataFrame(rows, "channel long, at double, id long, ok boolean")
+    cuts = [0, 300, 600, 1000]
+    kept = progress(S.breaker_stream(in_files(spark, df, tmp_path / "b", cuts), 2, 30.0, buckets=8), tmp_path / "b")
+    want = sorted(repr((c, *x)) for c in keys for x in breaker([r[1:] for r in rows if r[0] == c], 2, 30.0))
+    assert sorted(repr(tuple(r)) for r in spark.read.parquet(f"{tmp_path}/b/out").select("channel", "id", "skipped", "opened").collect()) == want
+    assert 0 < max(kept) <= 8
+    asked = df.select(F.concat(F.lit("k"), "channel").alias("key"), "at", "id")
+    kept = progress(S.cache_replay_stream(in_files(spark, asked, tmp_path / "c", cuts), 200.0, "10 seconds", buckets=8), tmp_path / "c")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/c/out").select("id", "hit").collect())) == sorted((r.id, r.hit) for r in S.cache_replay(asked, 200.0).collect())
+    assert 0 < max(kept) <= 24
