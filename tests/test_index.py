@@ -132,3 +132,24 @@ def test_blocks_are_met_one_at_a_time(spark, monkeypatch):
         apart = R.retrieve_compare(q, c, 4)
         found.append([sorted((r.query_id.a, r.id, round(r.score, 9), r["rank"]) for r in df.collect()) for df in (R.dense_topk(q, c, 4), apart)])
     assert found[0] == found[1] == found[2] and len(found[0][0]) == len(found[0][1]) == 400
+
+
+def test_sparse_search_scores_texts_where_they_are(spark, monkeypatch):
+    """The rows of the join of postings; neither postings nor pairs are shuffled, few queries or many."""
+    rng = random.Random(5)
+    word = lambda: f"w{min(int(rng.expovariate(0.15)), 60)}"
+    as_rows = lambda df: sorted((r.query_id, r.id, r.rank, round(r.score, 6)) for r in df.collect())
+    texts = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(700)] + [(9001, None), (9002, "!"), (9003, "none of them")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    q = R.postings(spark.createDataFrame([(i, " ".join(word() for _ in range(6))) for i in range(40)] + [(50, "nowhere"), (51, None)], "query_id long, text string"), "query_id")
+    want = as_rows(R.sparse_topk(q, R.postings(docs, "id"), 7))
+    got = R.sparse_search(q, docs, 7)
+    assert as_rows(got) == want and len(want) == 280
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
+    assert as_rows(R.sparse_search(q.where("query_id >= 50"), docs, 7)) == []
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 10)
+    for size in (32 << 20, 4000):  # one block, several
+        monkeypatch.setattr(R, "BLOCK_BYTES", size)
+        got = R.sparse_search(q, docs, 7)
+        assert as_rows(got) == want and "Join" not in got._jdf.queryExecution().sparkPlan().toString()
