@@ -85,12 +85,14 @@ def write_postings(docs: DataFrame, path: str, slice_rows: int = 256, heads: int
     band = F.floor(4 * F.log2(F.aggregate("c", F.lit(0.0), lambda t, x: t + x["weight"])))
     counted = cut(counted.withColumn("band", band))
     parts = counted.groupBy("band").agg(F.ceil(F.count("*") / slice_rows).alias("parts"))  # four an octave of lengths: some hundred rows at most
-    sliced = counted.join(F.broadcast(parts), "band").withColumn("slice", F.shiftleft(F.col("band"), 40) + F.pmod(F.xxhash64("id"), F.col("parts")))
+    # a slice's counts go to one task as they are, where its blocks are made, so no posting is moved for them
+    sliced = counted.join(F.broadcast(parts), "band").select("id", "c", (F.shiftleft(F.col("band"), 40) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("slice")).repartition("slice")
     posts = sliced.select("id", "slice", F.explode("c").alias("c")).select("id", "slice", "c.term", "c.weight")
     blocks = posts.groupBy("term", "slice").agg(F.max("weight").alias("top"), F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("block"))
     bucket = F.pmod(F.crc32("term"), F.lit(buckets)).cast("int").alias("bucket")
     blocks.select(bucket, "term", "slice", "top", "block").hint("rebalance", "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     best = Window.partitionBy("term").orderBy(F.desc("weight"), "id")
+    posts = counted.select("id", F.explode("c").alias("c")).select("id", "c.term", "c.weight")
     first = posts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= heads)
     first.select("term", "id", "weight", "r").write.mode("overwrite").parquet(f"{path}/heads")
 
