@@ -9,6 +9,8 @@ from tessera.functions.lineage import cut
 
 #: Names and bytes of one automaton; a larger dictionary is worked off part by part.
 PART_NAMES, PART_BYTES = 100_000, 16 << 20
+#: Texts that travel to a Python worker at a time, with all names found in them.
+BATCH = 1_000
 
 
 def finder(spark, names: list[str]):
@@ -54,6 +56,9 @@ def contained(df: DataFrame, text: Column | str, names: DataFrame, column: str =
     neither shuffled nor compared name by name. most: names of a part. An empty name is in every text, a null one in none.
     """
     found, spark = None, df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default; what the session says holds
+        spark.conf.set(key, str(BATCH))
     for parts, some in parts_of(names, column, most):
         one = df.withColumn(out, F.explode(finder(spark, some)(text)))
         one = one if parts == 1 else cut(one)

@@ -109,3 +109,16 @@ def test_paths_from_both_ends(spark):
         assert got == {i: w for i, w in want.items() if w}
     reached, _ = G.meet(asked.where("request_id in (100, 101, 102)"), G.both_ways(df))
     assert reached.count() < 60  # the hub's three thousand neighbours are never walked
+
+
+def test_texts_travel_in_bounded_batches(spark):
+    """Whatever the session does not say itself: 1,000 texts at a time go to a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df, names = spark.range(3).selectExpr("cast(id as string) as q"), spark.createDataFrame([("1",)], "name string")
+    before = spark.conf.get(key)
+    try:
+        for said, used in (("10000", "1000"), ("5000", "5000")):
+            spark.conf.set(key, said)
+            assert [r.mention for r in U.link_names(df, "q", names).collect()] == ["1"] and spark.conf.get(key) == used
+    finally:
+        spark.conf.set(key, before)
